@@ -61,6 +61,7 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_table(spark, sf_dir, "documents"))
+    out = out.withColumn("__rate", F.round("__rate", 9))
     return out.withColumnsRenamed({"__copy": "copy", "__copies": "copies", "__rate": "rate", "__place": "place"})
 
 
@@ -75,5 +76,57 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+def _chat_sql() -> str:
+    t = chat.Template()
+    marks = " + ".join(f"2 * ((length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)})" for c in t.control)
+    escaped = lambda x: f"length({x}) + length({x}) - length(replace({x}, chr(92), '')) + {marks.replace('{0}', x)}"
+    size = f"{len(t.open) + 1 + len(t.close)} + {escaped('role')} + length(role) - length(replace(role, chr(10), '')) + {escaped('text')}"
+    return f"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum({size}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+_SPACE = r"[\x20\x09-\x0D]"
+_RULES_SQL = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, source, t, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS ws FROM d),
+pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {rules.WINDOW - 2})) AS i FROM w WHERE len(ws) >= {rules.WINDOW}),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + {rules.WINDOW - 1}], ' ')) AS c FROM pos),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + {rules.WINDOW})) AS j FROM win WHERE c > 1) GROUP BY doc_id),
+lin AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+  WHERE length(regexp_replace(l, '{_SPACE}', '', 'g')) > 0 GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, source, len(ws) AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(lin.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN lin ON lin.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id),
+f AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.REPEAT_PERCENT} * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS bad FROM f WHERE source IS NOT NULL GROUP BY source),
+g AS (SELECT avg(bad / n) AS m, coalesce(var_samp(bad / n), 0) AS v, avg(1.0::DOUBLE / n) AS inv FROM h),
+k AS (SELECT m, least(greatest(CASE WHEN v - m * (1 - m) * inv > 0 THEN (m * (1 - m) - v) / (v - m * (1 - m) * inv) ELSE {rules.STRONGEST} END, {rules.WEAKEST}), {rules.STRONGEST}) AS k FROM g),
+r AS (SELECT source FROM h, k WHERE (bad + m * k) / (n + k) > {rules.HOST_LIMIT} AND n >= {rules.HOST_LEAST})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM r)) AS kept FROM f"""
+
+_WARC_SQL = f"""WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+q AS (SELECT *, CASE WHEN n >= {warc.LEAST} THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS f FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f < page_id THEN f END AS refers_to FROM q"""
+
+_MIX_SQL = f"""WITH RECURSIVE s AS (SELECT source, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents GROUP BY source),
+t AS (SELECT sum(bytes) AS b, sum(pow(CAST(bytes AS DOUBLE), {mixing.TEMPERATURE})) AS w FROM s),
+r AS (SELECT source, CASE WHEN bytes = 0 THEN 1.0 ELSE CAST(b AS DOUBLE) * (pow(CAST(bytes AS DOUBLE), {mixing.TEMPERATURE}) / w) / bytes END AS rate FROM s, t),
+c(source, rate, k, lp, cdf) AS (
+  SELECT source, rate, CAST(0 AS BIGINT), -rate, exp(-rate) FROM r
+  UNION ALL SELECT source, rate, k + 1, lp + ln(rate) - ln(k + 1), cdf + exp(lp + ln(rate) - ln(k + 1)) FROM c WHERE k < ceil(rate + 12 * sqrt(rate) + 24)),
+u AS (SELECT *, (CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(source, 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+n AS (SELECT u.*, r.rate, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.cdf < u.u) AS copies FROM u JOIN r ON r.source IS NOT DISTINCT FROM u.source),
+e AS (SELECT *, unnest(range(copies)) AS copy FROM n)
+SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, copies, copy, md5('place{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy) AS place FROM e"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; the others are held against brute force in tests."""
+    return {"op1_chat_prefix_tree": _chat_sql(), "op3_host_rules": _RULES_SQL, "op6_warc_zip": _WARC_SQL, "op10_poisson_mixing": _MIX_SQL}
