@@ -35,12 +35,12 @@ CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers.
 MEMORY = 600_000
-#: A (Latin) letter before a closing comma or full stop: the tokenizer cuts there in any case.
-_CLOSED = re.compile(r"[A-Za-z\u00c0-\u024f][,.]\Z")
+#: Signs after a (Latin) letter at the end of a word: the tokenizer cuts between them in any case.
+_CLOSED = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])[!-&(-/:;=-@\\[-`{-~]+\\Z")
 #: Python's split() takes these for white space, the tokenizer does not.
 _NO_SPACE = re.compile("[\x1c-\x1f]")
 
-_memory: dict[str, tuple[dict[str, tuple[int, ...]], object]] = {}
+_memory: dict[str, tuple] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -52,73 +52,92 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordTokenizer:
     """Ids of whole texts under a tokenizer that drops white space and never joins what it separates.
 
-    Each run between white space is looked up in a bounded memory, or encoded.
+    Each run between white space is looked up in a bounded memory (as the bytes of
+    its ids), and what is not there is encoded: runs of letters together in one
+    call, told apart by their word numbers; plain ASCII letters by the model alone,
+    as normalising does nothing to them; all else by itself.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path not in _memory:
-            _memory[path] = ({}, Tokenizer.from_file(path))
-        self.words, self.model = _memory[path]
-        self.closing = {x: self._one(x) for x in ",."}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > MEMORY:
-            self.words.clear()
-        plain = [w for w in words if w.isalpha()]
-        if plain:
-            # Letters alone are one word each: their ids come from one call, told apart by word numbers.
-            got = self.model.encode(" ".join(plain), add_special_tokens=False)
-            ids, numbers = got.ids, np.array(got.word_ids, dtype=np.int64)
-            at = np.flatnonzero(np.diff(numbers, prepend=-1)).tolist()
-            if len(at) == len(plain):
-                for w, i, j in zip(plain, at, [*at[1:], len(ids)], strict=True):
-                    self.words[w] = tuple(ids[i:j])
-            else:
-                plain = []
-        for w in words if not plain else words.difference(plain):
-            head = w[:-1] if _CLOSED.search(w) else ""
-            self.words[w] = self.words[head] + self.closing[w[-1]] if head and head in self.words else self._one(w)
-
-    def _one(self, word: str) -> tuple[int, ...]:
-        return tuple(self.model.encode(word, add_special_tokens=False).ids)
-
-    def ids(self, texts: list[str]) -> Iterator[list[int]]:
-        for text in texts:
-            if _NO_SPACE.search(text):
-                yield self.model.encode(text, add_special_tokens=False).ids
+            whole = Tokenizer.from_file(path)
+            letters = Tokenizer(whole.model)
+            letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            _memory[path] = ({}, whole, letters)
+        self.words, self.model, self.letters = _memory[path]
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _together(self, words: list[str], model) -> None:
+        """Learn words of letters from one call."""
+        got = model.encode(" ".join(words), add_special_tokens=False)
+        raw, numbers = np.array(got.ids, dtype="<u4").tobytes(), np.array(got.word_ids, dtype=np.int64)
+        at = (4 * np.flatnonzero(np.diff(numbers, prepend=-1))).tolist()
+        if len(at) == len(words):
+            self.words.update(zip(words, (raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
+        else:  # a letter that normalising turns into something else
+            self.words.update((w, self._one(w)) for w in words)
+
+    def _learn(self, new: set[str]) -> None:
+        cut = {}
+        for w in new:
+            if "<|" in w:  # it may hold a special token
+                cut[w] = (w, "")
                 continue
-            words = [w.lower() if w.isascii() and "<|" not in w else w for w in text.split()]
-            if new := {w for w in words if w not in self.words}:
-                heads = {w[:-1] for w in new if _CLOSED.search(w)}
-                self._learn({h for h in heads if h not in self.words})
-                self._learn(new - heads)
-            known, out = self.words, []
-            for w in words:
-                got = known.get(w)
-                out += got if got is not None else self._one(w)
-            yield out
+            x = w.lower() if w.isascii() else w
+            end = _CLOSED.search(x)
+            cut[w] = (x[: end.start()], end[0]) if end else (x, "")
+        need = {x for pair in cut.values() for x in pair if x}.difference(self.words)
+        plain, other = [], []
+        for x in need:
+            if not x.isalpha():
+                self.words[x] = self._one(x)
+            elif x.isascii() and x.islower():
+                plain.append(x)
+            else:
+                other.append(x)
+        if plain:
+            self._together(plain, self.letters)
+        if other:
+            self._together(other, self.model)
+        for w, (x, end) in cut.items():
+            if end or x != w:
+                self.words[w] = self.words[x] + self.words[end] if end else self.words[x]
+
+    def raw(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if _NO_SPACE.search(text):
+            return self._one(text)
+        words = text.split()
+        if new := set(words).difference(self.words):
+            if len(self.words) + 2 * len(new) > MEMORY:
+                self.words.clear()
+                new = set(words)
+            self._learn(new)
+        return b"".join(map(self.words.__getitem__, words))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 (and ids)."""
     arrow_batches(docs.sparkSession)
-    path = path or tokenizer_path()
+    path, last = path or tokenizer_path(), int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokenizer(path)
         for b in batches:
             rows, at, start, length, crc, kept = [], [], [], [], [], []
-            for k, ids in enumerate(tokens.ids([x.as_py() or "" for x in b.column("text")])):
-                raw = np.array([*ids, end], dtype="<u4")
-                for p, i in enumerate(range(0, len(raw), capacity)):
-                    part = raw[i : i + capacity]
-                    for to, x in ((rows, k), (at, p), (start, i), (length, len(part)), (crc, zlib.crc32(part.tobytes()))):
+            for k, text in enumerate(b.column("text")):
+                raw = tokens.raw(text.as_py() or "") + last
+                for p, i in enumerate(range(0, len(raw) // 4, capacity)):
+                    part = raw[4 * i : 4 * (i + capacity)]
+                    for to, x in ((rows, k), (at, p), (start, i), (length, len(part) // 4), (crc, zlib.crc32(part))):
                         to.append(x)
                     if with_ids:
-                        kept.append(part.astype(np.int32).tolist())
+                        kept.append(np.frombuffer(part, dtype="<i4").tolist())
             cols = [b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
