@@ -101,8 +101,8 @@ def test_a_chain_of_partial_images_is_primary():
     assert all(a.primary for a, _ in group)
 
 
-def test_a_broken_chain_is_not():
-    own, group = _pair([(0, 140, 145, 300), (145, 300, 0, 140)])
+def test_a_chain_with_gaps_on_both_sides_is_not():
+    own, group = _pair([(50, 100, 50, 100), (150, 200, 150, 200)])
     r = Refiner()
     assert r.best_chain(r.chain_tree(group), own)[0] is False
 
