@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,20 +40,59 @@ def numbered(df: DataFrame, order: str, name: str, first: int = 0) -> DataFrame:
     return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__row") + F.col("__before") + first).drop("__at", "__part", "__row", "__before")
 
 
-def least_ancestors(nodes: DataFrame, edges: DataFrame, directed: bool = True) -> DataFrame:
+#: Graphs of up to so many distinct edges are solved in one task; larger ones in rounds of joins.
+SMALL_GRAPH = 500_000
+
+
+def _solve(edges: list[tuple[int, int]], directed: bool) -> dict[int, int]:
+    """The smallest node that reaches each node with an edge: seeds in ascending order take all they reach."""
+    out: dict[int, list[int]] = {}
+    for u, v in edges:
+        out.setdefault(u, []).append(v)
+        out.setdefault(v, [])
+        if not directed:
+            out[v].append(u)
+    root: dict[int, int] = {}
+    for s in sorted(out):
+        todo = [s] if s not in root else []
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = s
+                todo += out[x]
+    return root
+
+
+def least_ancestors(nodes: DataFrame, edges: DataFrame, directed: bool = True, small: int = SMALL_GRAPH) -> DataFrame:
     """(node, root): the smallest node from which each node can be reached along edges (u, v); itself included.
 
-    Every round takes the smallest label of a node's predecessors and then the
-    label of its label, so long paths take few rounds.
+    The distinct edges are written and counted.  Up to ``small`` of them go to one
+    task.  Beyond that, every round takes the smallest label of a node's
+    predecessors and then the label of its label, so long paths take few rounds.
     """
-    edges = edges.select("u", "v").where("u != v")
-    edges = written((edges if directed else edges.union(edges.select("v", "u"))).distinct())
-    labels = written(nodes.select("node").distinct().withColumn("root", F.col("node")))
+    edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u != v")
+    count, nodes = Observation(), nodes.select(F.col("node").cast("long").alias("node")).distinct()
+    if not directed:
+        edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    edges = written(edges.distinct().observe(count, F.count(F.lit(1)).alias("n")))
+    if count.get["n"] <= small:
+
+        def run(batches):
+            rows = [x for b in batches for x in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
+            root = _solve(rows, directed)
+            yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array(list(root.values()), pa.int64())], ["node", "root"])
+
+        found = edges.coalesce(1).mapInArrow(run, "node long, root long")
+        return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    if not directed:
+        edges = written(edges.union(edges.select("v", "u")))
+    labels = written(nodes.withColumn("root", F.col("node")))
     while True:
         came = edges.join(labels.select(F.col("node").alias("u"), F.col("root").alias("r")), "u").groupBy(F.col("v").alias("node")).agg(F.min("r").alias("r"))
         hooked = labels.join(came, "node", "left").select("node", "root", F.least("root", "r").alias("now"))
         up = hooked.select(F.col("node").alias("now"), F.col("now").alias("above"))
-        after = written(hooked.join(up, "now", "left").select("node", F.least("now", "above").alias("now"), (F.least("now", "above") != F.col("root")).alias("moved")))
-        labels = after.select("node", F.col("now").alias("root"))
-        if not after.where("moved").limit(1).count():
+        after = hooked.join(up, "now", "left").select("node", F.least("now", "above").alias("now"), (F.least("now", "above") != F.col("root")).alias("moved"))
+        moved = Observation()
+        labels = written(after.observe(moved, F.max("moved").alias("any"))).select("node", F.col("now").alias("root"))
+        if not moved.get["any"]:
             return labels

@@ -130,3 +130,16 @@ def test_stop_at_empty_input(spark):
     empty = spark.createDataFrame([], "msp_id long, score int, iden float, direction int, q_seq string, q_lb int, q_rb int, s_seq string, s_lb int, s_rb int")
     result = run(empty)
     assert result.members.count() == 0 and result.families.count() == 0
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_reachability_in_one_task_and_in_rounds(spark, directed):
+    from famloom.operators.graph import _solve, least_ancestors
+
+    r = random.Random(3)
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
+    nodes = spark.createDataFrame([(i,) for i in range(130)], "node long")
+    frame = spark.createDataFrame(links, "u long, v long")
+    want = {i: i for i in range(130)} | _solve([x for x in links if x[0] != x[1]], directed)
+    for small in (0, 1000):
+        assert {x.node: x.root for x in least_ancestors(nodes, frame, directed, small).collect()} == want
