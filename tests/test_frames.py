@@ -143,3 +143,33 @@ def test_reachability_in_one_task_and_in_rounds(spark, directed):
     want = {i: i for i in range(130)} | _solve([x for x in links if x[0] != x[1]], directed)
     for small in (0, 1000):
         assert {x.node: x.root for x in least_ancestors(nodes, frame, directed, small).collect()} == want
+
+
+def test_streamed_alignments(spark, tmp_path):
+    from famloom.streaming.ingest import stream_extents, stream_images
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text("7 80 10 1 a 5 9 b\n")
+    query = stream_extents(stream_images(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("extents").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    (tmp_path / "in" / "b").write_text("7 80 4 30 a 5 9 c\nbad line\n")
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(map(tuple, spark.table("extents").collect())) == [("a", 1, 30, 2), ("b", 5, 9, 1), ("c", 5, 9, 1)]
+
+
+def test_reports_and_snapshots(spark, tmp_path):
+    from famloom.plans.pipeline import run, stage_counts
+
+    rows = [(k, 100, 90.0, 1 if k % 2 else -1, f"q{k % 3}", 1, 100 + k % 5, f"s{k % 4}", 1, 101) for k in range(12)]
+    result = run(spark.createDataFrame(rows, "msp_id long, score int, iden float, direction int, q_seq string, q_lb int, q_rb int, s_seq string, s_lb int, s_rb int"))
+    reports.write_reports(result, str(tmp_path / "out"))
+    reports.snapshot(result, str(tmp_path / "snap"))
+    again = reports.restored(spark, str(tmp_path / "snap"))
+    assert reports.run_diff(again.members, result.members).count() == 0
+    counts = {r["name"]: r.n for r in stage_counts(result).collect()}
+    lines = spark.read.text(str(tmp_path / "out" / "eles")).collect()
+    assert len(lines) == counts["ele_no"] == sum(r.copies for r in result.families.collect()) and counts["naive_ele_no"] == 7
+    reports.write_gml(result.elements, result.edges, str(tmp_path / "gml"))
+    assert spark.read.text(str(tmp_path / "gml")).where("value like 'edge%'").count() == reports.gml_edges(result.edges).count()
+    assert len(reports.dataset_key(spark.read.text(str(tmp_path / "out" / "eles")))) == 12
