@@ -11,8 +11,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from famloom.config import Config
 from famloom.operators.boundaries import cluster_points, merge_points
@@ -418,43 +419,47 @@ def birth_key(e: Element) -> str:
     return f"1{turn:06d}({birth_key(seed)}){order:09d}"
 
 
-_COLUMNS = "kind string, ele long, birth string, stat string, seq {seq}, lb int, rb int, img_no long, edge_no long, ele2 long, birth2 string, type string, score int, direction int, fate string, msp_id long, side int, iden float, part string"
+#: Columns of what the kernel returns; rows of three kinds share them.
+_COLUMNS = {
+    "kind": "string", "ele": "long", "birth": "string", "birth2": "string", "stat": "string", "seq": None, "lb": "int", "rb": "int", "img_no": "long", "fate": "string",
+    "edge_no": "long", "type": "string", "score": "int", "direction": "int", "msp_id": "long", "side": "int", "iden": "float", "part": "string",
+}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "float": pa.float32()}
 
 
-def _kernel(config: Config):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _kernel(config: Config, seq_type: pa.DataType):
+    def run(group: pa.Table) -> pa.Table:
         # A row per image: msp_id, side, iden, direction, score, lb, rb, ele_id, seq, e_lb, e_rb.
-        r = Refiner(config)
-        homes: dict[int, Element] = {}
-        for ele, seq, lb, rb in pdf[["ele_id", "seq", "e_lb", "e_rb"]].drop_duplicates("ele_id").sort_values("ele_id").itertuples(index=False):
-            homes[ele] = Element(int(ele), seq, int(lb), int(rb))
+        col = {c: group.column(c).to_pylist() for c in group.column_names}
+        r, homes = Refiner(config), {}
+        for ele, seq, lb, rb in sorted(dict(zip(col["ele_id"], zip(col["ele_id"], col["seq"], col["e_lb"], col["e_rb"], strict=True), strict=True)).values(), key=lambda x: x[0]):
+            homes[ele] = Element(ele, seq, lb, rb)
             r.elements.append(homes[ele])
-        rows = pdf.sort_values(["msp_id", "side"])[["msp_id", "side", "iden", "direction", "score", "lb", "rb", "ele_id"]]
         known: dict[int, Alignment] = {}
-        for msp, side, iden, direction, score, lb, rb, ele in rows.itertuples(index=False):
+        for k in sorted(range(len(group)), key=lambda k: (col["msp_id"][k], col["side"][k])):
+            msp, side = col["msp_id"][k], col["side"][k]
             a = known.get(msp)
             if a is None:
-                a = known[msp] = Alignment(int(msp), float(np.float32(iden)), int(direction), int(score), [0, 0], [0, 0], [None, None])
-            a.lb[side], a.rb[side], a.home[side] = int(lb), int(rb), homes[ele]
-            homes[ele].images.append((a, int(side)))
-        r.next_alignment = int(rows["msp_id"].max()) + 1 if len(rows) else 0
+                a = known[msp] = Alignment(msp, col["iden"][k], col["direction"][k], col["score"][k], [0, 0], [0, 0], [None, None])
+            a.lb[side], a.rb[side], a.home[side] = col["lb"][k], col["rb"][k], homes[col["ele_id"][k]]
+            a.home[side].images.append((a, side))
+        r.next_alignment = max(known, default=-1) + 1
         r.run()
-        out = []
-        part = f"{min(homes):019d}"
+        keys = {e: birth_key(e) for e in r.elements}
+        names, rows = tuple(_COLUMNS), []
+
+        def add(**values: object) -> None:
+            rows.append(tuple(map(values.get, names)))
+
         for e in r.elements:
-            out.append({"kind": "element", "ele": e.number if e.birth is None else None, "birth": birth_key(e), "stat": e.stat, "seq": e.seq, "lb": e.lb, "rb": e.rb, "img_no": len(e.images), "fate": e.fate, "part": part})
+            add(kind="element", ele=e.number if e.birth is None else None, birth=keys[e], stat=e.stat, seq=e.seq, lb=e.lb, rb=e.rb, img_no=len(e.images), fate=e.fate)
             for a, s in e.images:
-                out.append({"kind": "image", "birth": birth_key(e), "msp_id": a.number, "side": s, "lb": a.lb[s], "rb": a.rb[s], "direction": a.direction, "score": a.score, "iden": a.iden, "type": "p" if a.primary else "s", "part": part})
+                add(kind="image", birth=keys[e], msp_id=a.number, side=s, lb=a.lb[s], rb=a.rb[s], direction=a.direction, score=a.score, iden=a.iden, type="p" if a.primary else "s")
             for x in e.edges.values():
                 if x.one is e:
-                    out.append({"kind": "edge", "edge_no": x.number, "birth": birth_key(e), "birth2": birth_key(x.two), "type": x.kind, "score": x.score, "direction": x.direction, "part": part})
-        names = [c.split()[0] for c in _COLUMNS.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        for c in ("ele", "lb", "rb", "img_no", "edge_no", "ele2", "score", "direction", "msp_id", "side"):
-            frame[c] = frame[c].astype("Int64")
-        for c in ("kind", "birth", "stat", "seq", "birth2", "type", "fate", "part"):  # one chunk each for Arrow
-            frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
-        return frame
+                    add(kind="edge", edge_no=x.number, birth=keys[e], birth2=keys[x.two], type=x.kind, score=x.score, direction=x.direction)
+        columns = dict(zip(names, zip(*rows, strict=True), strict=True)) | {"part": [f"{min(homes):019d}"] * len(rows)}
+        return pa.table({n: pa.array(columns[n], _ARROW.get(t, seq_type)) for n, t in _COLUMNS.items()})
 
     return run
 
@@ -471,8 +476,9 @@ def refine(bells: DataFrame, extents: DataFrame, config: Config = Config()) -> t
     parts = least_ancestors(extents.select(F.col("ele_id").alias("node")), links, directed=False)
     rows = bells.join(extents.select("ele_id", F.col("lb").alias("e_lb"), F.col("rb").alias("e_rb")), "ele_id").join(parts.select(F.col("node").alias("ele_id"), F.col("root").alias("grp")), "ele_id")
     rows = rows.select("grp", "msp_id", "side", "iden", "direction", "score", "lb", "rb", "ele_id", "seq", "e_lb", "e_rb")
-    done = rows.groupBy("grp").applyInPandas(_kernel(config), _COLUMNS.format(seq=dict(rows.dtypes)["seq"]))
-    done = written(done)
+    seq = dict(rows.dtypes)["seq"]
+    schema = ", ".join(f"{n} {t or seq}" for n, t in _COLUMNS.items())
+    done = written(rows.groupBy("grp").applyInArrow(_kernel(config, to_arrow_type(rows.schema["seq"].dataType)), schema))
     # Elements that lost all images to the tandem filter are gone.
     empty = extents.join(bells.select("ele_id").distinct(), "ele_id", "left_anti")
     found = done.where("kind = 'element'")
