@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, types as T
 
 from famloom.config import Config
+from famloom.operators.groups import map_groups
 from famloom.operators.refine import Alignment, Element, Refiner
 
-_SCHEMA = "ele_id long, p_ele long, is_primary boolean, score int, direction int, n_marked long"
+_SCHEMA = T.StructType(
+    [T.StructField("ele_id", T.LongType()), T.StructField("p_ele", T.LongType()), T.StructField("is_primary", T.BooleanType()), T.StructField("score", T.IntegerType()), T.StructField("direction", T.IntegerType()), T.StructField("n_marked", T.LongType())]
+)
 
 
 def _pair(config: Config):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        own, other = Element(int(first.ele_id), 0, int(first.e_lb), int(first.e_rb)), Element(int(first.p_ele), 1, int(first.pe_lb), int(first.pe_rb))
-        pdf = pdf.sort_values(["direction", "lb", "rb", "img_id"])
-        group = []
-        for k, r in enumerate(pdf.itertuples(index=False)):
-            group.append((Alignment(k, float(r.iden), int(r.direction), 0, [int(r.lb), int(r.p_lb)], [int(r.rb), int(r.p_rb)], [own, other]), 0))
+    def run(rows: list[dict]) -> list[tuple]:
+        first = rows[0]
+        own, other = Element(first["ele_id"], 0, first["e_lb"], first["e_rb"]), Element(first["p_ele"], 1, first["pe_lb"], first["pe_rb"])
+        group = [(Alignment(k, r["iden"], r["direction"], 0, [r["lb"], r["p_lb"]], [r["rb"], r["p_rb"]], [own, other]), 0) for k, r in enumerate(rows)]
         refiner = Refiner(config)
         found, score, direction = refiner.best_chain(refiner.chain_tree(group), own)
-        return pd.DataFrame([(own.number, other.number, found, score, direction, sum(a.primary for a, _ in group))], columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+        return [(own.number, other.number, found, score, direction, sum(a.primary for a, _ in group))]
 
     return run
 
@@ -31,7 +30,8 @@ def chain_primaries(pairs: DataFrame, config: Config = Config()) -> DataFrame:
 
     ``pairs``: images of pairs without full-length ones, with both extents (see ``paired``).
     """
-    return pairs.groupBy("ele_id", "p_ele").applyInPandas(_pair(config), _SCHEMA)
+    rows = pairs.select("ele_id", "p_ele", "direction", "lb", "rb", "img_id", "p_lb", "p_rb", "iden", "e_lb", "e_rb", "pe_lb", "pe_rb")
+    return map_groups(rows, ["ele_id", "p_ele"], ["direction", "lb", "rb", "img_id"], _pair(config), _SCHEMA)
 
 
 def tree_text(tree: list, depth: int = 0) -> str:

@@ -6,14 +6,14 @@ the subject, so the other side is img_id ^ 1.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from famloom.config import Config
+from famloom.operators.graph import written
 
 
 def images(msps: DataFrame) -> DataFrame:
@@ -22,17 +22,28 @@ def images(msps: DataFrame) -> DataFrame:
     return msps.select(F.explode(F.array(side(0, "q"), side(1, "s"))).alias("i")).select("i.*")
 
 
-def islands(imgs: DataFrame, min_overlap: int = 10) -> DataFrame:
+def islands(imgs: DataFrame, min_overlap: int = 10, bucket: int | None = None) -> DataFrame:
     """``imgs`` with ``island`` (from 0 in each sequence): images that start beyond all ends before them, but for ``min_overlap``, begin a new one.
 
     No element reaches over an island's border, so islands are clustered apart.
-    One sequence is one window; its rows are four numbers each and spill.
+    A sequence is one window; with ``bucket`` it is one window for each so many
+    positions, and what comes before a window is a table of a row for each.
     """
     order = ["lb", F.desc("rb"), "img_id"]
-    by = Window.partitionBy("seq").orderBy(*order)
-    before = F.max("rb").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    if bucket is None:
+        by = Window.partitionBy("seq").orderBy(*order)
+        before = F.max("rb").over(by.rowsBetween(Window.unboundedPreceding, -1))
+        start = F.when(before.isNull() | (before - F.col("lb") <= min_overlap), 1).otherwise(0)
+        return imgs.withColumn("__start", start).withColumn("island", F.sum("__start").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int") - 1).drop("__start")
+    keyed = imgs.withColumn("__b", F.floor(F.col("lb") / bucket))
+    by, ahead = Window.partitionBy("seq", "__b").orderBy(*order), Window.partitionBy("seq").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = keyed.groupBy("seq", "__b").agg(F.max("rb").alias("__rb")).select("seq", "__b", F.max("__rb").over(ahead).alias("__before"))
+    before = F.greatest("__before", F.max("rb").over(by.rowsBetween(Window.unboundedPreceding, -1)))
     start = F.when(before.isNull() | (before - F.col("lb") <= min_overlap), 1).otherwise(0)
-    return imgs.withColumn("__start", start).withColumn("island", F.sum("__start").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int") - 1).drop("__start")
+    keyed = keyed.join(ends, ["seq", "__b"]).withColumn("__start", start).drop("__before")
+    starts = keyed.groupBy("seq", "__b").agg(F.sum("__start").alias("__n")).select("seq", "__b", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__past"))
+    run = F.sum("__start").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return keyed.join(starts, ["seq", "__b"]).withColumn("island", (F.col("__past") + run - 1).cast("int")).drop("__b", "__start", "__past")
 
 
 def island_extents(isles: DataFrame) -> DataFrame:
@@ -119,31 +130,57 @@ def greedy(rows: Iterable[tuple[int, int]], cutoff: float, double: bool = False,
 
 
 def _clusters(config: Config):
+    """Arrow batches sorted by island and place in, with column ``local`` out; one island is held at a time."""
     cutoff, double, gap = config.coverage, config.method == "double", config.min_overlap
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["lb", "rb", "img_id"], ascending=[True, False, True], kind="stable")
-        local = greedy(zip(pdf["lb"].tolist(), pdf["rb"].tolist(), strict=True), cutoff, double, gap)
-        return pdf.assign(local=np.array(local, dtype=np.int32))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterable[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            seq, isle, lb, rb = (t.column(c).to_pylist() for c in ("seq", "island", "lb", "rb"))
+            local, at = [], 0
+            for end in range(1, len(t) + 1):
+                if end == len(t) or isle[end] != isle[at] or seq[end] != seq[at]:
+                    local += greedy(zip(lb[at:end], rb[at:end], strict=True), cutoff, double, gap)
+                    at = end
+            yield from t.append_column("local", pa.array(local, pa.int32())).to_batches()
+
+        for b in batches:
+            if not len(b):
+                continue
+            key = (b.column("seq")[0].as_py(), b.column("island")[0].as_py())
+            last = (b.column("seq")[-1].as_py(), b.column("island")[-1].as_py())
+            if held and key != (held[-1].column("seq")[-1].as_py(), held[-1].column("island")[-1].as_py()):
+                yield from done()
+                held = []
+            if key != last:  # all but the last island are complete
+                isle, seq = b.column("island").to_pylist(), b.column("seq").to_pylist()
+                cut = len(b) - 1
+                while cut and (seq[cut - 1], isle[cut - 1]) == last:
+                    cut -= 1
+                held.append(b.slice(0, cut))
+                yield from done()
+                held = [b.slice(cut)]
+            else:
+                held.append(b)
+        if held:
+            yield from done()
 
     return run
 
 
-def greedy_elements(imgs: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
+def greedy_elements(imgs: DataFrame, config: Config = Config(), bucket: int | None = None) -> DataFrame:  # noqa: B008
     """``imgs`` with ele_id, from 1 by sequence, island and seed.
 
     Islands are clustered apart; their numbers of elements give each its first id.
     """
-    isles = islands(imgs, config.min_overlap)
-    kind = dict(isles.dtypes)
-    single = Window.partitionBy("seq", "island")
-    sized = isles.withColumn("__n", F.count(F.lit(1)).over(single))
-    # An image alone on its island is an element: no kernel needed.
-    alone = sized.where("__n = 1").drop("__n").withColumn("local", F.lit(0))
-    rest = sized.where("__n > 1").drop("__n")
-    schema = ", ".join(f"{c} {kind[c]}" for c in isles.columns) + ", local int"
-    done = alone.unionByName(rest.groupBy("seq", "island").applyInPandas(_clusters(config), schema))
-    return number_elements(done)
+    isles = islands(imgs, config.min_overlap, bucket)
+    n = int(imgs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = isles.repartition(n, "seq", "island").sortWithinPartitions("seq", "island", "lb", F.desc("rb"), "img_id")
+    schema = ", ".join(f"{c} {t}" for c, t in isles.dtypes) + ", local int"
+    # Numbering reads this twice.
+    return number_elements(written(sorted_rows.mapInArrow(_clusters(config), schema)))
 
 
 def number_elements(done: DataFrame) -> DataFrame:
@@ -204,6 +241,3 @@ def recluster(rows: list[tuple[int, int]], cutoff: float, min_overlap: int = 10)
         out.append(members)
     return out
 
-
-def first_at_least(values: list[int], x: int) -> int:
-    return bisect_left(values, x)

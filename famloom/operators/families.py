@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from famloom.operators.edges import is_primary
+from famloom.operators.groups import map_groups
 from famloom.operators.graph import least_ancestors, numbered, written
 
 
@@ -23,20 +23,23 @@ def family_numbers(roots: DataFrame) -> DataFrame:
     return numbered(roots.groupBy("root").agg(F.count(F.lit(1)).alias("copies")), "root", "fam", 1)
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Breadth-first order and orientation of one family; rows are its edges and its root (edge_id null)."""
-    root, fam = int(pdf["root"].iloc[0]), pdf["root"].iloc[0]
-    out: dict[int, list[tuple[int, int, int]]] = {}
-    for u, v, e, d in pdf.dropna(subset=["edge_id"])[["owner", "other", "edge_id", "direction"]].itertuples(index=False):
-        out.setdefault(int(u), []).append((int(e), int(v), int(d)))
+_MEMBER = T.StructType([T.StructField("root", T.LongType()), T.StructField("ele_id", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("dir", T.IntegerType())])
+
+
+def _walk(rows: list[dict]) -> list[tuple]:
+    """Breadth-first order and orientation of one family; rows are its edges, sorted by number."""
+    root = rows[0]["root"]
+    out: dict[int, list[tuple[int, int]]] = {}
+    for r in rows:
+        out.setdefault(r["owner"], []).append((r["other"], r["direction"]))
     seen, queue = {root: 1}, deque([root])
     while queue:
         u = queue.popleft()
-        for _, v, d in sorted(out.get(u, ())):
+        for v, d in out.get(u, ()):
             if v not in seen:
                 seen[v] = seen[u] * d
                 queue.append(v)
-    return pd.DataFrame({"root": fam, "ele_id": list(seen), "pos": range(len(seen)), "dir": list(seen.values())})
+    return [(root, e, k, d) for k, (e, d) in enumerate(seen.items())]
 
 
 def members(roots: DataFrame, owned: DataFrame, largest: int = 50_000) -> DataFrame:
@@ -49,8 +52,7 @@ def members(roots: DataFrame, owned: DataFrame, largest: int = 50_000) -> DataFr
     big = sizes.where(F.col("n") > largest).select("root")
     alone = roots.where("ele_id = root").join(sizes, "root", "left_anti").select("root", "ele_id", F.lit(0).cast("long").alias("pos"), F.lit(1).alias("dir"))
     small = links.join(sizes.where(F.col("n") <= largest).select("root"), "root", "left_semi")
-    walked = small.groupBy("root").applyInPandas(_walk, "root long, ele_id long, pos long, dir int")
-    out = alone.unionByName(walked)
+    out = alone.unionByName(map_groups(small, ["root"], ["edge_id"], _walk, _MEMBER))
     if big.limit(1).count():
         out = out.unionByName(_levels(written(links.join(big, "root", "left_semi")), big))
     return out

@@ -30,8 +30,14 @@ class Result:
     images: DataFrame
 
 
+#: Sequences of more images than LONG_SEQUENCE are cut into windows of BUCKET positions.
+LONG_SEQUENCE, BUCKET = 2_000_000, 100_000
+
+
 def run(msps: DataFrame, config: Config = Config()) -> Result:  # noqa: B008
-    assigned = written(greedy_elements(images(msps), config))
+    imgs = images(msps)
+    longest = imgs.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    assigned = written(greedy_elements(imgs, config, BUCKET if longest > LONG_SEQUENCE else None))
     extents = written(element_extents(assigned))
     bells = dumbbells(assigned).join(msps.select("msp_id", "iden", "direction", "score"), "msp_id")
     big = written(tandems(bells, config.tandem_images, config.tandem_ratio).select("ele_id"))

@@ -173,3 +173,26 @@ def test_reports_and_snapshots(spark, tmp_path):
     reports.write_gml(result.elements, result.edges, str(tmp_path / "gml"))
     assert spark.read.text(str(tmp_path / "gml")).where("value like 'edge%'").count() == reports.gml_edges(result.edges).count()
     assert len(reports.dataset_key(spark.read.text(str(tmp_path / "out" / "eles")))) == 12
+
+
+def test_clustering_is_the_same_for_any_windows_and_batches(spark):
+    from famloom.operators.elements import greedy, greedy_elements, islands
+
+    r = random.Random(4)
+    rows = [(i, i // 2, i % 2, f"s{r.randrange(4)}", a := r.randrange(3000), a + r.randrange(20, 150)) for i in range(900)]
+    frame = spark.createDataFrame(rows, "img_id long, msp_id long, side int, seq string, lb int, rb int")
+    one, two = (sorted(map(tuple, islands(frame, bucket=b).select("img_id", "island").collect())) for b in (None, 500))
+    assert one == two
+    want, n = {}, 0
+    for seq in sorted({x[3] for x in rows}):
+        mine = sorted((x for x in rows if x[3] == seq), key=lambda x: (x[4], -x[5], x[0]))
+        local = greedy([(x[4], x[5]) for x in mine], 0.5)
+        want |= {x[0]: n + e + 1 for x, e in zip(mine, local, strict=True)}
+        n += max(local) + 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert {x.img_id: x.ele_id for x in greedy_elements(frame, bucket=500).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
