@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -74,6 +73,3 @@ def ranked(df: DataFrame, order: list[Column], group: str | None, name: str) ->
     bases = spark.createDataFrame(bases, schema)
     return placed.join(F.broadcast(bases), keys, "inner").withColumn(name, F.col(row) + F.col(base)).drop(at, part, row, base)
 
-
-def total(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from famloom.llm.common import ranked, total
+from famloom.llm.common import ranked
 
 EXACT, SIGN = 8, 64
 LOW = (1 << 32) - 1
@@ -46,17 +46,17 @@ def sentences(text: Column) -> Column:
 def lanes(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with the fingerprint of column ``text`` as array<long> ``name``: EXACT sums, SIGN / 2 packed sums, the number of sentences."""
     p, s = f"__{name}_p", f"__{name}_s"
-    hashed = df.withColumns({p: paragraphs(F.col(text)), s: F.transform(sentences(F.col(text)), lambda x: F.xxhash64(x))})
     zero = F.lit(0).cast("long")
 
-    def exact(i: int) -> Column:  # the lane's number comes first: it seeds the hash of the paragraph
-        return F.aggregate(p, zero, lambda acc, x: _low(acc + _low(F.xxhash64(F.lit(i), x))))
+    def exact(i: Column) -> Column:  # the lane's number comes first: it seeds the hash of the paragraph
+        return F.aggregate(p, zero, lambda acc, x: _low(acc + _low(F.xxhash64(i, x))))
 
-    def packed(j: int) -> Column:
-        return F.aggregate(s, zero, lambda acc, x: acc + F.shiftrightunsigned(x, j).bitwiseAND(F.lit(PAIR)))
+    def packed(j: Column) -> Column:
+        return F.aggregate(s, zero, lambda acc, x: acc + F.call_function("shiftrightunsigned", x, j).bitwiseAND(F.lit(PAIR)))
 
-    exact, packed = [exact(i) for i in range(EXACT)], [packed(j) for j in range(SIGN // 2)]
-    return hashed.withColumn(name, F.array(*exact, *packed, F.size(s).cast("long"))).drop(p, s)
+    hashed = df.withColumns({p: paragraphs(F.col(text)), s: F.transform(sentences(F.col(text)), lambda x: F.xxhash64(x))})
+    over = lambda n, f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
+    return hashed.withColumn(name, F.concat(over(EXACT, exact), over(SIGN // 2, packed), F.array(F.size(s).cast("long")))).drop(p, s)
 
 
 def _pairs(c: Column, i: int) -> tuple[Column, Column]:
@@ -66,7 +66,7 @@ def _pairs(c: Column, i: int) -> tuple[Column, Column]:
 
 def hexed(c: Column) -> Column:
     """Fingerprint as text: 8 hex digits for each exact lane, 16 for each pair of sign lanes and the number of sentences."""
-    return F.concat(*[F.lpad(F.lower(F.hex(F.element_at(c, i + 1))), 8 if i < EXACT else 16, "0") for i in range(EXACT + SIGN // 2 + 1)])
+    return F.array_join(F.transform(c, lambda x, i: F.lpad(F.lower(F.hex(x)), F.when(i < EXACT, 8).otherwise(16), F.lit("0"))), "")
 
 
 def added(a: Column, b: Column, sign: int = 1) -> Column:
@@ -85,16 +85,18 @@ def added(a: Column, b: Column, sign: int = 1) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """1 for equal fingerprints; else 1 - |A - B|^2 / (|A|^2 + |B|^2), estimated from the sign lanes, from 0 to 1."""
-    n, at = EXACT + SIGN // 2, F.element_at
-    diff, size_a, size_b = [], [], []
-    na, nb = at(a, n + 1), at(b, n + 1)
-    for i in range(EXACT, n):
-        for x, y in zip(_pairs(a, i), _pairs(b, i), strict=True):
-            sa, sb = (2 * x - na).cast("double"), (2 * y - nb).cast("double")
-            diff.append((sa - sb) * (sa - sb))
-            size_a.append(sa * sa)
-            size_b.append(sb * sb)
-    value = 1 - F.try_divide(total(diff), total(size_a) + total(size_b))
+    count = lambda c: F.element_at(c, EXACT + SIGN // 2 + 1)
+
+    def signs(c: Column) -> Column:
+        """The random-sign sums: twice the ones less the number of sentences."""
+        halves = F.flatten(F.transform(F.slice(c, EXACT + 1, SIGN // 2), lambda x: F.array(F.shiftrightunsigned(x, 32), _low(x))))
+        return F.transform(halves, lambda x: (2 * x - count(c)).cast("double"))
+
+    def square(c: Column) -> Column:
+        return F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x)
+
+    sa, sb = signs(a), signs(b)
+    value = 1 - F.try_divide(square(F.zip_with(sa, sb, lambda x, y: x - y)), square(sa) + square(sb))
     same = F.forall(F.arrays_zip(a.alias("x"), b.alias("y")), lambda z: z["x"] == z["y"])
     return F.when(same, 1.0).otherwise(F.least(F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(0.0)), F.lit(1.0 - 2.0**-20)))
 
