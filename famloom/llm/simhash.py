@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from famloom.llm.common import arrow_batches, materialise
+from famloom.llm.common import arrow_batches, materialise, partitions
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
 SEGMENT = 32
@@ -83,6 +83,8 @@ def _signed(x: int) -> int:
 
 def candidates(fps: DataFrame) -> DataFrame:
     """Of the distinct fingerprints ``fp``, those with a variant in common with another."""
+    # Each row becomes 64: spread first, or the few tasks that read a small table make them all.
+    fps = fps.select("fp").repartition(partitions(fps.sparkSession), "fp")
     rows = fps.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     return rows.join(shared, "key", "left_semi").select("fp").distinct()
