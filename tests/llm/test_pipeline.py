@@ -1,4 +1,4 @@
-"""The pipeline's stages against brute force: near copies."""
+"""The pipeline's stages against brute force: near copies, null and shared ids."""
 
 import random
 
@@ -71,3 +71,33 @@ def test_near_dedup_finds_near_copies(spark, make):
     texts = copies(5)
     got = sorted(r.doc_id for r in corpus_pipeline.dedup(spark, make(list(enumerate(texts))), "").collect())
     assert got == sorted(set(_groups(texts)))
+
+
+def _survivors(data):
+    """Of each group the row of the smallest doc_id, nulls last: (doc_ids allowed, texts allowed) by group, as rows with one doc_id in a group tie."""
+    groups = {}
+    for root, d in zip(_groups([d[1] for d in data]), data, strict=True):
+        groups.setdefault(root, []).append(d)
+    out = []
+    for rows in groups.values():
+        least = min((d[0] is None, d[0] or 0) for d in rows)
+        out.append({(d[0], d[1]) for d in rows if (d[0] is None, d[0] or 0) == least})
+    return out
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, make):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    # Unrelated texts without an id, copies of named ones without an id, one id on two texts, an id that is a copy in one group and least in another.
+    data = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (None, text(3)), (8, text(4)), (8, text(5)), (9, text(6)), (3, text(6)), (9, text(7)), (10, text(8)), (10, text(8))]
+    data += [(r.choice((None, r.randrange(100, 140))), t) for t in copies(7, 80)]
+    got = [(x.doc_id, x.text) for x in corpus_pipeline.dedup(spark, make(data), "").collect()]
+    want = _survivors(data)
+    assert len(got) == len(want) and all(len(w & set(got)) >= 1 for w in want)
+    # No row of another group's making: groups share no texts.
+    assert sorted(_groups([t for _, t in got])) == list(range(len(got)))
+    assert set(got) <= set().union(*want)
+    one = make([(None, text(1)), (1, text(2)), (None, text(2))])
+    assert sorted(((x.doc_id, x.text) for x in corpus_pipeline.dedup(spark, one, "").collect()), key=repr) == [(1, text(2)), (None, text(1))]
