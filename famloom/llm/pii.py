@@ -3,7 +3,8 @@
 Patterns give the base spans.  The field adds others: a region of neighbouring
 chunks (runs free of white space) that hold digits or ``@`` is cut into segments
 of up to ``LONGEST`` chunks, each scored as a whole (shape, digits, checksums,
-words before it) for each type, and a Viterbi pass over segments chooses
+words before it) for each type (several chunks only up to ``WIDEST`` characters,
+one chunk, such as a long key or a JSON web token, at any length), and a Viterbi pass over segments chooses
 boundaries and types together.  Chunks outside such regions can only be plain,
 so regions are independent of one another.
 
@@ -34,6 +35,8 @@ BASE, EXTRA = ("email", "ip", "card", "phone"), ("secret", "ssn")
 KINDS = (*BASE, *EXTRA)
 #: Chunks in a segment, at most; training sentences; passes over them.
 LONGEST, SENTENCES, PASSES = 6, 240, 8
+#: Characters in a segment of several chunks, at most: far beyond any number written in groups.
+WIDEST = 160
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -90,11 +93,13 @@ def _by_start(span: tuple[int, int, str]) -> tuple[int, int, int]:
 
 #: Neighbouring chunks with a digit or @.
 _REGION = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*(?:[ \t]+[^\s0-9@]*[0-9@]\S*)*")
-_CHUNK, _HEX = re.compile(r"\S+"), re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/=-]{16,128}")
+_CHUNK, _HEX = re.compile(r"\S+"), re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/=-]{16,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _OPEN, _CLOSE = "\"'<[{|*#`", "\"'>]}.,;:!?*#$%&|`"
 #: Words before a segment that are features.
 _HINTS = frozenset("token key secret password apikey bearer pwd auth phone tel call fax mobile ssn social security card visa ip host email mail contact commit sha md5 order page version isbn id number year invoice".split())
 _LABELS = ("", *KINDS)
+#: Kinds that are never longer than WIDEST: numbers in groups.
+_SHORT = [_LABELS.index(k) for k in ("ip", "card", "phone", "ssn")]
 
 
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -126,11 +131,11 @@ def features(text: str, a: int, b: int, chunks: int) -> list[str]:
     return out
 
 
-def possible(text: str, a: int, b: int) -> bool:
-    """Whether a segment can be anything but plain."""
+def possible(text: str, a: int, b: int, chunks: int = 1) -> bool:
+    """Whether a segment can be anything but plain: of one chunk at any length, of more up to WIDEST characters."""
     s, e = _trimmed(text, a, b)
     span = text[s:e]
-    return e > s and e - s <= 160 and ("@" in span or sum("0" <= x <= "9" for x in span) >= 7 or span.count(".") == 3 or bool(_HEX.fullmatch(span)))
+    return e > s and (chunks == 1 or e - s <= WIDEST) and ("@" in span or sum("0" <= x <= "9" for x in span) >= 7 or span.count(".") == 3 or bool(_HEX.fullmatch(span)))
 
 
 class Field:
@@ -142,10 +147,12 @@ class Field:
     def segment(self, text: str, chunks: list[tuple[int, int]], i: int, j: int) -> tuple[list[int], np.ndarray] | None:
         """Features of chunks i to j and the labels they may have (0, else -inf); None if they cannot be a segment."""
         a, b = chunks[i][0], chunks[j - 1][1]
-        may = possible(text, a, b)
+        may = possible(text, a, b, j - i)
         if not may and j > i + 1:
             return None
         allowed = np.full(len(_LABELS), 0.0 if may else -np.inf)
+        if b - a > WIDEST:
+            allowed[_SHORT] = -np.inf
         allowed[0] = 0 if j == i + 1 else -np.inf
         return [self.names[f] for f in features(text, a, b, j - i) if f in self.names], allowed
 

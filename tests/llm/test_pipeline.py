@@ -1,10 +1,10 @@
-"""The pipeline's stages against brute force: near copies, null and shared ids."""
+"""The pipeline's stages against brute force: near copies, null and shared ids, long secrets."""
 
 import random
 
 import pytest
 
-from famloom.llm import jaccard
+from famloom.llm import jaccard, pii
 
 
 def _shingles(text):
@@ -101,3 +101,15 @@ def test_near_dedup_keeps_one_row_of_each_group(spark, make):
     assert set(got) <= set().union(*want)
     one = make([(None, text(1)), (1, text(2)), (None, text(2))])
     assert sorted(((x.doc_id, x.text) for x in corpus_pipeline.dedup(spark, one, "").collect()), key=repr) == [(1, text(2)), (None, text(1))]
+
+
+def test_long_secrets_are_found():
+    r, field = random.Random(9), pii.trained()
+    code = lambda n: "a1" + "".join(r.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_-") for _ in range(n - 3)) + "z"
+    for span in (code(129), code(161), code(2000), f"eyJ{code(33)}.eyJ{code(200)}.{code(43)}"):
+        for before, after in (('token = "', '"'), ("bearer ", "")):
+            text = f"some words {before}{span}{after} and more"
+            at = text.index(span)
+            assert pii.field_spans(text, field) == [(at, at + len(span), "secret")]
+            assert pii.redacted(text, pii.spans(text, field)[1]) == f"some words {before}<SECRET>{after} and more"
+    assert pii.field_spans("see http://a.example/" + "abc/" * 40 + "x1234567890?y=12 ok", field) == []
