@@ -8,6 +8,10 @@ hashed from seed and document; copies are exploded and shuffled globally.
 Defined results: a null source is a source of its own; a null text has no
 bytes; a source without bytes has rate 1; rows repeated in the input draw the
 same number; a document that draws 0 is left out; an empty table gives none.
+As the SQL has it, a draw hangs on ``key`` and source alone: all rows of a source
+without a key, and different texts under one key, share a draw.  With ``by_text``
+(the pipeline's stage) the text is hashed too, so these draw, and are placed,
+apart; only rows that repeat key, source and text share a draw then.
 """
 
 from __future__ import annotations
@@ -54,14 +58,15 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     return out.withColumn("cdf", cdf).withColumnsRenamed({"rate": "__rate", "cdf": "__cdf"})
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, seed: int = SEED, source: str = "source", key: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = 1.0, seed: int = SEED, source: str = "source", key: str = "doc_id", by_text: bool = False) -> DataFrame:
     """All columns of ``docs``, a row for each copy, with ``__copy`` (from 0), ``__copies``, ``__rate`` and ``__place``: rows are dealt to partitions by its hash and sorted by it there, a shuffle of the whole output."""
     # Written, so that Spark knows its size: it broadcasts the table while it is small, and joins by shuffle beyond.
     table = materialise(rates(docs, weights, temperature, epochs, source), "rates")
-    u = hashed_uniform(F.col(key), F.col(source), seed=seed)
+    text = [F.md5(F.col("text").cast("binary"))] if by_text else []
+    u = hashed_uniform(F.col(key), F.col(source), *text, seed=seed)
     drawn = docs.withColumn("__u", u).join(table, F.col(source).eqNullSafe(F.col("__source")), "inner")
     drawn = drawn.withColumn("__copies", F.size(F.filter("__cdf", lambda c: c < F.col("__u"))).cast("long")).where("__copies > 0").drop("__source", "__cdf", "__u")
     copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
-    place = F.md5(F.concat_ws(":", F.lit(f"place{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("__copy").cast("string")))
+    place = F.md5(F.concat_ws(":", F.lit(f"place{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("__copy").cast("string"), *[F.coalesce(x, F.lit("null")) for x in text]))
     copies = copies.withColumns({"__place": place, "__row": F.monotonically_increasing_id()})
     return copies.repartition(partitions(docs.sparkSession), "__place", "__row").sortWithinPartitions("__place", "__row").drop("__row")

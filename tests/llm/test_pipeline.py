@@ -1,10 +1,10 @@
-"""The pipeline's stages against brute force: near copies, null and shared ids, long secrets."""
+"""The pipeline's stages against brute force: near copies, null and shared ids, long secrets, draws by text."""
 
 import random
 
 import pytest
 
-from famloom.llm import jaccard, pii
+from famloom.llm import jaccard, mixing, pii
 
 
 def _shingles(text):
@@ -113,3 +113,11 @@ def test_long_secrets_are_found():
             assert pii.field_spans(text, field) == [(at, at + len(span), "secret")]
             assert pii.redacted(text, pii.spans(text, field)[1]) == f"some words {before}<SECRET>{after} and more"
     assert pii.field_spans("see http://a.example/" + "abc/" * 40 + "x1234567890?y=12 ok", field) == []
+
+
+def test_mixing_by_text_draws_apart(make):
+    data = [(None, f"text {i}", "a") for i in range(400)] + [(5, f"other {i}", "a") for i in range(400)] + [(i, "b" * 100, "b") for i in range(100, 900)]
+    got = [(r.doc_id, r["__copies"], r["__place"]) for r in mixing.mix(make(data), weights={"a": 1, "b": 1}, epochs=1.0, by_text=True).where("source = 'a'").collect()]
+    for key in (None, 5):
+        assert len({n for i, n, _ in got if i == key}) > 1
+    assert len({p for *_, p in got}) == len(got)
