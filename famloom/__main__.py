@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from famloom import __version__
 from famloom.config import MODES, Config
+from famloom.operators.graph import clean
 from famloom.plans.pipeline import run, stage_counts
 from famloom.sources.alignments import read_dictionary, read_msps
 from famloom.sources.reports import snapshot, write_reports
@@ -24,15 +25,17 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--cutoff", type=float, default=None)
     parser.add_argument("-v", "--version", action="version", version=__version__)
     parser.add_argument("-l", "--log-level", default="WARNING", choices=("DEBUG", "INFO", "WARNING", "ERROR"))
+    parser.add_argument("--stages", default=None, help="folder for finished stages; a run that failed goes on from there")
     args = parser.parse_args(argv)
     logging.basicConfig(level=args.log_level)
     spark = SparkSession.builder.appName("famloom").getOrCreate()
     msps = read_msps(spark, args.alignments, read_dictionary(spark, args.seqnames))
-    result = run(msps, Config(mode=args.mode, method=args.method, cutoff=args.cutoff))
+    result = run(msps, Config(mode=args.mode, method=args.method, cutoff=args.cutoff), args.stages)
     write_reports(result, f"{args.out}/reports")
     snapshot(result, f"{args.out}/tables")
     for r in stage_counts(result).collect():
         logging.getLogger("famloom").info("%s %d", r["name"], r["n"])
+    clean(spark)
 
 
 if __name__ == "__main__":

@@ -44,8 +44,6 @@ class Config:
     partial_ratio: float = 0.7
     #: Hops from a seed within which elements are redefined.
     clan_depth: int = 3
-    #: Nodes of one consistency tree, before the kernel gives up (its worst case is exponential).
-    chain_nodes: int = 1_000_000
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from famloom.functions.segments import cut, facing, partner_ends
+from famloom.operators.groups import map_rows
 
 
 def votes(primary: DataFrame) -> DataFrame:
@@ -45,22 +48,29 @@ def point_clusters(all_votes: DataFrame, width: int = 20, step: int = 10) -> Dat
     """(ele_id, bd, support) from votes; an element's votes are one sorted array."""
     rows = all_votes.groupBy("ele_id").agg(F.sort_array(F.collect_list("cp")).alias("cps"))
 
-    @F.udf("array<struct<bd:int,support:int>>", useArrow=True)
-    def clusters(cps):
-        return [{"bd": b, "support": s} for b, s in cluster_points([int(x) for x in cps], width, step)]
+    def run(row: tuple) -> list[tuple]:
+        return [(row[0], bd, support) for bd, support in cluster_points(row[1], width, step)]
 
-    return rows.select("ele_id", F.explode(clusters("cps")).alias("c")).select("ele_id", "c.bd", "c.support")
+    return map_rows(rows.select("ele_id", "cps"), run, f"ele_id {dict(rows.dtypes)['ele_id']}, bd int, support int")
 
 
 def spans(bounds: DataFrame, imgs: DataFrame, factor: int = 2, margin: int = 10) -> DataFrame:
     """``bounds`` with ``span``: ``factor`` for each image of the element that reaches ``margin`` beyond the boundary on both sides.
 
-    Equal boundaries of an element are counted once; the range condition stands beside an equality on the element.
+    No boundary meets an image: of images long enough, those that begin by
+    ``bd - margin`` less those that end by ``bd + margin`` reach over ``bd``, so one
+    running sum over starts, ends and boundaries in order counts them all.
     """
-    cuts = bounds.select("ele_id", "bd").distinct()
-    over = cuts.join(imgs.select("ele_id", "lb", "rb"), "ele_id").where((F.col("lb") <= F.col("bd") - margin) & (F.col("rb") > F.col("bd") + margin))
-    counted = over.groupBy("ele_id", "bd").agg((F.count(F.lit(1)) * factor).alias("span"))
-    return bounds.join(counted, ["ele_id", "bd"], "left").withColumn("span", F.coalesce("span", F.lit(0)))
+    long = imgs.where(F.col("rb") - F.col("lb") > 2 * margin)
+    turn = lambda at, by: F.struct(at.cast("long").alias("at"), F.lit(by).alias("by"))
+    turns = long.select("ele_id", F.explode(F.array(turn(F.col("lb") + margin, 1), turn(F.col("rb") - margin, -1))).alias("t")).select("ele_id", "t.at", "t.by")
+    turns = turns.groupBy("ele_id", "at").agg(F.sum("by").alias("by"))
+    asked = bounds.select("ele_id", F.col("bd").cast("long").alias("at")).distinct().withColumn("by", F.lit(None).cast("long"))
+    # Starts and ends at a boundary's own place come before it.
+    so_far = Window.partitionBy("ele_id").orderBy("at", F.col("by").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = turns.unionByName(asked).withColumn("n", F.coalesce(F.sum("by").over(so_far), F.lit(0))).where("by is null")
+    counted = counted.select("ele_id", F.col("at").cast(dict(bounds.dtypes)["bd"]).alias("bd"), (F.col("n") * factor).alias("span"))
+    return bounds.join(counted, ["ele_id", "bd"])
 
 
 def promoted(spanned: DataFrame) -> DataFrame:
@@ -122,54 +132,19 @@ def snapped(extents: DataFrame, bounds: DataFrame, margin: int = 10) -> DataFram
     return ends.withColumn("__now", now).select("ele_id", "seq", F.col("__now.lb").alias("lb"), F.col("__now.rb").alias("rb"))
 
 
-def split_one(lb: int, rb: int, plb: int, prb: int, direction: int, score: int, cuts: list[int], short: int = 30) -> list[tuple[int, int, int, int, int, bool]]:
-    """What an image becomes at sorted boundaries: (lb, rb, partner's lb, rb, score, whether it is a new copy), the original last.
-
-    A boundary near an end trims the image, another cuts off its left part as a
-    new copy; the partner shrinks by as much, on the side that its direction asks.
-    Parts too short are left out (new copies: by their own length alone).
-    """
-    out = []
-    for k, b in enumerate(cuts):
-        is_last = k == len(cuts) - 1
-        if b <= lb and not is_last:
-            continue
-        if lb < b < rb:
-            if b - lb <= short:
-                score = int((rb - b + 1) / (rb - lb + 1) * score)
-                plb, prb = (plb + b - lb, prb) if direction == 1 else (plb, prb - (b - lb))
-                lb = b
-            elif b - rb >= -short:
-                score = int((b - lb + 1) / (rb - lb + 1) * score)
-                plb, prb = (plb, prb - (rb - b)) if direction == 1 else (plb + rb - b, prb)
-                rb = b
-            else:
-                part = int((b - lb + 1) / (rb - lb + 1) * score)
-                left = (lb, b, plb, prb - (rb - b)) if direction == 1 else (lb, b, plb + rb - b, prb)
-                if b - lb > short:
-                    out.append((*left, part, True))
-                score -= part
-                plb, prb = (plb + b - lb + 1, prb) if direction == 1 else (plb, prb - (b - lb + 1))
-                lb = b + 1
-        if b >= rb or is_last:
-            break
-    if rb - lb > short and prb - plb > short:
-        out.append((lb, rb, plb, prb, score, False))
-    return out
-
-
 def split_images(bells: DataFrame, bounds: DataFrame, short: int = 30) -> DataFrame:
-    """Images of elements with boundaries, split there: img_id, part (from 0), lb, rb, p_lb, p_rb, score, is_copy.
+    """Images of elements with boundaries, split there: img_id, part (from 0, the original last), lb, rb, p_lb, p_rb, score, is_copy.
 
     ``bells``: img_id, ele_id, lb, rb, p_lb, p_rb, direction, score.
     """
     cuts = bounds.groupBy("ele_id").agg(F.sort_array(F.collect_list(F.col("bd").cast("int"))).alias("cuts"))
-    rows = bells.join(cuts, "ele_id")
+    rows = bells.join(cuts, "ele_id").select("img_id", "ele_id", "lb", "rb", "p_lb", "p_rb", "direction", "score", "cuts")
 
-    @F.udf("array<struct<lb:int,rb:int,p_lb:int,p_rb:int,score:int,is_copy:boolean>>", useArrow=True)
-    def parts(lb, rb, plb, prb, direction, score, cuts):
-        names = ("lb", "rb", "p_lb", "p_rb", "score", "is_copy")
-        return [dict(zip(names, x, strict=True)) for x in split_one(lb, rb, plb, prb, direction, score, [int(c) for c in cuts], short)]
+    def run(row: tuple) -> list[tuple]:
+        img, ele, lb, rb, p_lb, p_rb, direction, score, at = row
+        copies, rest = cut(facing(lb, rb, p_lb, p_rb, direction), score, at, short)
+        parts = [*((*x, True) for x in copies), *([(*rest, False)] if rest else [])]
+        return [(img, ele, k, s.x0, s.x1, *partner_ends(s, direction), n, copy) for k, (s, n, copy) in enumerate(parts)]
 
-    out = rows.select("img_id", "ele_id", F.posexplode(parts("lb", "rb", "p_lb", "p_rb", "direction", "score", "cuts")).alias("part", "x"))
-    return out.select("img_id", "ele_id", "part", "x.*")
+    types = dict(rows.dtypes)
+    return map_rows(rows, run, f"img_id {types['img_id']}, ele_id {types['ele_id']}, part int, lb int, rb int, p_lb int, p_rb int, score int, is_copy boolean")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, types as T
 
 from famloom.config import Config
+from famloom.functions.segments import Segment, tree
 from famloom.operators.groups import map_groups
 from famloom.operators.refine import Alignment, Element, Refiner
 
@@ -18,8 +20,7 @@ def _pair(config: Config):
         first = rows[0]
         own, other = Element(first["ele_id"], 0, first["e_lb"], first["e_rb"]), Element(first["p_ele"], 1, first["pe_lb"], first["pe_rb"])
         group = [(Alignment(k, r["iden"], r["direction"], 0, [r["lb"], r["p_lb"]], [r["rb"], r["p_rb"]], [own, other]), 0) for k, r in enumerate(rows)]
-        refiner = Refiner(config)
-        found, score, direction = refiner.best_chain(refiner.chain_tree(group), own)
+        found, score, direction = Refiner(config).chain(group, own)
         return [(own.number, other.number, found, score, direction, sum(a.primary for a, _ in group))]
 
     return run
@@ -34,11 +35,7 @@ def chain_primaries(pairs: DataFrame, config: Config = Config()) -> DataFrame:
     return map_groups(rows, ["ele_id", "p_ele"], ["direction", "lb", "rb", "img_id"], _pair(config), _SCHEMA)
 
 
-def tree_text(tree: list, depth: int = 0) -> str:
-    """An indented picture of a consistency tree."""
-    lines = []
-    for (a, s), below in tree:
-        lines.append("  " * depth + f"{a.number} {a.lb[s]}-{a.rb[s]}")
-        if below:
-            lines.append(tree_text(below, depth + 1))
-    return "\n".join(lines)
+def tree_text(segments: list[Segment], config: Config = Config()) -> str:  # noqa: B008
+    """An indented picture of the consistency tree of segments sorted by x0."""
+    loose = np.float32(1.0 - float(np.float32(config.full_length)))
+    return "\n".join(f"{'  ' * depth}{k} {segments[k].x0}-{segments[k].x1}" for depth, k in tree(segments, loose))

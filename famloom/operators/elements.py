@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from famloom.config import Config
-from famloom.operators.graph import written
+from famloom.operators.graph import running, written
 
 
 def images(msps: DataFrame) -> DataFrame:
@@ -184,11 +184,10 @@ def greedy_elements(imgs: DataFrame, config: Config = Config(), bucket: int | No
 
 
 def number_elements(done: DataFrame) -> DataFrame:
-    """Global ids from (seq, island, local): running sums inside a sequence, then over sequences (one row each)."""
+    """Global ids from (seq, island, local): running sums inside a sequence, then over sequences (one row each, in range partitions)."""
     per = done.groupBy("seq", "island").agg((F.max("local") + 1).cast("long").alias("__m"))
     inside = per.withColumn("__before", F.sum("__m").over(Window.partitionBy("seq").orderBy("island").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__m"))
-    seqs = per.groupBy("seq").agg(F.sum("__m").alias("__all"))
-    seqs = seqs.select("seq", (F.sum("__all").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__all")).alias("__first"))
+    seqs = running(per.groupBy("seq").agg(F.sum("__m").alias("__all")), ["seq"], F.col("__all"), "__first")
     base = inside.join(seqs, "seq").select("seq", "island", (F.col("__first") + F.col("__before") + 1).alias("__base"))
     return done.join(base, ["seq", "island"]).withColumn("ele_id", F.col("__base") + F.col("local")).drop("island", "local", "__base")
 

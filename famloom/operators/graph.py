@@ -6,38 +6,83 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local session gets a folder of its own; a cluster does
+    not, as its executors could not read each other's files there.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="famloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie; ``clean`` removes it."""
+    return f"{shared_dir(spark)}/famloom/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, what: str = "step") -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/famloom-graph/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Remove what ``written`` wrote, once nothing reads it any more."""
+    for t in tables:
+        if t is not None and getattr(t, "written_at", None):
+            _remove(t.sparkSession, t.written_at)
+
 
+def clean(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; results that still read them must have been saved."""
+    _remove(spark, scratch_dir(spark))
 
-def numbered(df: DataFrame, order: str, name: str, first: int = 0) -> DataFrame:
-    """``df`` with a dense long ``name`` from ``first`` by ``order``, a unique column.
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def running(df: DataFrame, order: list[str], value: Column, name: str, first: int = 0) -> DataFrame:
+    """``df`` with the sum of ``value`` (whole numbers) over the rows before each one as long ``name``, from ``first``; ``order`` is unique.
 
     Rows are sorted in range partitions, which are written, as their borders
     differ from one evaluation to the next; what precedes each partition is a
-    table of one row for each.
+    table of one row for each.  No window runs over the whole table.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = written(df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()))
-    placed = placed.withColumns({"__part": F.shiftright("__at", 33), "__row": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__row") + F.col("__before") + first).drop("__at", "__part", "__row", "__before")
+    spark, at, part, one = df.sparkSession, f"__{name}_at", f"__{name}_part", f"__{name}_one"
+    placed = df.withColumn(one, value.cast("long")).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    placed = written(placed, "ordered").withColumn(part, F.shiftright(at, 33))
+    sums = {r[part]: r["n"] for r in placed.groupBy(part).agg(F.sum(one).alias("n")).collect()}
+    before, total = [], first
+    for k in sorted(sums):
+        before.append((k, total))
+        total += sums[k]
+    base = f"__{name}_base"
+    so_far = F.sum(one).over(Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)) - F.col(one)
+    bases = spark.createDataFrame(before, f"`{part}` long, `{base}` long")
+    return placed.withColumn(name, so_far).join(F.broadcast(bases), part).withColumn(name, F.col(name) + F.col(base)).drop(at, part, one, base)
+
+
+def numbered(df: DataFrame, order: str | list[str], name: str, first: int = 0) -> DataFrame:
+    """``df`` with a dense long ``name`` from ``first`` by ``order``, which is unique."""
+    return running(df, [order] if isinstance(order, str) else order, F.lit(1), name, first)
 
 
 #: Graphs of up to so many distinct edges are solved in one task; larger ones in rounds of joins.
@@ -85,14 +130,54 @@ def least_ancestors(nodes: DataFrame, edges: DataFrame, directed: bool = True, s
         found = edges.coalesce(1).mapInArrow(run, "node long, root long")
         return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     if not directed:
-        edges = written(edges.union(edges.select("v", "u")))
+        found = components(edges)
+        return nodes.join(found.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     labels = written(nodes.withColumn("root", F.col("node")))
     while True:
-        came = edges.join(labels.select(F.col("node").alias("u"), F.col("root").alias("r")), "u").groupBy(F.col("v").alias("node")).agg(F.min("r").alias("r"))
-        hooked = labels.join(came, "node", "left").select("node", "root", F.least("root", "r").alias("now"))
+        came = edges.join(labels.select(F.col("node").alias("u"), F.col("root").alias("r")).hint("merge"), "u").groupBy(F.col("v").alias("node")).agg(F.min("r").alias("r"))
+        hooked = labels.join(came.hint("merge"), "node", "left").select("node", "root", F.least("root", "r").alias("now"))
         up = hooked.select(F.col("node").alias("now"), F.col("now").alias("above"))
-        after = hooked.join(up, "now", "left").select("node", F.least("now", "above").alias("now"), (F.least("now", "above") != F.col("root")).alias("moved"))
-        moved = Observation()
-        labels = written(after.observe(moved, F.max("moved").alias("any"))).select("node", F.col("now").alias("root"))
-        if not moved.get["any"]:
+        after = hooked.join(up.hint("merge"), "now", "left").select("node", F.least("now", "above").alias("now"), (F.least("now", "above") != F.col("root")).alias("moved"))
+        moved, old = Observation(), labels
+        done = written(after.observe(moved, F.max("moved").alias("any")))
+        labels = done.select("node", F.col("now").alias("root"))
+        labels.written_at = done.written_at
+        more = moved.get["any"]
+        forget(old)
+        if not more:
             return labels
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of each component, for nodes with edges (u, v).
+
+    Each round every node hooks to its smallest neighbour if that is smaller,
+    chains are cut short by pointer jumping, and edges are drawn anew between
+    roots; a round at least halves the nodes that are left but for local minima,
+    and finished components have no edges left.  Joins are by sort and merge, so
+    that adaptive execution may split the label of a giant component, and nothing
+    that grows is broadcast.  Tables of past rounds are removed.
+    """
+    edges = written(edges.where("u != v").select("u", "v"), "edges")
+    labels = written(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("root", F.col("node")), "labels")
+    while edges.limit(1).count():
+        both = edges.union(edges.select("v", "u"))
+        hooks = written(both.groupBy("u").agg(F.min("v").alias("to")).select(F.col("u").alias("node"), F.least("u", "to").alias("to")), "hooks")
+        while True:
+            jump = hooks.select(F.col("node").alias("to"), F.col("to").alias("further")).hint("merge")
+            after = hooks.join(jump, "to", "left").select("node", F.coalesce("further", "to").alias("to"), (F.coalesce("further", "to") != F.col("to")).alias("moved"))
+            moved, old = Observation(), hooks
+            hooks = written(after.observe(moved, F.max("moved").alias("any")), "hooks")
+            more = moved.get["any"]
+            forget(old)
+            if not more:
+                break
+        step, old = hooks.select(F.col("node").alias("root"), "to").hint("merge"), labels
+        labels = written(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        forget(old)
+        a, b = hooks.select(F.col("node").alias("u"), F.col("to").alias("u2")).hint("merge"), hooks.select(F.col("node").alias("v"), F.col("to").alias("v2")).hint("merge")
+        drawn, old = edges.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("u2", "u").alias("u"), F.coalesce("v2", "v").alias("v")), edges
+        edges = written(drawn.where("u != v").distinct(), "edges")
+        forget(old, hooks)
+    forget(edges)
+    return labels

@@ -33,3 +33,16 @@ def map_groups(df: DataFrame, keys: list[str], order: list, fn: Callable[[list[d
             yield out()
 
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def map_rows(df: DataFrame, fn: Callable[[tuple], Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that ``fn`` makes of each row, a batch at a time."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            rows = [x for r in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in fn(r)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, schema)

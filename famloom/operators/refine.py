@@ -8,7 +8,11 @@ everything would.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from famloom.config import Config
+from famloom.functions.segments import Segment, best_chain, cut, facing, partner_ends
 from famloom.operators.boundaries import cluster_points, merge_points
 from famloom.operators.elements import recluster
 from famloom.operators.graph import least_ancestors, numbered, written
@@ -37,11 +42,27 @@ class Alignment:
     def length(self, side: int) -> int:
         return self.rb[side] - self.lb[side]
 
+    def seen_from(self, side: int) -> Segment:
+        return facing(self.lb[side], self.rb[side], self.lb[1 - side], self.rb[1 - side], self.direction, self.iden)
+
+    def moved(self, side: int, to: Segment) -> tuple[list[int], list[int]]:
+        """lb and rb of both sides where ``side`` sees ``to``."""
+        p_lb, p_rb = partner_ends(to, self.direction)
+        return ([to.x0, p_lb], [to.x1, p_rb]) if side == 0 else ([p_lb, to.x0], [p_rb, to.x1])
+
 
 #: One side of an alignment.
 Image = tuple[Alignment, int]
 
 
+def _extent(i: Image) -> tuple[int, int]:
+    return i[0].lb[i[1]], i[0].rb[i[1]]
+
+
+def _partner(i: Image) -> Element:
+    return i[0].home[1 - i[1]]
+
+
 @dataclass(eq=False)
 class Edge:
     number: int
@@ -68,8 +89,9 @@ class Element:
     edges: dict[int, Edge] = field(default_factory=dict)
     votes: list[tuple[int, Element]] = field(default_factory=list)
     children: list[Element] = field(default_factory=list)
+    #: Boundaries (position, support) at which the element was split.
+    cuts: list[tuple[int, int]] = field(default_factory=list)
     every_partner: bool = False
-    depth: int = 0
     birth: tuple | None = None
     fate: str | None = None
     #: Whether the order of ``images`` counts; if not, they are taken by number.
@@ -84,9 +106,28 @@ class Element:
             self.ordered = True
         return self.images
 
+    def line(self) -> Iterator[Element]:
+        """The last of its line: itself, or those of its children in turn."""
+        todo = [self]
+        while todo:
+            e = todo.pop()
+            if e.children:
+                todo += reversed(e.children)
+            else:
+                yield e
+
+    def everyone(self) -> Iterator[Element]:
+        """Itself and all that came of it."""
+        todo = [self]
+        while todo:
+            e = todo.pop()
+            yield e
+            todo += e.children
+
 
-class TooManyChains(RuntimeError):
-    """A consistency tree grew over its bound."""
+def box(e: Element, other: Element, direction: int) -> tuple[int, int, int, int]:
+    """Both elements' extents as a segment's ends."""
+    return facing(e.lb, e.rb, other.lb, other.rb, direction)[:4]
 
 
 class Refiner:
@@ -100,228 +141,127 @@ class Refiner:
         self.full = np.float32(config.full_length)
         self.loose = np.float32(1.0 - float(self.full))
 
-    # --- predicates -------------------------------------------------------------
-
     def is_full(self, image: Image) -> bool:
         a, side = image
-        e = a.home[side]
-        if a.lb[side] - e.lb >= self.config.slack or a.rb[side] - e.rb <= -self.config.slack:
-            return False
-        return e.length() != 0 and np.float32(a.length(side) / e.length()) > self.full
-
-    def consistent(self, x: Image, y: Image) -> bool:
-        """Whether two images of one pair and direction are in the same order on both sides and overlap on neither."""
-        (a, s), b = x, y[0]
-        if a.direction != b.direction:
-            return False
-        t = y[1]  # either image may be the query's or the subject's side
-        p, q = 1 - s, 1 - t
-        mine = a.lb[s] - b.lb[t]
-        theirs = a.lb[p] - b.lb[q] if a.direction == 1 else b.rb[q] - a.rb[p]
-        if mine * theirs <= 0:
-            return False
-        return not self._touch(a, s, b, t) and not self._touch(a, p, b, q)
-
-    def _touch(self, a: Alignment, s: int, b: Alignment, t: int) -> bool:
-        shared = min(a.rb[s], b.rb[t]) - max(a.lb[s], b.lb[t])
-        return any(n and np.float32(shared / n) >= self.loose for n in (a.length(s), b.length(t)))
-
-    # --- chains of partial images ----------------------------------------------
-
-    def chain_tree(self, group: list[Image]) -> list:
-        """Nodes [image, children]: an image goes below every consistent branch, or beside them."""
-        roots: list = []
-        size = 0
-
-        def grow(nodes: list, image: Image) -> bool:
-            nonlocal size
-            placed = False
-            for node in nodes:
-                if self.consistent(node[0], image):
-                    if not grow(node[1], image):
-                        node[1].append([image, []])
-                        size += 1
-                    placed = True
-            if size > self.config.chain_nodes:
-                raise TooManyChains(f"over {self.config.chain_nodes} nodes")
-            return placed
-
-        for image in group:
-            if not grow(roots, image):
-                roots.append([image, []])
-                size += 1
-        return roots
-
-    def best_chain(self, roots: list, owner: Element) -> tuple[bool, int, int]:
-        """Whether a chain spans its elements, and the best score and its direction; marks the images of all such chains."""
-        gap, best, way = self.config.chain_gap, 0, 0
-
-        def visit(nodes: list, end1: int, end2: int | None, sums: tuple[int, int, int, int, int]) -> bool:
-            nonlocal best, way
-            found = False
-            for image, below in reversed(nodes):
-                a, s = image
-                p, forward = 1 - s, a.direction == 1
-                e, other = a.home[s], a.home[p]
-                from2 = end2 if end2 is not None else other.lb if forward else other.rb
-                skip1, skip2 = a.lb[s] - end1, a.lb[p] - from2 if forward else from2 - a.rb[p]
-                ef1, ef2, al1, al2, score = sums
-                if skip1 > gap and skip2 > gap:
-                    ef1, ef2 = ef1 + skip1, ef2 + skip2
-                n1, n2 = a.length(s), a.length(p)
-                ef1, ef2, al1, al2 = ef1 + n1, ef2 + n2, al1 + n1, al2 + n2
-                score += int(a.iden) * (n1 + n2) // 2
-                if below:
-                    spans = visit(below, a.rb[s], a.rb[p] if forward else a.lb[p], (ef1, ef2, al1, al2, score))
-                else:
-                    skip1, skip2 = e.rb - a.rb[s], other.rb - a.rb[p] if forward else a.lb[p] - other.lb
-                    if skip1 > gap and skip2 > gap:
-                        ef1, ef2 = ef1 + skip1, ef2 + skip2
-                    share = any(ef and al / ef > float(self.full) for al, ef in ((al1, ef1), (al2, ef2)))
-                    short = self.config.chain_shortfall
-                    spans = share and (ef1 - al1 < short or ef2 - al2 < short)
-                    if spans:
-                        final = score * 2 // max(al1 + al2, 1)
-                        if final > best:
-                            best, way = final, a.direction
-                if spans:
-                    a.primary, found = True, True
-            return found
-
-        return visit(roots, owner.lb, None, (0, 0, 0, 0, 0)), best, way
+        e, (lb, rb) = a.home[side], _extent(image)
+        near = lb - e.lb < self.config.slack and rb - e.rb > -self.config.slack
+        return near and e.length() != 0 and np.float32((rb - lb) / e.length()) > self.full
 
     # --- edges and votes --------------------------------------------------------
 
+    def chain(self, group: list[Image], owner: Element) -> tuple[bool, int, int]:
+        """Whether a chain of partial images spans its elements, and the best score and its direction; marks the images of all such chains.
+
+        ``group``: images of one pair, sorted by direction and place.  Of equal scores direction 1 wins.
+        """
+        found, best, way = False, 0, 0
+        for direction in (1, -1):
+            images = [i for i in group if i[0].direction == direction]
+            if not images:
+                continue
+            got = best_chain([a.seen_from(s) for a, s in images], box(owner, _partner(images[0]), direction), self.loose, float(self.full), self.config.chain_gap, self.config.chain_shortfall)
+            for k in got.marked:
+                images[k][0].primary = True
+            found |= got.found
+            if got.score > best:
+                best, way = got.score, direction
+        return found, best, way
+
     def connect(self, e: Element) -> None:
         """An edge, and votes of primary images, for each partner that is due."""
-        due = [(a, s) for a, s in e.listed() if (o := a.home[1 - s]) is not e and (e.every_partner or o.stat == "z")]
-        due.sort(key=lambda i: (i[0].home[1 - i[1]].number, i[0].direction, i[0].lb[i[1]], i[0].rb[i[1]]))
-        at = 0
-        while at < len(due):
-            other, end = due[at][0].home[1 - due[at][1]], at
-            while end < len(due) and due[end][0].home[1 - due[end][1]] is other:
-                end += 1
-            self._connect_pair(e, other, due[at:end])
-            at = end
+        due = [i for i in e.listed() if (o := _partner(i)) is not e and (e.every_partner or o.stat == "z")]
+        due.sort(key=lambda i: (_partner(i).number, i[0].direction, *_extent(i)))
+        for _, group in groupby(due, key=lambda i: _partner(i).number):
+            self._link(e, list(group))
         e.every_partner, e.stat = False, "t"
 
-    def _connect_pair(self, e: Element, other: Element, group: list[Image]) -> None:
-        winner, score, direction, waiting = None, 0, 0, []
-        for image in group:
-            a, s = image
-            if (self.is_full(image) or self.is_full((a, 1 - s))) and a.iden > score:
+    def _link(self, e: Element, group: list[Image]) -> None:
+        other, winner, score, direction, waiting = _partner(group[0]), None, 0, 0, []
+        for a, s in group:
+            if (self.is_full((a, s)) or self.is_full((a, 1 - s))) and a.iden > score:
                 winner, score, direction = a, int(a.iden), a.direction
             if winner is None:
-                waiting.append(image)
-        if winner is not None:
-            winner.primary = found = True
+                waiting.append((a, s))
+        if found := winner is not None:
+            winner.primary = True
         else:
-            found, score, direction = self.best_chain(self.chain_tree(waiting), e)
+            found, score, direction = self.chain(waiting, e)
         edge = Edge(self.next_edge, e, other, "p" if found else "s", score if found else 0, direction if found else 0)
         self.next_edge += 1
         e.edges[edge.number] = other.edges[edge.number] = edge
-        if found:
-            for a, s in group:
-                if a.primary:
-                    e.votes += [(a.lb[s], other), (a.rb[s], other)]
-                    other.votes += [(a.lb[1 - s], e), (a.rb[1 - s], e)]
+        for a, s in group if found else ():
+            if a.primary:
+                for to, by, side in ((e, other, s), (other, e, 1 - s)):
+                    to.votes += [(a.lb[side], by), (a.rb[side], by)]
 
     # --- redefinition -----------------------------------------------------------
 
-    def boundaries(self, e: Element) -> list[int]:
+    def boundaries(self, e: Element) -> list[tuple[int, int]]:
         c, out = self.config, []
         for bd, support in cluster_points(sorted(v for v, _ in e.votes), c.vote_width, c.vote_step):
-            over = sum(a.lb[s] <= bd - c.min_overlap and a.rb[s] > bd + c.min_overlap for a, s in e.images)
+            over = sum(lb <= bd - c.min_overlap and rb > bd + c.min_overlap for lb, rb in map(_extent, e.images))
             if support >= c.span_factor * over:
                 out.append((bd, support))
-        return [b for b, _ in merge_points(sorted(out, key=lambda x: x[0]), c.merge_distance)]
+        return merge_points(sorted(out, key=lambda x: x[0]), c.merge_distance)
 
     def redefine(self, first: Element) -> None:
         """Snap the ends of an element to its boundaries, or split it there and go on with its children, depth first."""
-        todo: list[tuple[str, Element]] = [("redefine", first)]
+        todo, given = [first], True
         while todo:
-            what, e = todo.pop()
-            if what == "child":
+            e = todo.pop()
+            if not given:  # a child: it has no edges yet
                 if not e.images:
                     e.fate = e.fate or "combo"
                     continue
                 self.connect(e)
-                if e.votes:
-                    todo.append(("redefine", e))
-                else:
+                if not e.votes:
                     e.stat = "v"
-                continue
-            e.listed().sort(key=lambda i: (i[0].lb[i[1]], i[0].rb[i[1]]))
+                    continue
+            given = False
+            e.listed().sort(key=_extent)
             cuts, near = self.boundaries(e), self.config.merge_distance
-            if any(b - e.lb > near and b - e.rb < -near for b in cuts):
-                self.split(e, cuts)
-                children = self.divide(e) if e.images else []
-                e.children = children
-                self.dismiss(e, "combo" if children else "obsolete")
-                for c in children:
-                    c.every_partner, c.depth = True, e.depth
-                todo += [("child", c) for c in reversed(children)]
+            if any(b - e.lb > near and b - e.rb < -near for b, _ in cuts):
+                e.cuts = cuts
+                self.split(e, [b for b, _ in cuts])
+                e.children = self.divide(e) if e.images else []
+                self.dismiss(e, "combo" if e.children else "obsolete")
+                for c in e.children:
+                    c.every_partner = True
+                todo += reversed(e.children)
+                continue
+            for b, _ in cuts:
+                if b - e.lb <= near:
+                    e.lb = b
+                elif b - e.rb >= -near:
+                    e.rb = b
+            if e.images:
+                e.stat = "v"
             else:
-                for b in cuts:
-                    if b - e.lb <= near:
-                        e.lb = b
-                    elif b - e.rb >= -near:
-                        e.rb = b
-                if e.images:
-                    e.stat = "v"
-                else:
-                    self.dismiss(e, "obsolete")
+                self.dismiss(e, "obsolete")
 
     def split(self, e: Element, cuts: list[int]) -> None:
+        """Cut all images of ``e`` (and their partners with them); new alignments go before the others, those too short go."""
         short, gone = self.config.too_short, set()
         for a, s in list(e.images):
             if a in gone:
                 continue
-            p, last = 1 - s, cuts[-1]
-
-            def shrink(m: Alignment, side: int, by: int, at_start: bool) -> None:
-                """Take ``by`` from a partner, at the end that answers to the image's start (or end)."""
-                if at_start == (m.direction == 1):
-                    m.lb[side] += by
-                else:
-                    m.rb[side] -= by
-
-            for b in cuts:
-                if b <= a.lb[s] and b != last:
-                    continue
-                if a.lb[s] < b < a.rb[s]:
-                    n = a.length(s) + 1.0
-                    if b - a.lb[s] <= short:
-                        a.score = int((a.rb[s] - b + 1.0) / n * a.score)
-                        shrink(a, p, b - a.lb[s], True)
-                        a.lb[s] = b
-                    elif b - a.rb[s] >= -short:
-                        a.score = int((b - a.lb[s] + 1.0) / n * a.score)
-                        shrink(a, p, a.rb[s] - b, False)
-                        a.rb[s] = b
-                    else:
-                        new = Alignment(self.next_alignment, a.iden, a.direction, int((b - a.lb[s] + 1.0) / n * a.score), list(a.lb), list(a.rb), list(a.home))
-                        self.next_alignment += 1
-                        shrink(new, p, new.rb[s] - b, False)
-                        new.rb[s] = b
-                        if new.length(s) > short:
-                            e.images.insert(0, (new, s))
-                            a.home[p].images.insert(0, (new, p))
-                        a.score -= new.score
-                        shrink(a, p, b - a.lb[s] + 1, True)
-                        a.lb[s] = b + 1
-                if b >= a.rb[s] or b == last:
-                    break
-            if a.length(s) <= short or a.length(p) <= short:
+            copies, rest = cut(a.seen_from(s), a.score, cuts, short)
+            for segment, score in copies:
+                new = Alignment(self.next_alignment, a.iden, a.direction, score, *a.moved(s, segment), list(a.home))
+                self.next_alignment += 1
+                for side in (s, 1 - s):
+                    a.home[side].images.insert(0, (new, side))
+            if rest is not None:
+                (a.lb, a.rb), a.score = a.moved(s, rest[0]), rest[1]
+            else:
                 gone.add(a)
                 for side in (0, 1):
-                    a.home[side].images = [i for i in a.home[side].images if not (i[0] is a and i[1] == side)]
+                    a.home[side].images = [i for i in a.home[side].images if i != (a, side)]
 
     def divide(self, e: Element) -> list[Element]:
         """Children of a split element, last made first."""
-        e.images.sort(key=lambda i: (i[0].lb[i[1]], i[0].rb[i[1]]))
-        rows = [(a.lb[s], a.rb[s]) for a, s in e.images]
-        out = []
+        e.images.sort(key=_extent)
+        rows, out = list(map(_extent, e.images)), []
         for places in recluster(rows, self.config.recluster, self.config.min_overlap):
             child = Element(self.elements[-1].number + 1, e.seq, rows[places[0]][0], max(rows[k][1] for k in places), birth=(self.round, self.seed, self.born))
             self.born += 1
@@ -334,89 +274,87 @@ class Refiner:
         return out[::-1]
 
     def dismiss(self, e: Element, fate: str) -> None:
+        """Take an element out of the graph; its finished neighbours are to be looked at again."""
         e.stat, e.fate = "X", fate
         for edge in e.edges.values():
             other = edge.across(e)
-            if other.stat == "v":
-                other.stat = "w"
+            other.stat = "w" if other.stat == "v" else other.stat
             other.votes = [v for v in other.votes if v[1] is not e]
             other.edges.pop(edge.number, None)
         e.edges, e.votes = {}, []
 
-    # --- clans ------------------------------------------------------------------
+    # --- neighbourhoods ---------------------------------------------------------
+
+    def neighbourhood(self, seed: Element) -> dict[Element, int]:
+        """Elements around ``seed`` in breadth-first order, with their hops from it (from 1).
 
-    def clan(self, seed: Element) -> list[Element]:
-        depth, queue, at = self.config.clan_depth, [seed], 0
-        seed.depth = 1
-        while at < len(queue):
-            e = queue[at]
-            at += 1
-            if e.depth > depth:
+        Elements within ``clan_depth`` hops hand on to their neighbours, new ones
+        once they have their edges; finished elements count as at the rim.
+        """
+        rim, hops, queue = self.config.clan_depth, {seed: 1}, deque([seed])
+        while queue:
+            e = queue.popleft()
+            if hops[e] > rim:
                 continue
             if e.stat == "z":
                 self.connect(e)
-            for number in sorted(e.edges):
-                other = e.edges[number].across(e)
-                if not other.depth:
-                    other.depth = e.depth + 1
-                    if other.stat == "v":
-                        other.depth = max(other.depth, depth)
+            for _, edge in sorted(e.edges.items()):
+                other = edge.across(e)
+                if other not in hops:
+                    hops[other] = max(hops[e] + 1, rim) if other.stat == "v" else hops[e] + 1
                     queue.append(other)
-        return queue
+        return hops
 
-    def settle(self, e: Element) -> bool:
-        """Redefine an element, or the last of its line; whether any was."""
-        moved, todo = False, [e]
-        while todo:
-            x = todo.pop()
-            if x.children:
-                todo += reversed(x.children)
-            elif x.stat not in "vX":
-                if x.votes:
-                    moved = True
-                    self.redefine(x)
-                else:
-                    x.stat = "v"
+    def settle(self, members: list[Element]) -> bool:
+        """One pass over all that is left of ``members``; whether any was redefined."""
+        moved = False
+        for e in (x for m in members for x in list(m.line())):
+            if e.stat in "vX":
+                continue
+            if e.votes:
+                moved = True
+                self.redefine(e)
+            else:
+                e.stat = "v"
         return moved
 
-    def release(self, e: Element) -> None:
-        todo = [e]
-        while todo:
-            x = todo.pop()
-            todo += x.children
-            x.depth = 0
-            if x.stat != "X" and not x.images:
-                x.stat, x.fate = "X", "combo" if x.children else "obsolete"
-            x.ordered = False
+    def visit(self, seed: Element) -> None:
+        """Settle what lies around an element."""
+        hops = self.neighbourhood(seed)
+        inside = [e for e, n in hops.items() if n <= self.config.clan_depth]
+        while self.settle(inside):
+            pass
+        for e in (x for h in hops for x in h.everyone()):
+            e.ordered = False
+            if e.stat != "X" and not e.images:
+                e.stat, e.fate = "X", "combo" if e.children else "obsolete"
 
     def run(self) -> None:
         """Rounds over all elements by number, new ones too, until one finds nothing to do."""
         busy = True
         while busy:
-            busy, k = False, 0
+            busy = False
             self.round += 1
-            while k < len(self.elements):
-                e = self.elements[k]
-                k += 1
+            for e in self.elements:  # grows on the way
                 if e.stat not in "zwt":
                     continue
                 busy, self.seed, self.born = True, e, 0
-                if not e.images:
+                if e.images:
+                    self.visit(e)
+                else:
                     self.dismiss(e, "obsolete")
-                    continue
-                queue = self.clan(e)
-                while any([self.settle(x) for x in queue if x.depth <= self.config.clan_depth]):
-                    pass
-                for x in queue:
-                    self.release(x)
 
 
-def birth_key(e: Element) -> str:
+def birth_keys(elements: list[Element]) -> dict[Element, str]:
     """Sorts elements as one run over everything would number them: given ones by id, then new ones by round, seed and order."""
-    if e.birth is None:
-        return f"0{e.number:019d}"
-    turn, seed, order = e.birth
-    return f"1{turn:06d}({birth_key(seed)}){order:09d}"
+    keys: dict[Element, str] = {}
+    for e in elements:  # a seed comes before those born around it
+        if e.birth is None:
+            keys[e] = f"0{e.number:019d}"
+        else:
+            turn, seed, order = e.birth
+            keys[e] = f"1{turn:06d}({keys[seed]}){order:09d}"
+    return keys
 
 
 #: Columns of what the kernel returns; rows of three kinds share them.
@@ -445,7 +383,7 @@ def _kernel(config: Config, seq_type: pa.DataType):
             a.home[side].images.append((a, side))
         r.next_alignment = max(known, default=-1) + 1
         r.run()
-        keys = {e: birth_key(e) for e in r.elements}
+        keys = birth_keys(r.elements)
         names, rows = tuple(_COLUMNS), []
 
         def add(**values: object) -> None:
@@ -455,6 +393,10 @@ def _kernel(config: Config, seq_type: pa.DataType):
             add(kind="element", ele=e.number if e.birth is None else None, birth=keys[e], stat=e.stat, seq=e.seq, lb=e.lb, rb=e.rb, img_no=len(e.images), fate=e.fate)
             for a, s in e.images:
                 add(kind="image", birth=keys[e], msp_id=a.number, side=s, lb=a.lb[s], rb=a.rb[s], direction=a.direction, score=a.score, iden=a.iden, type="p" if a.primary else "s")
+            for c in e.children:
+                add(kind="child", birth=keys[e], birth2=keys[c])
+            for bd, support in e.cuts:
+                add(kind="cut", birth=keys[e], lb=bd, score=support)
             for x in e.edges.values():
                 if x.one is e:
                     add(kind="edge", edge_no=x.number, birth=keys[e], birth2=keys[x.two], type=x.kind, score=x.score, direction=x.direction)
@@ -464,8 +406,21 @@ def _kernel(config: Config, seq_type: pa.DataType):
     return run
 
 
-def refine(bells: DataFrame, extents: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
-    """(elements, edges, images) after stage 2.
+class Refined(NamedTuple):
+    #: ele_id, stat, seq, lb, rb, img_no, fate.
+    elements: DataFrame
+    #: edge_id, ele1, ele2, type, score, direction.
+    edges: DataFrame
+    #: ele_id, part, msp_id, side, lb, rb, direction, score, iden, stat.
+    images: DataFrame
+    #: parent, child: what a split element became.
+    children: DataFrame
+    #: ele_id, bd, support: the boundaries at which elements were split.
+    cuts: DataFrame
+
+
+def refine(bells: DataFrame, extents: DataFrame, config: Config = Config()) -> Refined:  # noqa: B008
+    """Stage 2.
 
     ``bells``: images with partner element (see dumbbells) with iden, direction
     and score, tandem elements' alignments left out; ``extents``: all elements
@@ -484,22 +439,22 @@ def refine(bells: DataFrame, extents: DataFrame, config: Config = Config()) -> t
     found = done.where("kind = 'element'")
     last = extents.agg(F.coalesce(F.max("ele_id"), F.lit(0)).alias("last")).first()["last"]
     given = found.where("ele is not null").withColumn("ele_id", F.col("ele"))
-    fresh = found.where("ele is null")
-    fresh = numbered(fresh, "birth", "ele_id", last + 1)
-    elements = given.unionByName(fresh).select("ele_id", "birth", "stat", "seq", "lb", "rb", "img_no", "fate", "part")
-    gone = empty.select("ele_id", F.lit(None).cast("string").alias("birth"), F.lit("X").alias("stat"), "seq", "lb", "rb", F.lit(0).cast("long").alias("img_no"), F.lit("obsolete").alias("fate"), F.lit(None).cast("string").alias("part"))
-    # An edge's or image's element is found by birth: a string that is the element's own.
+    fresh = numbered(found.where("ele is null"), "birth", "ele_id", last + 1)
+    elements = given.unionByName(fresh).select("ele_id", "birth", "stat", "seq", "lb", "rb", "img_no", "fate")
+    gone = empty.select("ele_id", F.lit(None).cast("string").alias("birth"), F.lit("X").alias("stat"), "seq", "lb", "rb", F.lit(0).cast("long").alias("img_no"), F.lit("obsolete").alias("fate"))
+    # What belongs to an element finds it by birth: a string that is the element's own.
     names = elements.select("birth", "ele_id")
-    edges = done.where("kind = 'edge'").select("birth", "birth2", "edge_no", "type", "score", "direction", "part")
-    edges = edges.join(names.withColumnRenamed("ele_id", "ele1"), "birth").join(names.select(F.col("birth").alias("birth2"), F.col("ele_id").alias("ele2")), "birth2")
+    second = names.select(F.col("birth").alias("birth2"), F.col("ele_id").alias("ele2"))
+    edges = done.where("kind = 'edge'").select("birth", "birth2", "edge_no", "type", "score", "direction", "part").join(names.withColumnRenamed("ele_id", "ele1"), "birth").join(second, "birth2")
     # Edge numbers only order edges of one part.
     edges = edges.withColumn("key", F.concat("part", F.lpad(F.col("edge_no").cast("string"), 19, "0")))
     edges = numbered(edges, "key", "edge_id").select("edge_id", "ele1", "ele2", "type", "score", "direction")
     images = done.where("kind = 'image'").join(names, "birth").select("ele_id", "part", "msp_id", "side", "lb", "rb", "direction", "score", "iden", F.col("type").alias("stat"))
-    return elements.drop("birth", "part").unionByName(gone.drop("birth", "part")), edges, images
+    children = done.where("kind = 'child'").select("birth", "birth2").join(names.withColumnRenamed("ele_id", "parent"), "birth").join(second, "birth2").select("parent", F.col("ele2").alias("child"))
+    cuts = done.where("kind = 'cut'").select("birth", F.col("lb").alias("bd"), F.col("score").alias("support")).join(names, "birth").select("ele_id", "bd", "support")
+    return Refined(elements.unionByName(gone).drop("birth"), edges, images, children, cuts)
 
 
 def alignments_left(images: DataFrame) -> DataFrame:
     """Alignments both of whose sides are still in an element."""
     return images.groupBy("part", "msp_id").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2")
-

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from famloom.config import Config
 from famloom.functions.intervals import collinear, covers, too_short
 from famloom.operators import boundaries, chains, edges, elements, families
-from famloom.operators.graph import written
+from famloom.operators.graph import numbered, written
 from famloom.plans import pipeline
 from famloom.sources import alignments, reports, store
 
@@ -52,11 +52,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-round edges; scores are made distinct by the edge number."""
-    e = written(edges.first_edges(pairs(spark, sf_dir)))
-    by = Window.partitionBy("ele1").orderBy("ele2")
-    first = Window.orderBy("ele1").rowsBetween(Window.unboundedPreceding, -1)
-    start = e.groupBy("ele1").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(first), F.lit(0))).select("ele1", "start")
-    e = e.join(start, "ele1").withColumn("edge_id", F.col("start") + F.row_number().over(by) - 1)
+    e = numbered(edges.first_edges(pairs(spark, sf_dir)), ["ele1", "ele2"], "edge_id")
     return e.select("edge_id", "ele1", "ele2", "type", F.when(F.col("type") == "s", 0).otherwise(F.col("edge_id") * 7919 % 1000003).cast("long").alias("score"), "direction")
 
 
@@ -78,8 +74,7 @@ def msp_normalise(spark, sf_dir):
 def msp_text(spark, sf_dir):
     """Text lines parsed again."""
     a = aln(spark, sf_dir)
-    line = F.format_string("%06d %.1f %06d %06d %s %06d %06d %s ", "score", F.col("iden").cast("double"), F.when(F.col("direction") == -1, F.col("q_rb")).otherwise(F.col("q_lb")), F.when(F.col("direction") == -1, F.col("q_lb")).otherwise(F.col("q_rb")), F.col("q_seq").cast("string"), "s_lb", "s_rb", F.col("s_seq").cast("string"))
-    out = alignments.normalise(alignments.parse_lines(a.select("msp_id", line.alias("value"))))
+    out = alignments.normalise(alignments.parse_lines(alignments.format_msps(a, "msp_id")))
     return longs(out.withColumns({"iden10": F.round(F.col("iden").cast("double") * 10).cast("long"), "q_seq": F.col("q_seq").cast("long"), "s_seq": F.col("s_seq").cast("long")}).drop("iden"))
 
 
@@ -309,18 +304,23 @@ def eles_report(spark, sf_dir):
 
 
 def run_diff(spark, sf_dir):
-    i = image_islands(spark, sf_dir).select("seq", "island")
-    return reports.run_diff(i.where("island < 5"), i.where("island > 2"))
+    """Islands of two runs that differ in the overlap they ask for."""
+    one, two = (elements.island_extents(elements.islands(imgs(spark, sf_dir), n)) for n in (10, 100))
+    return longs(reports.run_diff(one.select("seq", "lb", "rb", "img_no"), two.select("seq", "lb", "rb", "img_no")))
 
 
 def blast_to_msp(spark, sf_dir):
     """Text reports made from alignments, read back."""
-    a = aln(spark, sf_dir).where("direction = 1")
+    a = aln(spark, sf_dir)
+    # The subject of a reversed alignment runs down.
+    back = F.col("direction") == -1
+    s_at = lambda by: F.when(back, F.col("s_rb") - by).otherwise(F.col("s_lb") + by).cast("string")
+    s_end = F.when(back, F.col("s_lb")).otherwise(F.col("s_rb")).cast("string")
     text = F.array(
         F.concat(F.lit("Query= "), F.col("q_seq").cast("string")), F.concat(F.lit(">"), F.col("s_seq").cast("string"), F.lit(" x")),
         F.concat(F.lit("  Score = "), F.col("score").cast("string"), F.lit(" (9 bits)")), F.concat(F.lit(" Identities = "), F.col("iden10").cast("string"), F.lit("/1000 (9%)")),
-        F.concat(F.lit("Query: "), F.col("q_lb").cast("string"), F.lit(" acgt "), (F.col("q_lb") + 59).cast("string")), F.concat(F.lit("Sbjct: "), F.col("s_lb").cast("string"), F.lit(" acgt "), (F.col("s_lb") + 59).cast("string")),
-        F.concat(F.lit("Query: "), (F.col("q_lb") + 60).cast("string"), F.lit(" acgt "), F.col("q_rb").cast("string")), F.concat(F.lit("Sbjct: "), (F.col("s_lb") + 60).cast("string"), F.lit(" acgt "), F.col("s_rb").cast("string")),
+        F.concat(F.lit("Query: "), F.col("q_lb").cast("string"), F.lit(" acgt "), (F.col("q_lb") + 59).cast("string")), F.concat(F.lit("Sbjct: "), s_at(0), F.lit(" acgt "), s_at(59)),
+        F.concat(F.lit("Query: "), (F.col("q_lb") + 60).cast("string"), F.lit(" acgt "), F.col("q_rb").cast("string")), F.concat(F.lit("Sbjct: "), s_at(60), F.lit(" acgt "), s_end),
         F.lit("Parameters:"),
     )
     lines = a.select((F.col("msp_id") % 64).alias("file"), "msp_id", F.posexplode(text).alias("k", "value")).select("file", (F.col("msp_id") * 16 + F.col("k")).alias("n"), "value")
@@ -546,6 +546,7 @@ def oracle_sql() -> dict[str, str]:
         "gml_nodes": _with(_ELE, "SELECT ele_id, 'node [ id ' || ele_id || ' label \"' || ele_id || '\" ]' AS value FROM ext"),
         "family_report": reach("original", "SELECT f.root AS fam, b.ele_id, min(b.lb) AS start, max(b.rb) AS \"end\", max(b.rb - b.lb) AS longest, count(*) AS n_images, count(g.root) AS n_paired, CAST(sum(CASE WHEN g.root = f.root THEN 1 WHEN g.root IS NULL THEN NULL ELSE 0 END) AS BIGINT) AS n_inside FROM bell b JOIN (SELECT * FROM fam QUALIFY count(*) OVER (PARTITION BY root) > 1) f ON f.ele_id = b.ele_id LEFT JOIN (SELECT * FROM fam QUALIFY count(*) OVER (PARTITION BY root) > 1) g ON g.ele_id = b.p_ele GROUP BY 1, 2"),
         "eles_report": _with(_ELE, "SELECT format('{:>6} {:>6} {:>2} {:>10} {:>8} {:>8} ', CAST(ele_id AS VARCHAR), CAST(ele_id AS VARCHAR), '1', CAST(seq AS VARCHAR), CAST(lb AS VARCHAR), CAST(rb AS VARCHAR)) AS value FROM ext"),
-        "run_diff": _with(_ISL, "SELECT seq, island, 'left' AS side FROM isl WHERE island < 3 UNION ALL SELECT seq, island, 'right' FROM isl WHERE island > 4"),
-        "blast_to_msp": _with(_ALN, "SELECT msp_id % 64 AS file, score, iden10 // 10 AS iden, q_lb AS q_start, q_rb AS q_end, q_seq, s_lb AS s_start, s_rb AS s_end, s_seq FROM aln WHERE direction = 1"),
+        "run_diff": _with(_ISL + _ISL[len(_IMG):].replace("ahead", "ahead2").replace("isl AS", "isl2 AS").replace("m - lb <= 10", "m - lb <= 100") + "".join(f", one{k} AS (SELECT seq, min(lb) AS lb, max(rb) AS rb, count(*) AS img_no FROM isl{k} GROUP BY seq, island)" for k in ("", "2")),
+            "SELECT *, 'left' AS side FROM (SELECT * FROM one EXCEPT ALL SELECT * FROM one2) UNION ALL SELECT *, 'right' FROM (SELECT * FROM one2 EXCEPT ALL SELECT * FROM one)"),
+        "blast_to_msp": _with(_ALN, "SELECT msp_id % 64 AS file, score, iden10 // 10 AS iden, q_lb AS q_start, q_rb AS q_end, q_seq, CASE WHEN direction = -1 THEN s_rb ELSE s_lb END AS s_start, CASE WHEN direction = -1 THEN s_lb ELSE s_rb END AS s_end, s_seq FROM aln"),
     } | {f"edge_repair_{m}": _with(_repair_sql(k), "SELECT * FROM rep") for m, k in repair.items()}

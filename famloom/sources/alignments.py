@@ -12,23 +12,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from famloom.operators.graph import numbered
 
 FIELDS = ("score", "iden", "q_start", "q_end", "q_seq", "s_start", "s_end", "s_seq")
-#: Longest sequence name kept.
-NAME_LENGTH = 49
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """seq_id (byte order of names, from 0), seq of a sequence list: its first line is the count.
 
-    A list longer than its count is an error.  The list is a dimension: its size is that of the genome's scaffold list.
+    A line is a name or the header of a sequence: ``>`` and blanks before the
+    name are left out, and so is what follows its first blank.  Names are kept
+    whole.  A list longer than its count is an error.
     """
     lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
     first = lines.orderBy("n").first()
     if first is None:
         raise ValueError("an empty sequence list")
-    names = lines.where(F.col("n") != first["n"]).select(F.substring(F.regexp_replace(F.trim("value"), "^>", ""), 1, NAME_LENGTH).alias("seq")).where("seq != ''")
+    names = lines.where(F.col("n") != first["n"]).select(F.regexp_extract("value", r"^[\s>]*(\S+)", 1).alias("seq")).where("seq != ''")
     if names.count() > int(first["value"].strip()):
         raise ValueError("more names than the sequence list declares")
-    return names.withColumn("seq_id", (F.row_number().over(Window.orderBy("seq")) - 1).cast("int")).select("seq_id", "seq")
+    # Equal names are told apart by their place.
+    rows = names.withColumn("__n", F.monotonically_increasing_id())
+    return numbered(rows, ["seq", "__n"], "seq_id").select(F.col("seq_id").cast("int").alias("seq_id"), "seq")
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -65,12 +67,12 @@ def read_msps(spark: SparkSession, path: str, names: DataFrame | None = None) ->
     return normalise(numbered(raw, "__line", "msp_id").drop("__line"))
 
 
-def format_msps(msps: DataFrame) -> DataFrame:
-    """Lines of the text format; the query of a reversed alignment is written backwards."""
+def format_msps(msps: DataFrame, *keep: str) -> DataFrame:
+    """Lines of the text format (and columns ``keep``); the query of a reversed alignment is written backwards."""
     back = F.col("direction") == -1
     pick = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a))
     line = F.format_string("%06d %.1f %06d %06d %s %06d %06d %s ", "score", F.col("iden").cast("double"), pick("q_lb", "q_rb"), pick("q_rb", "q_lb"), F.col("q_seq").cast("string"), "s_lb", "s_rb", F.col("s_seq").cast("string"))
-    return msps.select(line.alias("value"))
+    return msps.select(*keep, line.alias("value"))
 
 
 def write_msps(msps: DataFrame, path: str) -> None:

@@ -31,9 +31,9 @@ class Store:
         rows.write.parquet(f"{self.path}/v{n}")
         return n
 
-    def read(self) -> DataFrame:
-        """The active row of each key."""
-        parts = [self.spark.read.parquet(f"{self.path}/v{n}").withColumn("__version", F.lit(n)) for n in self._versions()]
+    def read(self, upto: int | None = None) -> DataFrame:
+        """The active row of each key (as of version ``upto``)."""
+        parts = [self.spark.read.parquet(f"{self.path}/v{n}").withColumn("__version", F.lit(n)) for n in self._versions() if upto is None or n <= upto]
         if not parts:
             raise ValueError("an empty store")
         whole = parts[0]
@@ -48,6 +48,8 @@ class Store:
     def compact(self) -> int:
         """Active rows as one new version, sorted by key; older ones are removed once it is there."""
         old = self._versions()
+        if not old:
+            raise ValueError("an empty store")
         n = max(old) + 1
         self.read().sort(self.key).write.parquet(f"{self.path}/v{n}")
         jvm = self.spark._jvm

@@ -1,8 +1,7 @@
-"""Streaming ingestion of alignments: images are kept clustered as files arrive.
+"""Streaming ingestion of alignments: a demonstration, as the engine itself works on whole inputs.
 
-The batch operators have no streaming form of their own; this is the incremental
-front of them: new alignment files are parsed, normalised and exploded, and
-running extents of each sequence (what a batch run would see) are kept.
+New alignment files are parsed, normalised and exploded as they arrive, and the
+running extent and number of images of each sequence are kept.
 """
 
 from __future__ import annotations

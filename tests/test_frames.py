@@ -1,9 +1,11 @@
 """Operators on frames against plain sequential rules."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from famloom.operators import edges, families
 from famloom.operators.boundaries import interior, merged, merge_points, snapped
@@ -19,6 +21,12 @@ def test_lines_are_normalised(spark):
 def test_dictionary(spark, tmp_path):
     (tmp_path / "names").write_text("3\n>b\na\n")
     assert [tuple(r) for r in alignments.read_dictionary(spark, str(tmp_path / "names")).sort("seq_id").collect()] == [(0, "a"), (1, "b")]
+    long = "n" * 60
+    (tmp_path / "described").write_text(f"4\n> gi|1 a description\n>{long} x\n>{long}2\n  plain  \n")
+    names = alignments.read_dictionary(spark, str(tmp_path / "described"))
+    assert [r.seq for r in names.sort("seq_id").collect()] == ["gi|1", long, long + "2", "plain"]
+    (tmp_path / "few").write_text(f"7 80 1 10 gi|1 5 9 {long}\n7 80 1 10 {long}2 5 9 plain\n")
+    assert alignments.read_msps(spark, str(tmp_path / "few"), names).count() == 2
     (tmp_path / "bad").write_text("1\na\nb\n")
     with pytest.raises(ValueError):
         alignments.read_dictionary(spark, str(tmp_path / "bad"))
@@ -172,7 +180,16 @@ def test_reports_and_snapshots(spark, tmp_path):
     assert len(lines) == counts["ele_no"] == sum(r.copies for r in result.families.collect()) and counts["naive_ele_no"] == 7
     reports.write_gml(result.elements, result.edges, str(tmp_path / "gml"))
     assert spark.read.text(str(tmp_path / "gml")).where("value like 'edge%'").count() == reports.gml_edges(result.edges).count()
-    assert len(reports.dataset_key(spark.read.text(str(tmp_path / "out" / "eles")))) == 12
+    (tmp_path / "in").write_bytes(b"7 80 10 1 a 5 9 b\n")
+    assert reports.dataset_key(spark, str(tmp_path / "in")) == hashlib.md5(b"7 80 10 1 a 5 9 b\n").hexdigest()[:12]
+    assert spark.read.text(str(tmp_path / "out" / "edges")).count() == result.edges.count()
+    text = reports.show_elements(result, 1)
+    assert text.startswith("ele 1 y\nfrag q0 1 ") and "\nmsp " in text and "\nedge " in text
+    bad = spark.createDataFrame([(1, 2, 2, "p", 1, 1)], "edge_id long, ele1 long, ele2 long, type string, score int, direction int")
+    with pytest.raises(Exception, match="illegal edge 1"):
+        reports.edge_lines(bad).collect()
+    pairs = reports.family_images(result.members, result.images.withColumn("img_id", result.images.msp_id * 2 + result.images.side).select("img_id", "ele_id", "lb", "rb"), spark.createDataFrame([(0, 1)], "img_id long, p_ele long"))
+    assert [r.paired for r in pairs.collect()] == [True]
 
 
 def test_clustering_is_the_same_for_any_windows_and_batches(spark):
@@ -196,3 +213,112 @@ def test_clustering_is_the_same_for_any_windows_and_batches(spark):
             assert {x.img_id: x.ele_id for x in greedy_elements(frame, bucket=500).collect()} == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def _spanning(spark, bounds, imgs, margin=10):
+    b, i = spark.createDataFrame(bounds, "ele_id long, bd int, support int"), spark.createDataFrame(imgs, "ele_id long, lb int, rb int")
+    from famloom.operators.boundaries import spans
+
+    want = sorted((e, bd, s, 2 * sum(x == e and lo <= bd - margin and hi > bd + margin for x, lo, hi in imgs)) for e, bd, s in bounds)
+    assert sorted(map(tuple, spans(b, i).select("ele_id", "bd", "support", "span").collect())) == want
+
+
+def test_spans_by_brute_force(spark):
+    r = random.Random(8)
+    _spanning(spark, [(r.randrange(6), r.randrange(200), k) for k in range(150)], [(r.randrange(5), a := r.randrange(180), a + r.randrange(60)) for _ in range(300)])
+
+
+def test_split_and_clusters_on_frames(spark):
+    from famloom.functions.segments import cut, facing, partner_ends
+    from famloom.operators.boundaries import cluster_points, point_clusters, split_images
+
+    r = random.Random(9)
+    rows = [(k, k % 7, a := r.randrange(300), a + r.randrange(400), b := r.randrange(300), b + r.randrange(400), r.choice((1, -1)), 1000 + k) for k in range(120)]
+    cuts = {e: sorted(r.sample(range(600), 4)) for e in range(5)}
+    got = split_images(spark.createDataFrame(rows, "img_id long, ele_id long, lb int, rb int, p_lb int, p_rb int, direction int, score int"), spark.createDataFrame([(e, b, 1) for e, bs in cuts.items() for b in bs], "ele_id long, bd int, support int"))
+    want = []
+    for img, e, lb, rb, plb, prb, d, score in rows:
+        if e in cuts:
+            copies, rest = cut(facing(lb, rb, plb, prb, d), score, cuts[e], 30)
+            want += [(img, e, k, s.x0, s.x1, *partner_ends(s, d), n, new) for k, (s, n, new) in enumerate([*((*c, True) for c in copies), *([(*rest, False)] if rest else [])])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    votes = [(r.randrange(4), r.randrange(90), 0) for _ in range(200)]
+    found = point_clusters(spark.createDataFrame(votes, "ele_id long, cp int, contributor long"))
+    assert sorted(map(tuple, found.collect())) == sorted((e, *c) for e in range(4) for c in cluster_points(sorted(v[1] for v in votes if v[0] == e)))
+
+
+MSPS = "msp_id long, score int, iden float, direction int, q_seq string, q_lb int, q_rb int, s_seq string, s_lb int, s_rb int"
+
+
+def test_a_hand_made_split(spark, tmp_path):
+    """Three sequences hold a repeat of 400; five more hold its first half alone, so 200 is a boundary and the long ones are split there.
+
+    Worked out by hand: the three long elements (1-3) become halves, of which the
+    first are one family with the five short elements (4-8), and the second another.
+    """
+    from famloom.plans.pipeline import run, stage_counts
+
+    long, short = ["a1", "a2", "a3"], ["b1", "b2", "b3", "b4", "b5"]
+    rows = [(100, 90.0, 1, x, 1, 401, y, 1, 401) for i, x in enumerate(long) for y in long[:i]]
+    rows += [(100, 90.0, 1 if y != "b2" else -1, x, 1, 201, y, 1, 201) for x in long for y in short]
+    rows += [(100, 90.0, 1 if "b2" not in (x, y) else -1, x, 1, 201, y, 1, 201) for i, x in enumerate(short) for y in short[:i]]
+    msps = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], MSPS)
+    result = run(msps, folder=str(tmp_path / "stages"))
+    assert [(r.ele_id, r.seq, r.lb, r.rb) for r in result.naive.sort("ele_id").collect()] == [(k + 1, s, 1, 401 if s in long else 201) for k, s in enumerate(long + short)]
+    stat = {r.ele_id: (r.stat, r.fate) for r in result.elements.collect()}
+    assert all(stat[k] == ("X", "combo") for k in (1, 2, 3)) and all(stat[k] == ("y", None) for k in range(4, 9))
+    used = {(r.seq, r.lb, r.rb) for r in result.elements.where("stat = 'y'").collect()}
+    assert used == {(s, 1, 201) for s in long + short} | {(s, 202, 401) for s in long}
+    young = {}
+    for r in result.children.collect():
+        young.setdefault(r.parent, []).append(r.child)
+    assert sorted(young) == [1, 2, 3] and all(len(v) == 2 for v in young.values())
+    assert {(r.ele_id, r.bd) for r in result.cuts.collect() if 150 < r.bd < 250} == {(1, 201), (2, 201), (3, 201)}
+    fams = {}
+    for r in result.members.collect():
+        fams.setdefault(r.fam, set()).add((r.seq, r.lb, r.dir))
+    assert sorted(map(len, fams.values())) == [3, 8]
+    big = next(f for f in fams.values() if len(f) == 8)
+    way = {s: d for s, _, d in big}
+    assert {s for s in way if way[s] != way["a1"]} == {"b2"}
+    # A second run finds every stage; another configuration is refused.
+    again = run(msps.limit(0), folder=str(tmp_path / "stages"))
+    assert {r["name"]: r.n for r in stage_counts(again).collect()} == {r["name"]: r.n for r in stage_counts(result).collect()}
+    from famloom.config import Config
+
+    with pytest.raises(ValueError):
+        run(msps, Config(mode="promote"), folder=str(tmp_path / "stages"))
+
+
+def test_stages_without_tandems_or_images(spark):
+    from famloom.config import Config
+    from famloom.plans.pipeline import run
+
+    rows = [(k, 100, 90.0, 1, "q", 1, 101, "s", 1, 101) for k in range(30)]
+    result = run(spark.createDataFrame(rows, MSPS), Config(tandem_images=20, tandem_ratio=2))
+    assert {(r.stat, r.fate) for r in result.elements.collect()} == {("O", "tandem")} and result.members.count() == 0
+
+
+def test_running_sums_and_scratch(spark):
+    from famloom.operators.graph import forget, numbered, running, written
+
+    df = spark.createDataFrame([(f"k{k:03d}", k % 7) for k in range(300)], "k string, v int").repartition(5)
+    got = {r.k: r.before for r in running(df, ["k"], F.col("v"), "before", 5).collect()}
+    total = 5
+    for k in range(300):
+        assert got[f"k{k:03d}"] == total
+        total += k % 7
+    assert running(df.limit(0), ["k"], F.col("v"), "before").count() == 0 and numbered(df, "k", "n").agg(F.max("n")).first()[0] == 299
+    t = written(df)
+    forget(t, None, df)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        t.count()
+
+
+def test_components_in_rounds(spark):
+    from famloom.operators.graph import _solve, components
+
+    r = random.Random(11)
+    links = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(200, 200 + k) for k in range(1, 60)] + [(300 + k, 301 + k) for k in range(40)]
+    got = {x.node: x.root for x in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == _solve([x for x in links if x[0] != x[1]], False)

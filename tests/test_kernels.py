@@ -2,13 +2,16 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from famloom.config import Config
-from famloom.operators.boundaries import cluster_points, merge_points, split_one
+from famloom.functions.segments import Segment, best_chain, cut, facing, partner_ends, tree
+from famloom.operators.boundaries import cluster_points, merge_points
+from famloom.operators.chains import tree_text
 from famloom.operators.edges import _tree_places
 from famloom.operators.elements import greedy, recluster
-from famloom.operators.refine import Alignment, Element, Refiner
+from famloom.operators.refine import Alignment, Element, Refiner, birth_keys
 
 
 def test_gap_is_strict():
@@ -59,20 +62,28 @@ def test_merge_ties_keep_the_earlier():
 
 
 @pytest.mark.parametrize(
-    ("direction", "cut", "want"),
+    ("direction", "at", "want"),
     [
         (1, 120, [(120, 300, 1020, 1200, False)]), (-1, 120, [(120, 300, 1000, 1180, False)]),
         (1, 280, [(100, 280, 1000, 1180, False)]), (-1, 280, [(100, 280, 1020, 1200, False)]),
         (1, 200, [(100, 200, 1000, 1100, True), (201, 300, 1101, 1200, False)]), (-1, 200, [(100, 200, 1100, 1200, True), (201, 300, 1000, 1099, False)]),
     ],
 )
-def test_split(direction, cut, want):
-    assert [(a, b, c, d, new) for a, b, c, d, _, new in split_one(100, 300, 1000, 1200, direction, 100, [cut])] == want
+def test_split(direction, at, want):
+    copies, rest = cut(facing(100, 300, 1000, 1200, direction), 100, [at], 30)
+    parts = [*((*x, True) for x in copies), (*rest, False)]
+    assert [(x.x0, x.x1, *partner_ends(x, direction), new) for x, _, new in parts] == want
 
 
 def test_split_scores_add_up():
-    parts = split_one(100, 300, 1000, 1200, 1, 1000, [200])
-    assert sum(p[4] for p in parts) == 1000
+    copies, rest = cut(Segment(100, 300, 1000, 1200), 1000, [200], 30)
+    assert copies[0][1] + rest[1] == 1000
+
+
+def test_split_leaves_out_a_short_rest():
+    copies, rest = cut(Segment(0, 400, 0, 130), 1000, [100, 200, 300], 30)
+    assert [c[0][:2] for c in copies] == [(0, 100), (101, 200), (201, 300)] and rest is None
+    assert cut(Segment(0, 30, 0, 30), 5, [], 30) == ([], None)
 
 
 def test_tree_places():
@@ -96,15 +107,124 @@ def _pair(images, direction=1):
 
 def test_a_chain_of_partial_images_is_primary():
     own, group = _pair([(0, 140, 0, 140), (145, 300, 145, 300)])
-    r = Refiner()
-    assert r.best_chain(r.chain_tree(group), own) == (True, 80, 1)
+    assert Refiner().chain(group, own) == (True, 80, 1)
     assert all(a.primary for a, _ in group)
 
 
 def test_a_chain_with_gaps_on_both_sides_is_not():
     own, group = _pair([(50, 100, 50, 100), (150, 200, 150, 200)])
-    r = Refiner()
-    assert r.best_chain(r.chain_tree(group), own)[0] is False
+    assert Refiner().chain(group, own)[0] is False
+
+
+LOOSE, FULL = np.float32(1.0 - float(np.float32(0.9))), float(np.float32(0.9))
+
+
+def _can_follow(a, b):
+    if a.x0 >= b.x0 or a.y0 >= b.y0:
+        return False
+    for lo, hi in ((0, 1), (2, 3)):
+        shared = min(a[hi], b[hi]) - max(a[lo], b[lo])
+        for s in (a, b):
+            if s[hi] > s[lo] and np.float32(shared / (s[hi] - s[lo])) >= LOOSE:
+                return False
+    return True
+
+
+def _plain_tree(segments):
+    """Each segment below every branch that it can follow, or beside them: [place, branches]."""
+    roots = []
+
+    def put(nodes, k):
+        fits = [n for n in nodes if _can_follow(segments[n[0]], segments[k])]
+        for n in fits:
+            if not put(n[1], k):
+                n[1].append([k, []])
+        return bool(fits)
+
+    for k in range(len(segments)):
+        if not put(roots, k):
+            roots.append([k, []])
+    return roots
+
+
+def _plain_chains(nodes, path=()):
+    for k, below in nodes:
+        if below:
+            yield from _plain_chains(below, (*path, k))
+        else:
+            yield (*path, k)
+
+
+def _plain_best(segments, box, gap=10, shortfall=30):
+    best, marked = 0, set()
+    for chain in _plain_chains(_plain_tree(segments)):
+        covered, missed, score, x, y = [0, 0], [0, 0], 0, box[0], box[2]
+        for s in [*(segments[k] for k in chain), None]:
+            dx, dy = (box[1] - x, box[3] - y) if s is None else (s.x0 - x, s.y0 - y)
+            if dx > gap and dy > gap:
+                missed = [missed[0] + dx, missed[1] + dy]
+            if s is not None:
+                n, m = s.x1 - s.x0, s.y1 - s.y0
+                covered = [covered[0] + n, covered[1] + m]
+                score += int(s.iden) * (n + m) // 2
+                x, y = s.x1, s.y1
+        if any(c + m and c / (c + m) > FULL for c, m in zip(covered, missed, strict=True)) and min(missed) < shortfall:
+            marked |= set(chain)
+            best = max(best, score * 2 // max(sum(covered), 1))
+    return bool(marked), best, marked
+
+
+def _in_order(nodes, depth=0):
+    for k, below in nodes:
+        yield depth, k
+        yield from _in_order(below, depth + 1)
+
+
+@pytest.mark.parametrize("least", [1, 0])
+def test_chains_by_the_plain_tree(least):
+    r, found = random.Random(7), 0
+    for _ in range(600):
+        unit = r.choice((5, 20, 40))
+        segments = []
+        for _ in range(r.randrange(1, 11)):
+            x, y = r.randrange(10) * unit, r.randrange(10) * unit
+            segments.append(Segment(x, x + r.choice((least, 1, 2, 3)) * unit + r.randrange(least, 4), y, y + r.choice((least, 1, 2, 3)) * unit, r.choice((70.5, 80.0, 93.2))))
+        segments.sort(key=lambda s: s[:2])
+        box = (min(s.x0 for s in segments) - r.randrange(30), max(s.x1 for s in segments) + r.randrange(30), min(s.y0 for s in segments) - r.randrange(30), max(s.y1 for s in segments) + r.randrange(30))
+        assert list(tree(segments, LOOSE)) == list(_in_order(_plain_tree(segments)))
+        got = best_chain(segments, box, LOOSE, FULL, 10, 30)
+        assert tuple(got) == _plain_best(segments, box)
+        found += got.found
+    assert found > 30
+
+
+@pytest.mark.parametrize("remembered", [1 << 20, 50])
+def test_long_and_dense_chains(monkeypatch, remembered):
+    from famloom.functions import segments as rules
+
+    monkeypatch.setattr(rules, "REMEMBERED", remembered)
+    n = 5_000
+    line = [Segment(100 * k, 100 * k + 99, 100 * k, 100 * k + 99, 80.0) for k in range(n)]
+    got = best_chain(line, (0, 100 * n, 0, 100 * n), LOOSE, FULL, 10, 30)
+    assert got.found and got.score == 80 and len(got.marked) == n
+    if remembered < 100:
+        return
+    # Every image of a step can be followed by every image of the next: 4 ** 20 chains.
+    steps = [Segment(100 * k, 100 * k + 99, 100 * k, 100 * k + 99, 80.0) for k in range(20) for _ in range(4)]
+    got = best_chain(steps, (0, 2000, 0, 2000), LOOSE, FULL, 10, 30)
+    assert got.found and len(got.marked) == 80
+
+
+def test_tree_picture():
+    assert tree_text([Segment(0, 50, 0, 50), Segment(0, 60, 200, 260), Segment(60, 90, 60, 90)]) == "0 0-50\n  2 60-90\n1 0-60"
+
+
+def test_births_of_many_generations():
+    line = [Element(1, "s", 0, 9)]
+    for k in range(5000):
+        line.append(Element(k + 2, "s", 0, 9, birth=(k + 1, line[0], k)))
+    keys = birth_keys(line)
+    assert sorted(keys.values()) == [keys[e] for e in line]
 
 
 def test_identity_winner_is_compared_with_a_whole_number():
