@@ -28,7 +28,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from famloom.llm.common import arrow_batches, materialise, partitions
+from famloom.llm.common import arrow_batches, forget, materialise, partitions
+from famloom.operators.graph import components
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
 SEGMENT = 32
@@ -87,7 +88,7 @@ def candidates(fps: DataFrame) -> DataFrame:
     fps = fps.select("fp").repartition(partitions(fps.sparkSession), "fp")
     rows = fps.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return rows.join(shared, "key", "left_semi").select("fp").distinct()
+    return rows.join(shared.hint("merge"), "key", "left_semi").select("fp").distinct()
 
 
 def links(found: DataFrame) -> DataFrame:
@@ -96,45 +97,19 @@ def links(found: DataFrame) -> DataFrame:
     meet = found.select("fp", F.explode(points).alias("point"))
     # The smallest at a point is asked for where it is not alone.
     least = meet.groupBy("point").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("point", "v")
-    out = meet.join(least, "point").where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
+    out = meet.join(least.hint("merge"), "point").where("fp != v").select(F.col("fp").alias("u"), "v").distinct()
     return out.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each component, for nodes with edges (u, v).
-
-    Each round every node hooks to its smallest neighbour if that is smaller,
-    chains are cut short by pointer jumping, and edges are drawn anew between
-    roots; a round at least halves the nodes that are left but for local
-    minima.  Every round's tables are written to the shared folder.
-    """
-    edges = materialise(edges.where("u != v").select("u", "v"), "edges")
-    labels = materialise(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("root", F.col("node")), "labels")
-    while edges.limit(1).count():
-        both = edges.union(edges.select("v", "u"))
-        hooks = both.groupBy("u").agg(F.min("v").alias("to")).select(F.col("u").alias("node"), F.least("u", "to").alias("to"))
-        hooks = materialise(hooks, "hooks")
-        while True:
-            jump = hooks.select(F.col("node").alias("to"), F.col("to").alias("further"))
-            after = hooks.join(jump, "to", "left").select("node", F.coalesce("further", "to").alias("to"), (F.coalesce("further", "to") != F.col("to")).alias("moved"))
-            after = materialise(after, "hooks")
-            hooks = after.select("node", "to")
-            if not after.where("moved").limit(1).count():
-                break
-        step = hooks.select(F.col("node").alias("root"), "to")
-        labels = materialise(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
-        a, b = hooks.select(F.col("node").alias("u"), F.col("to").alias("u2")), hooks.select(F.col("node").alias("v"), F.col("to").alias("v2"))
-        drawn = edges.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("u2", "u").alias("u"), F.coalesce("v2", "v").alias("v"))
-        edges = materialise(drawn.where("u != v").distinct(), "edges")
-    return labels
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable by links of at most RADIUS bits) of each row."""
     rows = materialise(fingerprints(docs), "simhash")
     fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    roots = components(links(materialise(candidates(fps), "candidates")))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    found = materialise(candidates(fps), "candidates")
+    roots = components(links(found))
+    # All of these grow with the corpus: joined by sort and merge at every size.
+    named = fps.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialise(named.join(names, "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = materialise(named.join(names.hint("merge"), "root").select("fp", "component_id"), "classes")
+    forget(found, fps, roots)
+    return rows.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
