@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from famloom.llm import chat, fingerprints, licenses, mixing, packing, pii, rules, shards, simhash, warc
-from famloom.llm.common import materialise
+from famloom.llm.common import fresh, materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +60,10 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(_table(spark, sf_dir, "documents"))
-    out = out.withColumn("__rate", F.round("__rate", 9))
-    return out.withColumnsRenamed({"__copy": "copy", "__copies": "copies", "__rate": "rate", "__place": "place"})
+    docs = _table(spark, sf_dir, "documents")
+    rate = fresh(docs, "rate")[0]
+    out = mixing.mix(docs)
+    return out.withColumn(rate, F.round(rate, 9))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

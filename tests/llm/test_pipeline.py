@@ -117,7 +117,7 @@ def test_long_secrets_are_found():
 
 def test_mixing_by_text_draws_apart(make):
     data = [(None, f"text {i}", "a") for i in range(400)] + [(5, f"other {i}", "a") for i in range(400)] + [(i, "b" * 100, "b") for i in range(100, 900)]
-    got = [(r.doc_id, r["__copies"], r["__place"]) for r in mixing.mix(make(data), weights={"a": 1, "b": 1}, epochs=1.0, by_text=True).where("source = 'a'").collect()]
+    got = [(r.doc_id, r["copies"], r["place"]) for r in mixing.mix(make(data), weights={"a": 1, "b": 1}, epochs=1.0, by_text=True).where("source = 'a'").collect()]
     for key in (None, 5):
         assert len({n for i, n, _ in got if i == key}) > 1
     assert len({p for *_, p in got}) == len(got)

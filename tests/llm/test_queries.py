@@ -362,7 +362,7 @@ def test_mixing(make):
         n = _poisson((int(hashlib.md5(key.encode()).hexdigest()[:13], 16) + 0.5) / 2**52, rate)
         for c in range(n):
             want[d[0], d[1], c, n] += 1
-    assert Counter((r.doc_id, r.text, r["__copy"], r["__copies"]) for r in got) == want
+    assert Counter((r.doc_id, r.text, r["copy_"], r["copies"]) for r in got) == want
     assert set(docs.columns) < set(out.columns)
 
 
@@ -373,9 +373,31 @@ def test_mixing_to_given_weights(make):
     assert mixing.mix(make([])).count() == 0
 
 
-def test_poisson_of_large_means(spark):
-    got = spark.range(1).select(mixing.poisson_cdf(F.lit(900.0)).alias("c")).first().c
-    assert abs(got[-1] - 1) < 1e-9 and abs(got[900] - 0.5) < 0.02
+def test_poisson_of_any_mean(spark):
+    import math
+
+    means = [1e-6, 0.3, 7.0, 31.5, 190.0, 900.0, 1e5, 1e8]
+    got = {r.rate: r for r in mixing.poisson_tables(spark.createDataFrame([(str(m), m) for m in means], "source string, rate double")).collect()}
+    for m in means:
+        r = got[m]
+        assert abs(r.cdf[-1] - 1) < 1e-7 and len(r.cdf) < 26 * math.sqrt(m) + 60
+        if m < 1e4:
+            for k in {r.low, r.low + 3, int(m), int(m + 2 * math.sqrt(m))}:
+                want = sum(math.exp(j * math.log(m) - m - math.lgamma(j + 1)) for j in range(k + 1))
+                assert abs(r.cdf[k - r.low] - want) < 1e-10
+        else:
+            assert abs(r.cdf[int(m) - r.low] - 0.5) < 0.01
+
+
+def test_mixing_beyond_broadcast_and_bounds(make, monkeypatch):
+    data = [(i, f"text {i}", f"s{i % 3}") for i in range(300)] + [(400 + i, None, None) for i in range(5)]
+    want = rows(mixing.mix(make(data), epochs=3.0))
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert rows(mixing.mix(make(data), epochs=3.0)) == want
+    assert mixing.mix(make([(1, "x", "a")]), weights={"a": 1}, epochs=50_000.0).agg(F.max("copy")).first()[0] > 48_000
+    monkeypatch.setattr(mixing, "HIGHEST", 2.0)
+    with pytest.raises(ValueError):
+        mixing.mix(make(data), epochs=30.0)
 
 
 # --- all -------------------------------------------------------------------------
