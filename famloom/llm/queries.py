@@ -30,7 +30,7 @@ def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.judge(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", *(F.col(f"__{m}").alias(m) for m in rules.METRICS), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    return out.withColumnRenamed("key", "doc_id").withColumn("host_rate", F.round("host_rate", 9)).drop("host")
 
 
 def op4_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +109,11 @@ f AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.REP
 h AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS bad FROM f WHERE source IS NOT NULL GROUP BY source),
 g AS (SELECT avg(bad / n) AS m, coalesce(var_samp(bad / n), 0) AS v, avg(1.0::DOUBLE / n) AS inv FROM h),
 k AS (SELECT m, least(greatest(CASE WHEN v - m * (1 - m) * inv > 0 THEN (m * (1 - m) - v) / (v - m * (1 - m) * inv) ELSE {rules.STRONGEST} END, {rules.WEAKEST}), {rules.STRONGEST}) AS k FROM g),
-r AS (SELECT source FROM h, k WHERE (bad + m * k) / (n + k) > {rules.HOST_LIMIT} AND n >= {rules.HOST_LEAST})
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM r)) AS kept FROM f"""
+l AS (SELECT m, k, least(greatest(m + {rules.SPREAD} * sqrt(m * (1 - m) / (k + 1)), {rules.LEAST_LIMIT}), {rules.MOST_LIMIT}) AS top FROM k),
+s AS (SELECT source, n, bad, top, k, (bad + m * k) / (n + k) AS rate FROM h, l),
+r AS (SELECT source, n, bad, rate, rate - {rules.CREDIBLE} * sqrt(rate * (1 - rate) / (n + k + 1)) > top AS rejected FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, r.n AS host_docs, CAST(r.bad AS BIGINT) AS host_failures, round(CAST(r.rate AS DOUBLE), 9) AS host_rate,
+  NOT base_failed AND NOT coalesce(rejected, false) AS kept FROM f LEFT JOIN r ON r.source = f.source"""
 
 _WARC_SQL = f"""WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
 q AS (SELECT *, CASE WHEN n >= {warc.LEAST} THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS f FROM p)

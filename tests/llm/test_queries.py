@@ -115,22 +115,36 @@ def test_license_scan(make):
     assert got == sorted(((d[0], *licenses.scan(d[1])[:7]) for d in data), key=repr)
 
 
-def test_rules(make):
-    data = [(i, "good " + " ".join(f"w{i}x{k}" for k in range(20)), "fine") for i in range(60)] + [(100 + i, "bad", "bad host") for i in range(60)]
-    data += [(200, "good " + " ".join(map(str, range(20))), "bad host"), (201, "bad", None), (202, "good " + " ".join(map(str, range(20))), None), *[(300 + i, *x[1:]) for i, x in enumerate(ODD)]]
-    got = {r.doc_id: r for r in rules.judge(make(data, extra=True)).collect() if r.doc_id is not None}
-    for d in data:
-        if d[0] is not None:
-            r, m = got[d[0]], rules.metrics(d[1])
-            assert tuple(r[f"__{x}"] for x in rules.METRICS) == m
-            failed = m[0] < 10 or 100 * m[4] > 20 * m[0]
-            assert r["__base_failed"] == failed and r["__kept"] == (not failed and d[0] != 200)
+GOOD = " ".join(f"w{k}" for k in range(20))
 
 
-def test_rules_shrink_small_hosts(make):
-    data = [(i, "bad" if i % 4 == 0 else " ".join(f"w{k}" for k in range(20)), f"h{i % 7}") for i in range(700)] + [(9000, "bad", "tiny"), (9001, " ".join(f"w{k}" for k in range(20)), "tiny")]
-    rate = {r["__host"]: r["__rate"] for r in rules.host_rates(rules.measured(make(data))).collect()}
-    assert 0.2 < rate["tiny"] < 0.5 and all(0.15 < v < 0.35 for h, v in rate.items() if h != "tiny")
+def test_rules(make):
+    data = [(i, "good " + " ".join(f"w{i}x{k}" for k in range(20)), f"fine{i % 6}") for i in range(60)] + [(100 + i, "bad", "bad host") for i in range(60)]
+    data += [(200, GOOD, "bad host"), (201, "bad", None), (202, GOOD, None), (203, "bad", "new"), *[(300 + i, *x[1:]) for i, x in enumerate(ODD)]]
+    docs = make(data, extra=True)
+    got = {r.key: r for r in rules.judge(docs).collect()}
+    n, bad = Counter(), Counter()
+    for d in data:
+        m = rules.metrics(d[1])
+        n[d[2] if len(d) > 2 else "s"] += 1
+        bad[d[2] if len(d) > 2 else "s"] += m[0] < 10 or 100 * m[4] > 20 * m[0]
+    for d in data:
+        r, m, h = got[d[0]], rules.metrics(d[1]), d[2] if len(d) > 2 else "s"
+        assert tuple(r[x] for x in rules.METRICS) == m
+        failed = m[0] < 10 or 100 * m[4] > 20 * m[0]
+        assert r.base_failed == failed and r.kept == (not failed and d[0] != 200)
+        assert (r.host_docs, r.host_failures) == ((n[h], bad[h]) if h else (None, None)) and (r.host_rate is None) == (h is None)
+    # A bad host loses its good document, and nothing else does; columns stay as they are.
+    kept = rules.keep_good(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d[0] for d in data if got[d[0]].kept)
+
+
+def test_rules_shrink_small_hosts(spark, make):
+    hosts = [(f"h{i}", 100, 25) for i in range(7)] + [("tiny", 2, 2), ("huge", 10_000, 9_900), ("half", 1000, 480)]
+    got = {r.host: r for r in rules.host_rates(spark.createDataFrame(hosts, "host string, docs long, failures long")).collect()}
+    assert got["tiny"].rate < 0.9 and {h for h, r in got.items() if r.rejected} == {"huge"}
+    alike = {r.host: r for r in rules.host_rates(spark.createDataFrame([(f"h{i}", 50, 5) for i in range(9)] + [("tiny", 1, 1)], "host string, docs long, failures long")).collect()}
+    assert not any(r.rejected for r in alike.values())
 
 
 def test_pii(make):
