@@ -1,19 +1,25 @@
 """Sharding by fixed virtual slots (native).
 
-Records are hashed into thousands of slots that never change; a stored,
-versioned map says which shard holds each slot.  Growing or rebalancing edits
-the map alone, so only the rows of edited slots move.
+Records are hashed into thousands of slots that never change; a stored map says
+which shard holds each slot.  The map is a table of versions: growing, and
+rebalancing by the bytes in each slot, append the edited slots alone, so only
+their rows move, and any earlier version can be read again.
 
 Defined results: a null ``doc_id`` hashes as its own key; a null text has 0
-bytes and the CRC of no bytes; repeated rows are rows of their own, in the same
-slot; an empty table gives no rows; other columns are left out.
+bytes and the CRC of no bytes; a text of any length is one record; repeated rows
+are rows of their own, in the same slot; an empty table gives no rows; other
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from famloom.llm.common import ranked
+from famloom.llm.common import materialise, ranked, scratch_dir
+from famloom.sources.store import Store
 
 #: Virtual slots; a power of two, far above the number of shards.
 SLOTS = 4096
@@ -62,9 +68,38 @@ def rebalanced(mapping: list[int], slot_bytes: dict[int, int], shards: int, tole
     return out
 
 
-def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """The versioned map as a table (version, slot, shard); write it beside the data."""
-    return spark.createDataFrame([(v, s, k) for v, m in enumerate(versions) for s, k in enumerate(m)], "version int, slot int, shard int")
+class SlotMap:
+    """The stored map: versions from 1 in a folder, each of the slots it edits."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.store = spark, Store(spark, path, "slot")
+
+    def _append(self, slots: dict[int, int]) -> int:
+        return self.store.write(self.spark.createDataFrame(sorted(slots.items()), "slot int, shard int").coalesce(1))
+
+    def create(self, shards: int, slots: int = SLOTS) -> int:
+        return self._append(dict(enumerate(first_map(shards, slots))))
+
+    def table(self, version: int | None = None) -> DataFrame:
+        """slot, shard as of a version; a row for each slot."""
+        return self.store.read(version)
+
+    def shards(self, version: int | None = None) -> list[int]:
+        """The shard of each slot: as many numbers as there are slots."""
+        return [r["shard"] for r in self.table(version).sort("slot").collect()]
+
+    def edit(self, after: list[int]) -> int:
+        """A version in which the slots that differ are as in ``after``; nothing else is written."""
+        return self._append({s: k for s, (k, was) in enumerate(zip(after, self.shards(), strict=True)) if k != was})
+
+    def grow(self, shards: int) -> int:
+        """One shard more than ``shards``: it takes slots, and no other shard does."""
+        return self.edit(grown(self.shards(), shards))
+
+    def rebalance(self, records: DataFrame, shards: int, tolerance: float = 0.01) -> int:
+        """Slots moved by the bytes they hold (a row for each slot comes to the driver)."""
+        held = {r["virtual_slot"]: r["slot_bytes"] for r in slot_bytes(records).collect()}
+        return self.edit(rebalanced(self.shards(), held, shards, tolerance))
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -83,23 +118,25 @@ def slot_bytes(records: DataFrame) -> DataFrame:
     return records.groupBy("virtual_slot").agg(F.sum("size").alias("slot_bytes"), F.count(F.lit(1)).alias("slot_rows"))
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
-    """Every record with its shard under version 0 of the map, and under version 1, which has one shard more.
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """Every record with its shard under version 1 of the map, under version 2, which has one shard more, and under version 3, rebalanced by bytes.
 
-    Law ``key``: doc_id and the number of shards decide.  ``slot`` is the
-    record's place in its shard, gapless from 0; ``virtual_slot`` the fixed
-    slot, ``slot_bytes`` what that slot holds.
+    Law ``key``: doc_id and the number of shards decide ``shard`` and
+    ``grown_shard``.  ``slot`` is the record's place in its shard, gapless from 0;
+    ``virtual_slot`` the fixed slot, ``slot_bytes`` what that slot holds,
+    ``balanced_shard`` where version 3 has it.  ``path``: a new folder for the map.
     """
     spark = docs.sparkSession
-    old = first_map(shards, slots)
-    maps = map_table(spark, [old, grown(old, shards)])
-    both = maps.groupBy(F.col("slot").alias("virtual_slot")).agg(
-        F.max(F.when(F.col("version") == 0, F.col("shard"))).alias("shard"), F.max(F.when(F.col("version") == 1, F.col("shard"))).alias("grown_shard")
-    )
-    records = sized(docs, slots)
+    known = SlotMap(spark, path or f"{scratch_dir(spark)}/slots-{uuid.uuid4().hex}")
+    placed = materialise(sized(docs, slots).withColumn("__u", F.monotonically_increasing_id()), "records")
+    known.create(shards, slots)
+    known.grow(shards)
+    known.rebalance(placed, shards + 1)
+    names = {1: "shard", 2: "grown_shard", 3: "balanced_shard"}
+    maps = [known.table(v).select(F.col("slot").alias("virtual_slot"), F.col("shard").alias(n)) for v, n in names.items()]
     # The slot tables have at most `slots` rows.
-    placed = records.join(F.broadcast(both), "virtual_slot").withColumn("__u", F.monotonically_increasing_id())
+    every = reduce(lambda a, b: a.join(b, "virtual_slot"), maps).join(slot_bytes(placed), "virtual_slot")
+    placed = placed.join(F.broadcast(every), "virtual_slot")
     order = [F.col(c) for c in ("shard", "virtual_slot", "doc_id", "text_crc32", "__u")]
-    out = ranked(placed, order, "shard", "slot").drop("__u")
-    out = out.join(F.broadcast(slot_bytes(out)), "virtual_slot", "left")
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "slot_bytes")
+    out = ranked(placed, order, "shard", "slot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "slot_bytes", "balanced_shard")

@@ -336,17 +336,33 @@ def test_shards(make):
     got = shards.shard(make(data, extra=True)).collect()
     want = Counter((d[0], len((d[1] or "").encode()) + 16, zlib.crc32((d[1] or "").encode())) for d in data)
     assert Counter(tuple(r)[:3] for r in got) == want
-    slots, held = defaultdict(list), Counter()
+    slots, held, grown = defaultdict(list), Counter(), shards.grown(shards.first_map(40), 40)
     for r in got:
         slots[r.shard].append(r.slot)
         held[r.virtual_slot] += r["size"]
         virtual = int(hashlib.md5(("null" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:8], 16) % 4096
-        assert (r.law, r.virtual_slot, r.shard) == ("key", virtual, virtual % 40) and r.grown_shard in (r.shard, 40)
+        assert (r.law, r.virtual_slot, r.shard, r.grown_shard) == ("key", virtual, virtual % 40, grown[virtual])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert all(r.slot_bytes == held[r.virtual_slot] for r in got)
+    balanced = shards.rebalanced(grown, held, 41)
+    assert all(r.balanced_shard == balanced[r.virtual_slot] for r in got)
     assert shards.shard(make([])).count() == 0
 
 
+def test_the_slot_map_is_stored_by_versions(spark, make, tmp_path):
+    data = [(i, "x" * (1 + i % 50 * (200 if i % 40 == 3 else 1)), "s") for i in range(800)]
+    shards.shard(make(data), 5, 64, str(tmp_path / "map"))
+    known = shards.SlotMap(spark, str(tmp_path / "map"))
+    one, two, three = (known.shards(v) for v in (1, 2, 3))
+    assert one == shards.first_map(5, 64) and two == shards.grown(one, 5) and known.shards() == three != two
+    # A version holds edited slots alone.
+    for v, before, after in ((2, one, two), (3, two, three)):
+        assert {r.slot: r.shard for r in spark.read.parquet(str(tmp_path / "map" / f"v{v}")).collect()} == {s: k for s, k in enumerate(after) if k != before[s]}
+    load = lambda m: [sum(r.slot_bytes for r in held if m[r.virtual_slot] == k) for k in range(6)]
+    held = shards.slot_bytes(shards.sized(make(data), 64)).collect()
+    assert max(load(three)) - min(load(three)) < max(load(two)) - min(load(two))
+
+
 def _poisson(u, rate):
     import math
 
