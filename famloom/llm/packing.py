@@ -1,20 +1,30 @@
 """Bulk-synchronous best-fit packing of token sequences.
 
-Lengths are whole numbers up to the capacity, so documents and gaps sorted by
-size are runs of equal sizes: at most ``capacity`` of either, however large the
-corpus.  Sorting and ranking the rows inside each size is the distributed part
-(range partitions, no window over a size).  Supersteps then work on runs: the
-longest documents left look up their successor, the smallest gap that holds
-them; conflicts are resolved by rank (document rank r of the run takes place r of
-the gap run); gaps are updated and split; and the next superstep follows.  A
-superstep moves whole runs at once and gives just what best fit decreasing gives
-one document after another.  The plan (at most a few runs for each size) goes
-back to the rows as (size, first rank) -> (sequence, offset).
+Documents (pieces) and the gaps of open sequences are sorted together by size
+into range partitions, larger first.  In a superstep every document looks for its
+successor, the smallest gap that holds it:
+
+* each partition sweeps its range once.  Of documents that meet at one gap the
+  largest (then the one of the lowest id) has the higher rank and takes it, the
+  next takes the next larger gap that is free;
+* documents that found no gap in their partition take, again by rank, the gaps
+  that larger ranges have left: what each partition has left of either is one row
+  on the driver, and the edge that is carried from range to range follows from
+  these counts;
+* gaps shrink by what they took, and the next superstep sorts them anew.
+
+A gap of several times the largest document left offers a slot for each, so many
+small documents move in one superstep.  Only documents of more than a
+``SHARE``-th of the largest take part; the smaller ones wait, as in best fit
+decreasing.  Documents over all gaps open sequences, besides the ``STOCK`` that is
+open from the start.  Once few rows are left one task goes on with the same
+supersteps by itself (``TAIL`` bounds it).
 
 Defined results: a null text is empty and has the end token alone; documents over
-the capacity are cut into full pieces and a rest; ties and repeated rows are
-ranked by doc_id, piece, checksum and place in the input, each placed for itself;
-an empty table gives no rows; other columns are left out.
+the capacity are cut into full pieces, which are sequences of their own, and a
+rest; ties and repeated rows are told apart by their place in the input, each
+placed for itself; an empty table gives no rows; other columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +32,14 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from famloom.llm.common import arrow_batches, materialise, ranked
+from famloom.llm.common import arrow_batches, forget, materialise
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
@@ -148,71 +158,210 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
     return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Runs (size, first rank, documents, first sequence, documents for each sequence, offset), and the number of sequences.
+# --- supersteps ---------------------------------------------------------------
 
-    ``counts``: the number of documents of each size.  Gaps are kept as runs
-    (gap, first sequence, sequences), sorted.
+#: A superstep moves documents from a 1/SHARE of the largest; part of the sequences needed at least that is open from the start.
+SHARE, STOCK = 4, 0.95
+#: Rows of a range partition, partitions at least, and rows that one task finishes.
+RANGE, RANGES, TAIL = 100_000, 4, 20_000
+
+
+def swept(is_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gaps, documents) that meet in one sweep of rows sorted larger first, gaps before documents of their size.
+
+    A document takes the last gap before it that is free.  With gaps counted up
+    and documents down, a gap and its document stand at one level with nothing
+    of that level between them; a document at which the count is lower than ever
+    before finds none.
     """
-    gaps: list[tuple[int, int, int]] = []
-    out, sequences = [], 0
-    for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
-        while left:
-            k = bisect_left(gaps, (size, -1, 0))  # the successor sweep
-            if k < len(gaps):
-                gap, first, many = gaps.pop(k)
-            else:
-                gap, first, many = capacity, sequences, -(-left // (capacity // size))
-                sequences += many
-            each = gap // size
-            used = min(left, each * many)
-            out.append((size, rank, used, first, each, capacity - gap))
-            full, rest = divmod(used, each)
-            for m, at, now in ((full, first, gap - each * size), (int(rest > 0), first + full, gap - rest * size), (many - full - int(rest > 0), first + full + int(rest > 0), gap)):
-                if m and now:
-                    insort(gaps, (now, at, m))
-            rank, left = rank + used, left - used
-    return out, sequences
+    run = np.cumsum(np.where(is_doc, -1, 1))
+    lowest = np.minimum.accumulate(np.minimum(run, 0))
+    found = np.flatnonzero(~(is_doc & (run < np.concatenate(([0], lowest[:-1])))))
+    doc = is_doc[found]
+    count = np.cumsum(np.where(doc, -1, 1))
+    order = np.argsort(np.where(doc, count + 1, count), kind="stable")
+    level, doc = np.where(doc, count + 1, count)[order], doc[order]
+    pair = (level[:-1] == level[1:]) & ~doc[:-1] & doc[1:]
+    return found[order[:-1][pair]], found[order[1:][pair]]
 
 
-def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``parts`` (with ``length`` from 1 to capacity) with sequence_id and offset."""
-    parts = parts.withColumn("__u", F.monotonically_increasing_id())
-    order = [F.col(c) for c in ("length", "doc_id", "piece", "ids_crc32", "__u")]
-    rows = ranked(parts, order, "length", "__rank")
-    # At most `capacity` sizes.
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs = np.array(plan(counts, capacity)[0] or [(0,) * 6], dtype=np.int64)
-    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+def carried(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(partition, first document, documents, partition of the gaps, its gap for the first one): later documents take earlier gaps.
 
+    ``left``: (partition, documents, gaps) without partner, in order of ranges.
+    """
+    out, free = [], []
+    for part, docs, gaps in left:
+        first = 0
+        while first < docs and free:
+            there, n = free.pop()
+            many = min(n, docs - first)
+            out.append((part, first, many, there, n - 1))
+            first += many
+            if n > many:
+                free.append((there, n - many))
+        if gaps:
+            free.append((part, gaps))
+    return out
+
+
+def _opened(over: int, least: int, capacity: int) -> int:
+    """Sequences for ``over`` documents of at least ``least``: as many as they need in any case."""
+    return -(-over // (capacity // least)) if over else 0
+
+
+def finish(ids: np.ndarray, sizes: np.ndarray, seqs: np.ndarray, gaps: np.ndarray, fresh_seq: int, capacity: int) -> tuple[np.ndarray, ...]:
+    """The same supersteps in memory: (id, size, sequence, turn, slot) of every document."""
+    order = np.lexsort((ids, -sizes))
+    ids, sizes, out, turn = ids[order], sizes[order], [], 0
+    while len(ids):
+        turn += 1
+        most = int(sizes[0])
+        n = int(np.searchsorted(-sizes, -(most // SHARE), side="right"))
+        now = sizes[:n]
+        over = now[now > (gaps.max() if len(gaps) else 0)]
+        if len(over):
+            new = _opened(len(over), int(over[-1]), capacity)
+            seqs, gaps = np.concatenate([seqs, fresh_seq + np.arange(new)]), np.concatenate([gaps, np.full(new, capacity, dtype=np.int64)])
+            fresh_seq += new
+        use = np.flatnonzero(gaps >= now[-1])
+        many = np.maximum(1, gaps[use] // most)
+        at = np.repeat(use, many)
+        slot = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        size, doc = np.concatenate([gaps[at] // np.repeat(many, many), now]), np.concatenate([np.zeros(len(at), dtype=bool), np.ones(n, dtype=bool)])
+        rows = np.lexsort((doc, -size))
+        g, d = swept(doc[rows])
+        g, d = rows[g], rows[d] - len(at)
+        out.append((ids[d], sizes[d], seqs[at[g]], np.full(len(d), turn), slot[g]))
+        np.subtract.at(gaps, at[g], sizes[d])
+        ids, sizes = np.delete(ids, d), np.delete(sizes, d)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+
+
+_SWEPT = "id long, size long, seq long, slot long, kind int, part int, place long"
+_LINK = "id long, size long, seq long, turn long, slot long"
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (size, kind 0 gap or 1 document, id, slot) of one range, sorted: kind 0 where a document met a gap, 1 for a document and 2 for a gap left, counted by ``place``."""
+    from pyspark import TaskContext
+
+    held = list(batches)
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    size, kind, ident, slot = (rows.column(c).to_numpy() for c in ("size", "kind", "id", "slot"))
+    gap, doc = swept(kind == 1)
+    alone = np.ones(len(size), dtype=bool)
+    alone[gap] = alone[doc] = False
+    for k, at in ((0, doc), (1, np.flatnonzero(alone & (kind == 1))), (2, np.flatnonzero(alone & (kind == 0)))):
+        seq = ident[gap] if k == 0 else ident[at]
+        n = len(at)
+        cols = [ident[at], size[at], seq, slot[gap] if k == 0 else slot[at], np.full(n, k, dtype=np.int32), np.full(n, TaskContext.get().partitionId(), dtype=np.int32), np.arange(n, dtype=np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "size", "seq", "slot", "kind", "part", "place"])
+
+
+def superstep(docs: DataFrame, gaps: DataFrame, most: int, rows: int) -> DataFrame:
+    """``docs`` (id, size) with the sequence and slot each found among ``gaps`` (seq, gap), null where none was free."""
+    spark = docs.sparkSession
+    many = F.greatest(F.lit(1).cast("long"), F.floor(F.col("gap") / most).cast("long"))
+    slots = gaps.select("seq", "gap", many.alias("many"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("slot"))
+    slots = slots.select(F.floor(F.col("gap") / F.col("many")).cast("long").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("id"), "slot")
+    items = slots.unionByName(docs.select("size", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("slot")))
+    order = [F.col("size").desc(), F.col("kind"), F.col("id"), F.col("slot")]
+    ranges = max(RANGES, -(-rows // RANGE))
+    done = materialise(items.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT), "swept")
+    # Two rows a range at most.
+    left: dict[int, list[int]] = {}
+    for r in done.where("kind > 0").groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n")).collect():
+        left.setdefault(r["part"], [0, 0])[r["kind"] - 1] = r["n"]
+    steps = spark.createDataFrame(carried([(p, *left[p]) for p in sorted(left)]), "p int, first long, many long, there int, top long")
+    alone = done.where("kind = 1").select("id", "size", "part", "place")
+    on = (F.col("part") == F.col("p")) & (F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("many"))
+    asks = alone.join(F.broadcast(steps), on, "left").select("id", "size", "there", (F.col("top") - F.col("place") + F.col("first")).alias("that"))
+    free = done.where("kind = 2").select(F.col("part").alias("there"), F.col("place").alias("that"), "seq", "slot")
+    met = asks.where("there is not null").join(free.hint("merge"), ["there", "that"]).select("id", "size", "seq", "slot")
+    none = asks.where("there is null").select("id", "size", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("slot"))
+    out = materialise(done.where("kind = 0").select("id", "size", "seq", "slot").unionByName(met).unionByName(none), "met")
+    forget(done)
+    return out
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    return docs.select("id", F.col("size").cast("long").alias("size"))
+
+
+def placements(docs: DataFrame, capacity: int) -> DataFrame:
+    """(id, size, seq, turn, slot) of all ``docs`` (id, size); in a sequence they stand by turn and slot."""
+    spark = docs.sparkSession
+    docs, links, turn, old = _sizes(docs), [], 0, []
+    tokens = docs.agg(F.sum("size").alias("n")).first()["n"] or 0
+    sequences = int(STOCK * tokens / capacity)
+    gaps = spark.range(sequences).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+    while True:
+        turn += 1
+        largest = gaps.agg(F.max("gap").alias("n")).first()["n"] or 0
+        top = docs.agg(F.max("size").alias("most"), F.min("size").alias("least"), F.count(F.lit(1)).alias("n")).first()
+        if not top["n"]:
+            break
+        usable = gaps.where(F.col("gap") >= top["least"])
+        if top["n"] + usable.count() <= TAIL:
+            links.append(_tail(docs, usable, sequences, capacity, turn))
+            break
+        now = docs.where(F.col("size") >= top["most"] // SHARE)
+        over = F.when(F.col("size") > largest, F.col("size"))
+        seen = now.agg(F.count(over).alias("over"), F.min(over).alias("low"), F.min("size").alias("least"), F.count(F.lit(1)).alias("n")).first()
+        new = _opened(seen["over"], seen["low"] or 1, capacity)
+        if new:
+            gaps = gaps.unionByName(spark.range(sequences, sequences + new).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap")))
+            sequences += new
+        met = superstep(now, gaps.where(F.col("gap") >= seen["least"]), top["most"], seen["n"])
+        links.append(met.where("seq is not null").select("id", "size", "seq", F.lit(turn).cast("long").alias("turn"), "slot"))
+        took = met.where("seq is not null").groupBy("seq").agg(F.sum("size").alias("took"))
+        rest = gaps.join(took.hint("merge"), "seq", "left").select("seq", (F.col("gap") - F.coalesce("took", F.lit(0))).alias("gap")).where("gap > 0")
+        gaps, docs = materialise(rest, "gaps"), materialise(met.where("seq is null").select("id", "size").unionByName(docs.where(F.col("size") < top["most"] // SHARE)), "docs")
+        forget(*old)
+        old = [gaps, docs]
+    return reduce(DataFrame.unionByName, links) if links else spark.createDataFrame([], _LINK)
+
+
+def _tail(docs: DataFrame, gaps: DataFrame, sequences: int, capacity: int, turn: int) -> DataFrame:
+    """``finish`` of few rows, in one task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = int(runs[:, 1].max()) + 1
-        keys = [(int(a), int(b)) for a, b in runs[:, :2]] if int(runs[:, 0].max() + 1) * span >= 1 << 62 else runs[:, 0] * span + runs[:, 1]
-        for b in batches:
-            size, rank = b.column("length").to_numpy(), b.column("__rank").to_numpy()
-            if isinstance(keys, list):
-                at = np.array([bisect_left(keys, (int(s), int(r) + 1)) - 1 for s, r in zip(size, rank, strict=True)], dtype=np.int64)
-            else:  # a rank beyond the last run's first rank still belongs to that run
-                at = np.searchsorted(keys, size * span + np.minimum(rank, span - 1), side="right") - 1
-            got = runs[at]
-            k = rank - got[:, 1]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(got[:, 3] + k // got[:, 4]), pa.array(got[:, 5] + k % got[:, 4] * size)], [*keep, "sequence_id", "offset"])
+        held = [b for b in batches if len(b)]
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is None:
+            return
+        kind, ident, size = (rows.column(c).to_numpy() for c in ("kind", "id", "size"))
+        doc = kind == 1
+        order = np.argsort(ident[~doc], kind="stable")
+        ids, sizes, seq, at, slot = finish(ident[doc], size[doc], ident[~doc][order], size[~doc][order].copy(), sequences, capacity)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ids, sizes, seq, at + turn, slot)], ["id", "size", "seq", "turn", "slot"])
+
+    items = docs.select(F.lit(1).alias("kind"), "id", "size").unionByName(gaps.select(F.lit(0).alias("kind"), F.col("seq").alias("id"), F.col("gap").alias("size")))
+    return materialise(items.coalesce(1).mapInArrow(run, _LINK), "tail")
 
-    keep = [c for c in parts.columns if c != "__u"]
-    types = dict(rows.dtypes)
-    return rows.drop("__u").mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", sequence_id long, offset long")
+
+def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``parts`` (with ``length`` from 1 to capacity) with sequence_id and offset."""
+    # Written, as rows are told apart by their place in it.
+    rows = materialise(parts.withColumn("__id", F.monotonically_increasing_id()), "pieces")
+    # Full pieces are sequences of their own, by negative numbers.
+    found = placements(rows.where(F.col("length") < capacity).select(F.col("__id").alias("id"), F.col("length").alias("size")), capacity)
+    before = F.sum("size").over(Window.partitionBy("seq").orderBy("turn", "slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    found = found.select(F.col("id").alias("__id"), F.col("seq").alias("sequence_id"), before.alias("offset"))
+    full = rows.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.col("__id"), "offset": F.lit(0).cast("long")})
+    return rows.where(F.col("length") < capacity).join(found.hint("merge"), "__id").unionByName(full).drop("__id")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """A row per piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    # Written, as ranking reads its input twice.
-    return place(materialise(pieces(docs, capacity, path=path), "pieces"), capacity)
+    return place(pieces(docs, capacity, path=path), capacity)
 
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """The packed sequences: sequence_id, ids (up to ``capacity``), and positions and document number inside, so that attention stops at documents."""
-    placed = place(materialise(pieces(docs, capacity, path=path, with_ids=True), "pieces"), capacity)
+    placed = place(pieces(docs, capacity, path=path, with_ids=True), capacity)
     parts = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "start", "ids"))).alias("parts"))
     return parts.select(
         "sequence_id",

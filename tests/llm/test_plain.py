@@ -224,26 +224,50 @@ def _best_fit(sizes, capacity):
     return len(gaps)
 
 
-def test_plan_is_best_fit_decreasing():
+def _meet(is_doc):
+    """Each document takes the last free gap before it."""
+    free, out = [], []
+    for k, doc in enumerate(is_doc):
+        if not doc:
+            free.append(k)
+        elif free:
+            out.append((free.pop(), k))
+    return sorted(out)
+
+
+def test_sweeps_by_brute_force_in_one_range_or_many():
+    r = random.Random(12)
+    for _ in range(400):
+        rows = np.array([r.random() < 0.5 for _ in range(r.randrange(1, 40))])
+        gap, doc = packing.swept(rows)
+        assert sorted(zip(gap.tolist(), doc.tolist(), strict=True)) == _meet(rows)
+        # Cut into ranges: what meets inside each, and what is carried.
+        ends = sorted({0, len(rows), *(r.randrange(len(rows) + 1) for _ in range(4))})
+        got, left, docs, gaps = [], [], {}, {}
+        for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            g, d = packing.swept(rows[a:b])
+            got += zip((g + a).tolist(), (d + a).tolist(), strict=True)
+            alone = sorted(set(range(b - a)) - set(g.tolist()) - set(d.tolist()))
+            docs[p], gaps[p] = [k + a for k in alone if rows[k + a]], [k + a for k in alone if not rows[k + a]]
+            left.append((p, len(docs[p]), len(gaps[p])))
+        for p, first, many, there, top in packing.carried(left):
+            got += [(gaps[there][top - k], docs[p][first + k]) for k in range(many)]
+        assert sorted(got) == _meet(rows)
+
+
+def test_supersteps_need_as_few_sequences_as_best_fit_decreasing():
     r = random.Random(7)
-    for _ in range(200):
-        capacity = r.choice((10, 64, 100))
-        sizes = [r.randrange(1, capacity + 1) for _ in range(r.randrange(80))] + [r.randrange(1, capacity + 1)] * r.randrange(30)
-        runs, n = packing.plan(Counter(sizes), capacity)
-        assert n == _best_fit(sizes, capacity)
-        filled, placed = {}, Counter()
-        for size, first, many, seq, each, offset in runs:
-            assert placed[size] == first
-            placed[size] += many
-            for k in range(many):
-                filled.setdefault(seq + k // each, []).append((offset + k % each * size, size))
-        assert placed == Counter(sizes)
-        for parts in filled.values():
-            at = 0
-            for o, s in sorted(parts):
-                assert o == at
-                at += s
-            assert at <= capacity
+    for _ in range(150):
+        capacity = r.choice((10, 64, 100, 4096))
+        sizes = [r.randrange(1, capacity) for _ in range(r.randrange(1, 80))] + [r.randrange(1, capacity)] * r.randrange(30) + [r.randrange(1, 6) for _ in range(r.randrange(60))]
+        ids = np.arange(len(sizes))
+        got = packing.finish(ids, np.array(sizes), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0, capacity)
+        assert sorted(got[0].tolist()) == ids.tolist() and all(sizes[i] == s for i, s in zip(got[0].tolist(), got[1].tolist(), strict=True))
+        load = Counter()
+        for s, q in zip(got[1].tolist(), got[2].tolist(), strict=True):
+            load[q] += s
+        assert max(load.values()) <= capacity and len(set(zip(*(x.tolist() for x in got[2:]), strict=True))) == len(sizes)
+        assert len(load) <= 1.1 * _best_fit(sizes, capacity) + 1
 
 
 def test_tokens_are_those_of_the_tokenizer():
