@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from famloom.llm import chat, fingerprints, licenses, mixing, packing, pii, rules, shards, simhash, warc
-from famloom.llm.common import fresh, materialise
+from famloom.llm.common import fresh, scratch_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +43,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = materialise(warc.packages(_table(spark, sf_dir, "pages")), "packages")
-    return warc.records(packed).drop("url")
+    folder = f"{scratch_dir(spark)}/packages-{uuid.uuid4().hex}"
+    return warc.records(warc.packages(_table(spark, sf_dir, "pages"), folder)).drop("url", "record_id")
 
 
 def op7_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,22 @@
-"""WARC records in ZIP packages, read by ranges.
+"""WARC records in ZIP packages, read by ranges of files.
 
 The writer puts records, each a gzip member, into archives of bounded size: ZIP
-packages whose members are stored, not compressed (``archive/data.warc.gz`` and
-``indexes/index.cdxj``), so that a byte range of the package is a byte range of
-the member.  The reader parses the end record, the ZIP64 records and the central
-directory from the package's tail, finds the stored members, reads the index, and
-then reads each record by its own range; no member is extracted.
+packages (files) whose members are stored, not compressed, so that a byte range
+of the file is a byte range of the member.  The reader opens a package where it
+lies and seeks: the end record, the ZIP64 records and the central directory from
+its tail, then the index members (CDXJ or CDX lines, plain or gzip), and then each
+record by its own range.  No member is extracted, and no package is held whole;
+the ranges of one package are read by many tasks.
 
-Packages are rows (``name``, ``content``), as Spark's binaryFile source gives
-them too, so they live in any store that Spark reads.
+Files are reached through pyarrow's file systems by path or URI, so driver and
+executors must share them; those that are found by ``found`` are listed by Spark.
 
 Defined results: a null html is an empty payload; a page whose page_id is null
 revisits an equal page that has one, and else is a response; rows repeated with
-the page_id of the response are responses too; an empty table gives no records.
+the page_id of the response are responses too; a very long html is one record;
+other columns are left out, whatever their names; an empty table gives no
+packages, an empty package or index no records.  Of foreign packages, records
+that are no pages have no page_id, and revisits no payload_bytes.
 """
 
 from __future__ import annotations
@@ -21,22 +25,29 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
+import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from itertools import islice
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from famloom.llm.common import arrow_batches
+from famloom.llm.common import ARROW_BYTES, arrow_batches, materialise, partitions
 
 #: Payloads from this size are told apart by digest; smaller ones are always responses.
 LEAST = 100
-#: Bytes of records after which a package is closed.
-PACKAGE = 4 << 20
+#: Bytes of records after which a package is closed; bytes of an index read at once.
+PACKAGE, BLOCK = 4 << 20, 1 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Pages have no time of their own.
+DATE = "2000-01-01T00:00:00Z"
 
 # --- ZIP ------------------------------------------------------------------------
 
@@ -44,8 +55,30 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 _ALL32, _ALL16 = 0xFFFFFFFF, 0xFFFF
 
-#: (offset, length) -> bytes
-Ranges = Callable[[int, int], bytes]
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system for a path or URI, and the path in it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+class Ranges:
+    """Byte ranges of a file, and how many bytes were asked for."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.asked = file, size, 0
+
+    @classmethod
+    def of(cls, path: str) -> Ranges:
+        system, at = file_system(path)
+        file = system.open_input_file(at)
+        return cls(file, file.size())
+
+    def __call__(self, at: int, n: int) -> bytes:
+        self.asked += n
+        self.file.seek(at)
+        return self.file.read(n)
 
 
 @dataclass(frozen=True)
@@ -57,14 +90,9 @@ class Member:
     header: int
 
 
-def ranges(content: bytes) -> tuple[Ranges, int]:
-    """A reader of byte ranges, and the size."""
-    view = memoryview(content)
-    return lambda at, n: bytes(view[at : at + n]), len(content)
-
-
-def directory(read: Ranges, size: int) -> dict[str, Member]:
-    """Members by name, from the central directory (and its ZIP64 records) of a package of ``size`` bytes."""
+def directory(read: Ranges) -> dict[str, Member]:
+    """Members by name, from the central directory (and its ZIP64 records) of a package."""
+    size = read.size
     base = max(0, size - 22 - _ALL16)
     tail = read(base, size - base)
     at = len(tail) - 22
@@ -122,22 +150,25 @@ def data_start(read: Ranges, member: Member) -> int:
 # --- WARC -----------------------------------------------------------------------
 
 
-def record(kind: str, page: object, url: str | None, payload: bytes, digest: str, refers_to: object = None) -> bytes:
+def record(kind: str, page: object, url: str | None, payload: bytes, digest: str, refers_to: object = None, date: str = DATE) -> bytes:
     """One record as a gzip member.  A revisit has no payload; X-Payload-Length says how long it was."""
-    safe = (url or "").encode("ascii", "backslashreplace").decode().replace("\r", "%0D").replace("\n", "%0A")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = http + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {safe}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {date}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {_safe(url)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}",
         *([f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if kind == "revisit" else []),
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", compresslevel=3, mtime=0)
 
 
-def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (names in lower case) and payload of a record."""
-    raw = gzip.decompress(member)
+def _safe(url: str | None) -> str:
+    return (url or "").encode("ascii", "backslashreplace").decode().replace("\r", "%0D").replace("\n", "%0A")
+
+
+def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers (names in lower case) and payload of a record, gzip or plain."""
+    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -146,7 +177,13 @@ def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
     body = rest[: int(headers["content-length"])]
     if rest[len(body) :] != b"\r\n\r\n":
         raise ValueError("a record's length is wrong")
-    return headers, body.partition(b"\r\n\r\n")[2]
+    return headers, body.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else body
+
+
+def surt(url: str) -> str:
+    """Key of an index line: the host's labels from the last to the first, then the path."""
+    parts = urlsplit(url)
+    return quote(",".join(reversed((parts.hostname or "").split("."))) + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), safe=",)/?=&")
 
 
 class Packer:
@@ -161,7 +198,7 @@ class Packer:
 
     def add(self, entry: dict, raw: bytes) -> bytes | None:
         """Bytes of a package, if this record filled it."""
-        self.index.append(entry | {"offset": self.size, "length": len(raw)})
+        self.index.append(entry | {"length": str(len(raw)), "offset": str(self.size), "filename": DATA.rpartition("/")[2]})
         self.data.append(raw)
         self.size += len(raw)
         return self.close() if self.size >= self.limit else None
@@ -171,7 +208,8 @@ class Packer:
             return None
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-            lines = "".join(f"{quote(x['url'])} {json.dumps(x)}\n" for x in sorted(self.index, key=lambda x: (quote(x["url"]), x["offset"])))
+            stamp = "".join(x for x in DATE if x.isdigit())
+            lines = "".join(sorted(f"{surt(x['url'])} {stamp} {json.dumps(x)}\n" for x in self.index))
             for name, parts in ((DATA, self.data), (INDEX, [lines.encode()])):
                 with z.open(zipfile.ZipInfo(name), "w", force_zip64=self.zip64) as f:
                     for part in parts:
@@ -180,70 +218,168 @@ class Packer:
         return out.getvalue()
 
 
-def entries(content: bytes) -> Iterator[tuple[dict, Ranges, int]]:
-    """Index entries of a package, with the reader and where the WARC data begin."""
-    read, size = ranges(content)
-    members = directory(read, size)
-    index = members[INDEX]
-    start = data_start(read, members[DATA])
-    for line in read(data_start(read, index), index.size).decode("ascii").splitlines():
-        yield json.loads(line.partition(" ")[2]), read, start
+def _lines(read: Ranges, start: int, size: int, packed: bool) -> Iterator[bytes]:
+    """Lines of a stored member, read in blocks; ``packed``: it is one or more gzip members."""
+    rest, unzip = b"", zlib.decompressobj(31) if packed else None
+    for at in range(0, size, BLOCK):
+        raw = read(start + at, min(BLOCK, size - at))
+        if unzip is not None:
+            parts = []
+            while raw:
+                parts.append(unzip.decompress(raw))
+                raw = unzip.unused_data
+                if unzip.eof:
+                    unzip = zlib.decompressobj(31)
+            raw = b"".join(parts)
+        *whole, rest = (rest + raw).split(b"\n")
+        yield from whole
+    if rest:
+        yield rest
+
+
+def entries(read: Ranges) -> Iterator[tuple[str, int, int]]:
+    """(url, place in the package, length) of each record in a package's indexes.
+
+    Index members are those whose name says CDXJ or CDX.  CDXJ lines end in JSON;
+    a CDX line's fields are named by the letters of the file's first line
+    (a url, V offset, S length, g file).  A line's file is a member of its name, or
+    of that name in some folder.
+    """
+    members = directory(read)
+    by_name = {n.rpartition("/")[2]: m for n, m in members.items()} | members
+    starts: dict[str, int] = {}
+    for member in members.values():
+        base = member.name.lower().removesuffix(".gz")
+        if not base.endswith((".cdxj", ".cdx")) or not member.size:
+            continue
+        letters: list[str] = []
+        for line in _lines(read, data_start(read, member), member.size, member.name.lower().endswith(".gz")):
+            text = line.decode("utf-8").strip()
+            if text.startswith("CDX "):
+                letters = text.split()[1:]
+                continue
+            if not text or text.startswith("!"):
+                continue
+            if "{" in text:
+                x = json.loads(text[text.index("{") :])
+                url, name, at, n = x.get("url", ""), x["filename"], int(x["offset"]), int(x["length"])
+            else:
+                x = dict(zip(letters, text.split(), strict=False))
+                if not {"V", "S", "g"} <= x.keys():
+                    raise ValueError(f"{member.name}: a line of no known form")
+                url, name, at, n = x.get("a", ""), x["g"], int(x["V"]), int(x["S"])
+            if name not in starts:
+                if (home := by_name.get(name) or by_name.get(name.rpartition("/")[2])) is None:
+                    raise ValueError(f"{member.name}: no member {name}")
+                starts[name] = data_start(read, home)
+            yield url, starts[name] + at, n
 
 
 def judged(pages: DataFrame) -> DataFrame:
-    """``page_id``, ``url``, ``html`` with __digest, __bytes and __first: the smallest page_id with the same payload, where another page has it.
+    """page_id, url, html, digest and first: the smallest page_id with the same payload, for pages that revisit it.
 
-    Only digests are aggregated.  Pages whose payload is alone, or small, need no
-    partner; the others meet theirs by a join that adaptive execution may split.
+    Ids and digests alone are grouped and joined to say which pages revisit; the
+    html moves once, dealt by page and digest, so no digest is hot.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("__html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("__digest"), F.octet_length(html).cast("long").alias("__bytes"))
-    several = rows.where(F.col("__bytes") >= LEAST).groupBy("__digest").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    return rows.join(several.select("__digest", "__first"), "__digest", "left")
+    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    digest = F.sha2(F.encode("html", "UTF-8"), 256)
+    keys = materialise(rows.where(F.octet_length("html") >= LEAST).select("page_id", digest.alias("digest")).distinct(), "digests")
+    several = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    back = keys.join(several.hint("merge"), "digest").where("page_id is null or page_id != first").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first")
+    rows = rows.withColumn("digest", digest)
+    return rows.join(back.hint("merge"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "html", "digest", "first")
 
 
-def packages(pages: DataFrame, limit: int = PACKAGE, zip64: bool = False) -> DataFrame:
-    """Rows ``name``, ``content``: packages with a record for each page."""
+def packages(pages: DataFrame, folder: str, limit: int = PACKAGE, zip64: bool = False) -> DataFrame:
+    """Writes packages with a record for each page into ``folder``, which all share; (path, bytes) of each.
+
+    A package is named by a digest of its content and put in place whole, so a
+    task that runs twice leaves the same files.
+    """
     arrow_batches(pages.sparkSession)
-    rows = judged(pages).select("page_id", "url", "__html", "__digest", "__first")
+    rows = judged(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(limit, zip64)
+        packer, (system, at) = Packer(limit, zip64), file_system(folder)
+        system.create_dir(at, recursive=True)
 
-        def row(content: bytes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{hashlib.sha256(content).hexdigest()[:32]}.wacz"]), pa.array([content], pa.binary())], ["name", "content"])
+        def put(content: bytes) -> pa.RecordBatch:
+            name = f"{hashlib.sha256(content).hexdigest()[:32]}.wacz"
+            part = f"{at}/.{name}.{uuid.uuid4().hex}"
+            with system.open_output_stream(part) as f:
+                f.write(content)
+            system.move(part, f"{at}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(content)], pa.int64())], ["path", "bytes"])
 
         for b in batches:
             for page, url, html, digest, first in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
-                kind = "revisit" if first is not None and page != first else "response"
+                kind = "response" if first is None else "revisit"
                 raw = record(kind, page, url, html.encode("utf-8", "surrogatepass"), digest, first)
-                if full := packer.add({"url": url or "", "page": page, "type": kind, "digest": f"sha256:{digest}", "filename": DATA}, raw):
-                    yield row(full)
+                if full := packer.add({"url": _safe(url), "mime": "text/html", "status": "200", "digest": f"sha256:{digest}"}, raw):
+                    yield put(full)
         if rest := packer.close():
-            yield row(rest)
+            yield put(rest)
+
+    return materialise(rows.mapInArrow(run, "path string, bytes long"), "packages")
+
 
-    return rows.mapInArrow(run, "name string, content binary")
+def found(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, bytes) of the files of a pattern; Spark lists them, and reads none."""
+    return spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("bytes"))
 
 
-def records(packed: DataFrame, with_payload: bool = False) -> DataFrame:
-    """A row for each record, read back from packages: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload)."""
-    arrow_batches(packed.sparkSession)
-    page = lambda urn: None if urn in (None, "<urn:page:None>") else int(urn.removeprefix("<urn:page:").removesuffix(">"))
-    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * with_payload
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
+def indexed(files: DataFrame) -> DataFrame:
+    """(path, at, length, url) of each record of the packages ``files`` (path)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                got = entries(Ranges.of(path))
+                while rows := list(islice(got, 10_000)):
+                    urls, at, n = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(urls, pa.string())], ["path", "at", "length", "url"])
+
+    return files.select("path").repartition(partitions(files.sparkSession), "path").mapInArrow(run, "path string, at long, length long, url string")
+
+
+def _page(urn: str | None) -> int | None:
+    got = re.fullmatch(r"<urn:page:(-?[0-9]+)>", urn or "")
+    return int(got[1]) if got else None
+
+
+def records(files: DataFrame, with_payload: bool = False) -> DataFrame:
+    """A row for each record of packages (path), read by its range: page_id, record_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload).
+
+    A response's digest is worked out from what was read, and compared with its header where that is a SHA-256.
+    """
+    spark = files.sparkSession
+    arrow_batches(spark)
+    # Ranges of one package are dealt to many tasks, neighbours to one.
+    listed = materialise(indexed(files), "index").repartitionByRange(partitions(spark), "path", "at").sortWithinPartitions("path", "at")
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * with_payload
+    names = ["page_id", "record_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, read = None, None
         for b in batches:
-            for content in b.column("content"):
-                rows = []
-                for entry, read, start in entries(content.as_py()):
-                    headers, payload = parsed(read(start + entry["offset"], entry["length"]))
-                    digest, size = headers["warc-payload-digest"].removeprefix("sha256:"), int(headers["x-payload-length"])
-                    kind = headers["warc-type"]
-                    if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                        raise ValueError(f"the payload of {headers['warc-record-id']} is damaged")
-                    row = (page(headers["warc-record-id"]), headers["warc-target-uri"], size, digest, kind, page(headers.get("warc-refers-to")))
-                    rows.append(row + ((payload if kind == "response" else None),) * with_payload)
+            rows, held = [], 0
+            for path, at, n in zip(*(b.column(c).to_pylist() for c in ("path", "at", "length")), strict=True):
+                if path != last:
+                    last, read = path, Ranges.of(path)
+                headers, payload = parsed(read(at, n))
+                kind, ident, stated = headers["warc-type"], headers.get("warc-record-id"), headers.get("warc-payload-digest", "")
+                digest, size = stated.removeprefix("sha256:") or None, headers.get("x-payload-length")
+                if kind != "revisit":
+                    digest = hashlib.sha256(payload).hexdigest()
+                    if re.fullmatch("sha256:[0-9a-f]{64}", stated) and stated != f"sha256:{digest}" or size is not None and int(size) != len(payload):
+                        raise ValueError(f"the payload of {ident} is damaged")
+                    size = len(payload)
+                row = (_page(ident), ident, headers.get("warc-target-uri"), None if size is None else int(size), digest, kind, _page(headers.get("warc-refers-to")))
+                rows.append(row + ((payload if kind != "revisit" else None),) * with_payload)
+                held += len(payload) * with_payload
+                if held > ARROW_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    rows, held = [], 0
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return packed.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
+    return listed.mapInArrow(run, "page_id long, record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)

@@ -1,5 +1,6 @@
 """Kernels against brute force, without Spark."""
 
+import gzip
 import hashlib
 import io
 import random
@@ -294,6 +295,10 @@ def test_memory_of_words_is_bounded(monkeypatch):
 # --- packages --------------------------------------------------------------------
 
 
+def _ranges(raw):
+    return warc.Ranges(io.BytesIO(raw), len(raw))
+
+
 def _zip64(members):
     """A package whose every number stands in ZIP64 fields."""
     out, central = b"", b""
@@ -324,15 +329,15 @@ def test_directories(kind):
             if kind == "comment":
                 z.comment = b"a comment with " + warc.END + b" in it"
         raw = (b"#!junk" if kind == "prefix" else b"") + out.getvalue()
-    read, size = warc.ranges(raw)
-    got = warc.directory(read, size)
+    read = _ranges(raw)
+    got = warc.directory(read)
     assert [(n, read(warc.data_start(read, m), m.size)) for n, m in got.items()] == members
 
 
 def test_damage_is_noticed():
     for raw in (b"", b"PK", b"x" * 100):
         with pytest.raises(ValueError):
-            warc.directory(*warc.ranges(raw))
+            warc.directory(_ranges(raw))
     with pytest.raises(ValueError):
         warc.parsed(__import__("gzip").compress(b"no record"))
 
@@ -342,15 +347,72 @@ def test_records_are_read_by_their_ranges(zip64):
     packer, r = warc.Packer(1 << 30, zip64), random.Random(9)
     want = {}
     for page in range(50):
-        payload, url = r.randbytes(r.randrange(300)), f"http://h/{page} {{x}} \n"
+        payload, url = r.randbytes(r.randrange(300)), f"http://h/{page} {{x}} \n"
         want[page] = payload
-        packer.add({"url": url, "page": page}, warc.record("response", page, url, payload, hashlib.sha256(payload).hexdigest()))
-    content = packer.close()
-    asked = []
-    for entry, read, start in warc.entries(content):
-        asked.append(entry["length"])
-        assert warc.parsed(read(start + entry["offset"], entry["length"]))[1] == want.pop(entry["page"])
-    assert not want and sum(asked) < len(content)
+        packer.add({"url": url}, warc.record("response", page, url, payload, hashlib.sha256(payload).hexdigest()))
+    read = _ranges(packer.close())
+    for _, at, n in warc.entries(read):
+        headers, payload = warc.parsed(read(at, n))
+        assert payload == want.pop(warc._page(headers["warc-record-id"])) and headers["warc-date"] == warc.DATE
+    assert not want
+
+
+def _foreign(index_name, lines, packed=False, data="crawl-1.warc.gz"):
+    raw = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: application/http\r\nContent-Length: 23\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody\r\n\r\n")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        z.writestr(f"archive/{data}", b"junk" + raw)
+        text = "".join(lines).format(n=len(raw), at=4, name=data).encode()
+        z.writestr(index_name, gzip.compress(text[:20]) + gzip.compress(text[20:]) if packed else text)
+        z.comment = b"from elsewhere"
+    return _ranges(out.getvalue())
+
+
+@pytest.mark.parametrize(
+    ("name", "lines", "packed"),
+    [
+        ("indexes/index.cdxj", ['com,ex)/ 20200101000000 {{"url": "http://ex.com/", "length": "{n}", "offset": "{at}", "filename": "{name}"}}\n'], False),
+        ("indexes/index.cdx.gz", ['!meta {{}}\n', 'com,ex)/ 20200101000000 {{"url": "http://ex.com/", "length": {n}, "offset": {at}, "filename": "{name}"}}\n'], True),
+        ("indexes/all.cdx", [" CDX N b a m s k r M S V g\n", "com,ex)/ 20200101000000 http://ex.com/ text/html 200 AAA - - {n} {at} {name}\n"], False),
+    ],
+)
+def test_foreign_indexes(name, lines, packed):
+    read = _foreign(name, lines, packed)
+    ((url, at, n),) = warc.entries(read)
+    assert url == "http://ex.com/" and warc.parsed(read(at, n))[1] == b"body"
+
+
+def test_indexes_that_say_nothing_or_too_little():
+    assert list(warc.entries(_foreign("indexes/index.cdxj", []))) == [] and list(warc.entries(_foreign("other.txt", ["x"]))) == []
+    for lines in (['x 1 {{"url": "u", "length": "1", "offset": "0", "filename": "lost"}}'], ["no known form"]):
+        with pytest.raises(ValueError):
+            list(warc.entries(_foreign("indexes/index.cdxj", lines)))
+
+
+def test_a_package_of_five_gigabytes_is_read_by_a_few_ranges(tmp_path):
+    raw = warc.record("response", 7, "http://h/", b"payload", hashlib.sha256(b"payload").hexdigest())
+    big, at = 5 << 30, (5 << 30) - 1000  # a sparse member, the record near its end
+    name, index = b"archive/big.warc.gz", f'h)/ 2000 {{"url": "http://h/", "length": "{len(raw)}", "offset": "{at}", "filename": "big.warc.gz"}}\n'.encode()
+    members = [(name, big, 0), (b"indexes/index.cdxj", len(index), 30 + len(name) + 20 + big)]
+    path = tmp_path / "big.wacz"
+    with open(path, "wb") as f:
+        for n, size, start in members:
+            f.seek(start)
+            f.write(warc.LOCAL + struct.pack("<HHHHHIIIHH", 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(n), 20) + n + struct.pack("<HHQQ", 1, 16, size, size))
+        f.seek(30 + len(name) + 20 + at)
+        f.write(raw)
+        f.seek(members[1][2] + 30 + len(members[1][0]) + 20)
+        f.write(index)
+        where, central = f.tell(), b""
+        for n, size, start in members:
+            extra = struct.pack("<HHQQQ", 1, 24, size, size, start)
+            central += warc.ENTRY + struct.pack("<HHHHHHIIIHHHHHII", 45, 45, 0, 0, 0, 0, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(n), len(extra), 0, 0, 0, 0, 0xFFFFFFFF) + n + extra
+        f.write(central + warc.END64 + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, 2, 2, len(central), where) + warc.LOCATOR64 + struct.pack("<IQI", 0, where + len(central), 1))
+        f.write(warc.END + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0))
+    read = warc.Ranges.of(str(path))
+    ((_, start, n),) = warc.entries(read)
+    assert warc.parsed(read(start, n))[1] == b"payload" and read.size > big and read.asked < 100_000
 
 
 # --- simhash ---------------------------------------------------------------------

@@ -205,12 +205,12 @@ def test_packing(make, monkeypatch, tail):
 # --- 6 ---------------------------------------------------------------------------
 
 
-def test_warc(spark):
+def test_warc(spark, tmp_path):
     r = random.Random(6)
     pages = [(i, f"http://h{i % 3}/ü {i}", r.choice(("x" * 99, "x" * 100, "é" * 50, "y" * 500, None, f"own {i}" * 30))) for i in range(80)]
     pages += [(None, None, "y" * 500), (3, "u", pages[3][2]), (None, "z", "small")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3).withColumn("name", F.lit(1)).withColumn("content", F.lit(2))
-    packed = warc.packages(df, limit=3000)
+    packed = warc.packages(df, str(tmp_path / "one"), limit=3000)
     assert packed.count() > 3
     first = {}
     for i, _, h in pages:
@@ -222,9 +222,11 @@ def test_warc(spark):
         f = first.get(h or "")
         back = len(b) >= 100 and f is not None and f != i
         want.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if back else "response", f if back else None))
-    assert rows(warc.records(packed).drop("url")) == sorted(want, key=repr)
-    payloads = {x.page_id: bytes(x.payload) for x in warc.records(warc.packages(df, zip64=True), with_payload=True).where("record_type = 'response' and page_id is not null").collect()}
+    assert rows(warc.records(packed).drop("url", "record_id")) == sorted(want, key=repr)
+    payloads = {x.page_id: bytes(x.payload) for x in warc.records(warc.packages(df, f"file://{tmp_path}/two", zip64=True), with_payload=True).where("record_type = 'response' and page_id is not null").collect()}
     assert all(payloads[i] == (h or "").encode() for i, _, h in pages if i in payloads)
+    assert rows(warc.records(warc.found(spark, str(tmp_path / "one"))).drop("url", "record_id")) == sorted(want, key=repr)
+    assert warc.records(warc.packages(df.limit(0), str(tmp_path / "none"))).count() == 0
 
 
 # --- 7 ---------------------------------------------------------------------------
