@@ -11,9 +11,10 @@ Templates compile into one automaton over words, made deterministic as it is
 used, and a scan reads it from every word that can begin a template; the longest
 match of each label counts.  Mandatory wording has no tolerance.
 
-Defined results: a null or empty text has no words; overlapping matches of a
-label count from their first words; repeated rows are rows of their own; an empty
-table gives no rows; other columns are left out.
+Defined results: a null or empty text has no words; a text of any length is
+scanned whole; overlapping matches of a label count from their first words;
+repeated rows are rows of their own; an empty table gives no rows; other columns
+are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,29 +33,119 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 
 _GRANT = "<<one;licensed|released|distributed|available|provided|published>> under <<optional>> the terms of <</optional>> <<optional>> the <</optional>> <<optional>> a <</optional>>"
 _CC = "<<one;cc|creative commons>> <<optional>> license <</optional>>"
-_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
-#: (label, markup): license notices and texts as publicly known.
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_HELD = "<<one;authors or copyright holders|author or copyright holders|copyright holders|copyright holders and contributors|copyright holder|copyright owner>>"
+#: The header of the GNU licenses: name, labels by version.
+_FREE = "free software you can redistribute it and or modify it under the terms of"
+_ANY_LATER = "<<optional>> or at your option any later version <</optional>>"
+
+
+def _gnu(name: str, version: str) -> str:
+    """The header that a program's files carry; the program's name is replaceable."""
+    return f"<<one;this program is|this file is|this library is|this software is|it is>> {_FREE} the gnu {name} as published by the free software foundation <<optional>> either <</optional>> version {version} of the license {_ANY_LATER}"
+
+
+def _spdx(ids: str) -> str:
+    return f"spdx license identifier <<one;{ids}>>"
+
+
+#: License notices and texts as publicly known (fixed values): (label, markup).
+#: A label has a template for each wording that is in use: notices, SPDX lines, titles, headers, whole texts.
 TEMPLATES = (
+    # Notices
     ("mit", f"{_GRANT} mit license"),
     ("apache-2.0", f"{_GRANT} apache license <<optional>> version <</optional>> 2 0"),
     ("gpl-2.0", f"{_GRANT} gnu general public license <<optional>> as published by the free software foundation <<optional>> either <</optional>> <</optional>> <<one;version 2|v2>>"),
     ("gpl-3.0", f"{_GRANT} gnu general public license <<optional>> as published by the free software foundation <<optional>> either <</optional>> <</optional>> <<one;version 3|v3>>"),
     ("lgpl", f"{_GRANT} gnu <<one;lesser|library>> general public license"),
+    ("agpl-3.0", f"{_GRANT} gnu affero general public license <<one;version 3|v3>>"),
+    ("mpl-2.0", f"{_GRANT} mozilla public license <<optional>> <<one;version|v>> <</optional>> <<one;2 0|v2 0>>"),
+    ("epl-2.0", f"{_GRANT} eclipse public license <<optional>> <<one;version|v>> <</optional>> <<one;2 0|v2 0>>"),
+    ("bsd", f"{_GRANT} <<optional>> <<one;2 clause|3 clause|new|simplified|modified>> <</optional>> bsd <<optional>> <<one;style|2 clause|3 clause>> <</optional>> license"),
     ("cc-by-nc", f"{_GRANT} {_CC} <<one;by nc|attribution noncommercial|attribution non commercial>> <<optional>> <<any;1>> <<any;1>> <<optional>> international <</optional>> <<optional>> license <</optional>> <</optional>>"),
     ("cc-by-sa", f"{_GRANT} {_CC} <<one;by sa|attribution sharealike|attribution share alike>>"),
+    ("cc-by-nd", f"{_GRANT} {_CC} <<one;by nd|attribution noderivatives|attribution noderivs|attribution no derivatives>>"),
+    ("cc-by-4.0", f"{_GRANT} {_CC} <<one;by|attribution>> <<one;4 0|3 0>>"),
     ("cc0", f"{_GRANT} <<one;cc0|creative commons zero>> <<optional>> 1 0 <</optional>>"),
+    # SPDX lines
+    ("mit", _spdx("mit|mit 0")),
+    ("apache-2.0", _spdx("apache 2 0")),
+    ("gpl-2.0", _spdx("gpl 2 0|gpl 2 0 only|gpl 2 0 or later")),
+    ("gpl-3.0", _spdx("gpl 3 0|gpl 3 0 only|gpl 3 0 or later")),
+    ("lgpl", _spdx("lgpl 2 1 only|lgpl 2 1 or later|lgpl 3 0 only|lgpl 3 0 or later|lgpl 2 0 only|lgpl 2 0 or later")),
+    ("agpl-3.0", _spdx("agpl 3 0 only|agpl 3 0 or later")),
+    ("mpl-2.0", _spdx("mpl 2 0")),
+    ("epl-2.0", _spdx("epl 2 0")),
+    ("bsd", _spdx("bsd 2 clause|bsd 3 clause")),
+    ("isc", _spdx("isc")),
+    ("zlib", _spdx("zlib")),
+    ("unlicense", _spdx("unlicense")),
+    ("cc0", _spdx("cc0 1 0")),
+    ("cc-by-4.0", _spdx("cc by 4 0")),
+    ("cc-by-sa", _spdx("cc by sa 4 0")),
+    ("cc-by-nc", _spdx("cc by nc 4 0|cc by nc sa 4 0|cc by nc nd 4 0")),
+    # Titles of whole texts
+    ("mit", "the mit license mit"),
+    ("apache-2.0", "apache license version 2 0 january 2004"),
+    ("gpl-2.0", "gnu general public license version 2 june 1991"),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007"),
+    ("lgpl", "gnu <<one;lesser|library>> general public license version <<one;2 1 february 1999|3 29 june 2007|2 june 1991>>"),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007"),
+    ("mpl-2.0", "mozilla public license version 2 0"),
+    ("epl-2.0", "eclipse public license <<one;v 2 0|v2 0|version 2 0>>"),
+    ("cc0", "creative commons legal code cc0 1 0 universal"),
+    ("cc0", "cc0 1 0 universal <<optional>> cc0 1 0 <</optional>> public domain dedication"),
+    ("cc-by-4.0", "<<one;creative commons attribution|attribution>> 4 0 international <<one;public license|cc by 4 0>>"),
+    ("cc-by-sa", "<<one;creative commons attribution|attribution>> <<one;sharealike|share alike>> 4 0 international <<one;public license|cc by sa 4 0>>"),
+    ("cc-by-nc", "<<one;creative commons attribution|attribution>> <<one;noncommercial|non commercial>> 4 0 international <<one;public license|cc by nc 4 0>>"),
+    # Headers
+    ("gpl-2.0", _gnu("general public license", "2")),
+    ("gpl-3.0", _gnu("general public license", "3")),
+    ("lgpl", _gnu("<<one;lesser|library>> general public license", "<<one;2|2 1|3>>")),
+    ("agpl-3.0", _gnu("affero general public license", "3")),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<any;9>> "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<any;9>>"),
+    (
+        "epl-2.0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license <<one;2 0|v 2 0|v2 0>> which <<one;is available at|accompanies this distribution>>",
+    ),
+    # Whole texts
     (
         "mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
         "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
-        f"subject to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph <</optional>> shall be included in all copies or substantial portions of the software <<optional>> {_WARRANTY} <</optional>>",
+        f"subject to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph <</optional>> shall be included in all copies or substantial portions of the software <<optional>> {_AS_IS} "
+        f"<<optional>> in no event shall the {_HELD} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software <</optional>> <</optional>>",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and <<optional>> or <</optional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "<<optional>> the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness <</optional>>",
     ),
-    ("isc", "permission to use copy modify and <<optional>> or <</optional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     (
         "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any;2>> "
         "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<any;2>> "
-        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "<<optional>> <<any;2>> neither the name of <<any;12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission <</optional>> "
+        "<<optional>> this software is provided by <<any;12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed <</optional>>",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<any;2>> "
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<any;2>> "
+        "altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<any;2>> "
+        "this notice may not be removed or altered from any source distribution",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means",
     ),
 )
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")

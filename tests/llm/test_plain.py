@@ -80,16 +80,64 @@ def test_automaton_accepts_what_the_markup_says():
     assert seen > 20
 
 
-def test_mandatory_wording_has_no_tolerance():
-    for label, markup in licenses.TEMPLATES:
-        words = [w for m, a, w in re.findall(r"<<(/?\w+)(?:;([^<>]*))?>>|([^<>\s]+)", re.sub(r"<<one;([^|>]*)[^>]*>>", r" \1 ", re.sub(r"<</?optional>>|<<any;\d+>>", " ", markup))) if w]
-        assert label in licenses.scan(" ".join(words))[5].split(",")
-        assert not any(s[2] == label and s[0] == 0 for s in licenses.scan(" ".join(["zzz", *words[1:]]))[7])
-    text = re.sub(r"<<.*?>>", " ", licenses.TEMPLATES[8][1]).split()
-    text = text[: text.index("portions") + 4]  # up to the optional warranty
-    assert licenses.scan(" ".join(text))[5] == "mit"
-    for k in range(len(text)):
-        assert licenses.scan(" ".join([*text[:k], "zzz", *text[k + 1 :]]))[5] == "", text[k]
+def _sample(markup, r):
+    """A text that the markup accepts, with whether each word is mandatory: optional regions left in or out, replaceable ones filled with anything."""
+    words, skip, depth = [], 0, 0
+    for m, a, w in re.findall(r"<<(/?\w+)(?:;([^<>]*))?>>|([^<>\s]+)", markup):
+        if m == "optional":
+            depth += 1
+            skip = skip or (depth if r.random() < 0.5 else 0)
+        elif m == "/optional":
+            skip = 0 if skip == depth else skip
+            depth -= 1
+        elif not skip and m == "any":
+            words += [(f"acme{k}", False) for k in range(r.randrange(int(a) + 1))]
+        elif not skip and m == "one":
+            words += [(x, False) for x in r.choice(a.split("|")).split()]
+        elif not skip:
+            words.append((w, not depth))
+    return words
+
+
+@pytest.mark.parametrize("k", range(len(licenses.TEMPLATES)))
+def test_every_template_accepts_its_texts_and_no_changed_word(k):
+    label, markup = licenses.TEMPLATES[k]
+    auto, r = licenses.Automaton((licenses.TEMPLATES[k],)), random.Random(k)
+    for _ in range(12):
+        words = _sample(markup, r)
+        raw = [w.encode() for w, _ in words]
+        assert auto.matches(raw, 0).get(label) == len(raw)
+        assert label in licenses.scan(" ".join(w for w, _ in words).title())[5].split(",")
+        for i, (_, mandatory) in enumerate(words):
+            if mandatory:
+                changed = auto.matches([*raw[:i], b"zzz", *raw[i + 1 :]], 0) if i else {}
+                assert not changed or changed[label] <= i, (words[i], i)
+
+
+def test_texts_as_they_stand():
+    found = lambda t: licenses.scan(t)[5].split(",")
+    gpl = "This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version."
+    assert {"gpl", "gpl-3.0"} <= set(found(gpl)) and "gpl-3.0" not in found(gpl.replace("either version 3", "either version 2"))
+    assert "gpl-2.0" in found(gpl.replace("either version 3", "either version 2")) and "gpl-3.0" not in found(gpl.replace("modify", "alter"))
+    assert found("// SPDX-License-Identifier: MIT") == ["mit"] and found("# SPDX-License-Identifier: Apache-2.0") == ["apache-2.0"]
+    assert found("The MIT License (MIT)\nCopyright (c) 2020 Jane Doe") == ["mit"]
+    assert found("Mozilla Public License Version 2.0") == ["mpl-2.0"]
+    assert "cc-by-4.0" in found("Attribution 4.0 International (CC BY 4.0)") and "cc-by-4.0" in found("This work is licensed under a Creative Commons Attribution 4.0 International License.")
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n3. Neither the name of Acme & Sons, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    assert found(bsd) == ["bsd"] and licenses.scan(bsd)[6] == 1.0 and found(bsd.replace("must retain", "may retain")) == [""]
+    assert found("I like the MIT and its license, version 2.0 of the public domain.") == [""]
+
+
+def test_base_columns_by_brute_force():
+    r = random.Random(13)
+    bits = ["cc", "CC", "by", "By", " ", "-", "\n", "general", "Public", "license", "LICENSE", "all", "rights", "reserved", "é", "x1", ". ", "_", "\u00a0", "\x7f"]
+    for _ in range(3000):
+        text = "".join(r.choice(bits) + r.choice(("", " ")) for _ in range(r.randrange(25)))
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        hits = [(i, label) for i in range(len(words)) for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")) if words[i : i + len(phrase.split())] == phrase.split()]
+        got = licenses.scan(text)
+        assert got[:5] == (len(words), len(hits), min((i for i, _ in hits), default=None), max((i for i, _ in hits), default=None), ",".join(sorted({x for _, x in hits})))
+        assert set(got[4].split(",")) - {""} <= set(got[5].split(",")) and 0 <= got[6] <= 1
 
 
 def test_scan_counts_base_phrases():
