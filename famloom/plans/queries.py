@@ -489,6 +489,53 @@ out AS (
   UNION ALL SELECT img_id, ele_id, k, 1, lb, rb, plb, prb, score FROM walk WHERE k > len(cuts) AND rb - lb > 30 AND prb - plb > 30)"""
 
 
+def _greedy(double: bool) -> str:
+    """Greedy clustering as a state machine: one row for each island and step.
+
+    mode: next (take the next interval), scan (try those that wait after the end
+    moved), seed (a new element from the first that waits), rescan (try the others,
+    until one lies behind the end).  w: places that wait; out: (place, element).
+    """
+    part = lambda a, b: f"CAST(least(rb, y) - greatest(lb, x) AS FLOAT) / CAST({a} - {b} AS FLOAT) >= CAST({0.9 if double else 0.5} AS FLOAT)"
+    return _ISL + f""",
+grp AS (SELECT seq, island, list(lb ORDER BY lb, rb DESC, img_id) AS ls, list(rb ORDER BY lb, rb DESC, img_id) AS rs FROM isl GROUP BY seq, island),
+run(seq, island, ls, rs, mode, i, k, w, lb, rb, made, is_open, place, ele) AS (
+  SELECT seq, island, ls, rs, 'next', CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM grp
+  UNION ALL
+  SELECT seq, island, ls, rs,
+    CASE act WHEN 'first' THEN 'next' WHEN 'take' THEN CASE WHEN y > rb THEN 'scan' ELSE 'next' END WHEN 'wait' THEN 'next' WHEN 'close' THEN 'seed' WHEN 'drain' THEN 'seed'
+      WHEN 'none' THEN 'next' WHEN 'seed' THEN 'rescan' WHEN 'end' THEN 'next' WHEN 'behind' THEN 'seed' ELSE mode END,
+    CASE WHEN act IN ('first', 'take', 'wait', 'close') THEN i + 1 ELSE i END,
+    CASE WHEN act = 'skip' THEN k + 1 WHEN act = 'join' AND y <= rb THEN k ELSE 1 END,
+    CASE act WHEN 'wait' THEN list_append(w, i) WHEN 'close' THEN list_append(w, i) WHEN 'seed' THEN w[2:] WHEN 'join' THEN list_concat(w[:k - 1], w[k + 1:]) ELSE w END,
+    CASE WHEN act IN ('first', 'seed') THEN x ELSE lb END,
+    CASE WHEN act IN ('first', 'seed') THEN y WHEN act IN ('take', 'join') THEN greatest(rb, y) ELSE rb END,
+    CASE WHEN act IN ('first', 'seed') THEN made + 1 ELSE made END,
+    CASE WHEN act IN ('first', 'seed') THEN true WHEN act IN ('behind', 'none') THEN false ELSE is_open END,
+    CASE WHEN act IN ('first', 'take', 'seed', 'join') THEN p ELSE 0 END,
+    CASE WHEN act IN ('first', 'seed') THEN made + 1 WHEN act IN ('take', 'join') THEN made ELSE 0 END
+  FROM (
+    SELECT *, {part('rb', 'lb')} {'AND' if double else 'OR'} {part('y', 'x')} AS fits,
+      CASE mode
+        WHEN 'next' THEN CASE WHEN i > len(ls) THEN CASE WHEN len(w) > 0 THEN 'drain' ELSE 'stop' END WHEN NOT is_open THEN 'first' WHEN rb - x <= 10 THEN 'close' WHEN fits THEN 'take' ELSE 'wait' END
+        WHEN 'seed' THEN CASE WHEN len(w) = 0 THEN 'none' ELSE 'seed' END
+        ELSE CASE WHEN k > len(w) THEN 'end' WHEN mode = 'rescan' AND rb - x <= 10 THEN 'behind' WHEN fits THEN 'join' ELSE 'skip' END END AS act
+    FROM (SELECT *, CASE mode WHEN 'next' THEN i WHEN 'seed' THEN w[1] ELSE w[k] END AS p, coalesce(ls[p], 0) AS x, coalesce(rs[p], 0) AS y FROM run))
+  WHERE act <> 'stop'),
+ele AS (SELECT seq, island, ele, min(ls[place]) AS lb, max(rs[place]) AS rb, count(*) AS img_no FROM run WHERE place > 0 GROUP BY seq, island, ele)"""
+
+
+#: Breadth-first walks of families: a row for each family and step, with its queue.
+_WALK = """,
+adj AS (SELECT owner, list({'n': other, 'd': direction} ORDER BY rep.edge_id) AS n FROM rep JOIN e2 ON e2.edge_id = rep.edge_id WHERE rep.type IN ('p', 'P') GROUP BY owner),
+walk(root, q, d, h) AS (
+  SELECT DISTINCT root, [root], [CAST(1 AS BIGINT)], CAST(1 AS BIGINT) FROM fam
+  UNION ALL
+  SELECT root, list_concat(q, list_transform(new, lambda x: x.n)), list_concat(d, list_transform(new, lambda x: x.d * d[h])), h + 1
+  FROM (SELECT w.*, list_filter(coalesce(a.n, []), lambda x: NOT list_contains(w.q, x.n)) AS new FROM walk w LEFT JOIN adj a ON a.owner = w.q[w.h] WHERE w.h <= len(w.q))),
+queue AS (SELECT root, unnest(q) AS ele_id, unnest(range(len(q))) AS pos, unnest(d) AS dir FROM walk WHERE h = len(q) + 1)"""
+
+
 def _with(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()} {select}"
 
@@ -518,6 +565,9 @@ def oracle_sql() -> dict[str, str]:
         "image_islands": _with(_ISL, "SELECT img_id, seq, island FROM isl"),
         "island_extents": _with(_ISL, "SELECT seq, island, min(lb) AS lb, max(rb) AS rb, count(*) AS img_no FROM isl GROUP BY seq, island"),
         "element_extents": _with(_ELE, "SELECT * FROM ext"),
+        "greedy_elements": _with(_greedy(False), "SELECT CAST(dense_rank() OVER (ORDER BY seq, island, ele) AS BIGINT) AS ele_id, seq, lb, rb, img_no FROM ele", True),
+        "greedy_elements_double": _with(_greedy(True), "SELECT CAST(dense_rank() OVER (ORDER BY seq, island, ele) AS BIGINT) AS ele_id, seq, lb, rb, img_no FROM ele", True),
+        "family_members_oriented": reach("original", "SELECT * FROM queue").replace(" SELECT * FROM queue", _WALK + " SELECT * FROM queue"),
         "dumbbell_partner": _with(_ELE, "SELECT img_id, ele_id, p_ele, p_seq, p_lb, p_rb FROM bell"),
         "tandem_filter": _with(_TANDEM, "SELECT * FROM tan"),
         "tandem_anti_join": _with(_TANDEM, "SELECT img_id, ele_id, p_ele FROM bell WHERE ele_id NOT IN (SELECT ele_id FROM tan) AND p_ele NOT IN (SELECT ele_id FROM tan)"),
