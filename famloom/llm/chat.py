@@ -15,7 +15,8 @@ first and last conversation meet at the driver.
 Defined results: null texts and roles are empty; turns that tie are sorted by
 role, then text; repeated rows are turns of their own; equal conversations share
 all nodes; a null conv_id is one conversation; an empty table gives no rows; a
-conversation is held whole, as a row.
+conversation is held whole, as a row, so very long texts need as much memory in
+one task; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -34,6 +35,7 @@ from famloom.llm.common import arrow_batches, materialise, partitions
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 ASSISTANT = "assistant"
+_ESCAPED = re.compile(r"\\([\\_n])", re.S)
 
 
 @dataclass(frozen=True)
@@ -44,15 +46,16 @@ class Template:
     close: str = "<|end|>\n"
     control: tuple[str, ...] = ("<|turn|>", "<|end|>", "<|endoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
-    def _pattern(self) -> str:
-        return "(?=" + "|".join(re.escape(c) for c in sorted(self.control)) + ")(.)"
+    @cached_property
+    def _marks(self) -> re.Pattern:
+        return re.compile("(?=" + "|".join(re.escape(c) for c in sorted(self.control)) + ")(.)", re.S)
 
     def escape(self, text: str) -> str:
         """Doubles backslashes and puts ``\\_`` behind the first character of each control string."""
-        return re.sub(self._pattern(), r"\1\\_", text.replace("\\", "\\\\"), flags=re.S)
+        return self._marks.sub(r"\1\\_", text.replace("\\", "\\\\"))
 
     def unescape(self, text: str) -> str:
-        return re.sub(r"\\([\\_n])", lambda m: {"\\": "\\", "_": "", "n": "\n"}[m[1]], text, flags=re.S)
+        return _ESCAPED.sub(lambda m: {"\\": "\\", "_": "", "n": "\n"}[m[1]], text) if "\\" in text else text
 
     def head(self, role: str) -> str:
         return self.open + self.escape(role).replace("\n", "\\n") + "\n"
@@ -109,6 +112,8 @@ def emitted(convs: DataFrame, template: Template, path: str | None = None) -> Da
         from pyspark import TaskContext
 
         encode, part = encoding(path).encode_ordinary, TaskContext.get().partitionId()
+        # Marks are encoded once; roles are few.
+        close, head = encode(template.close), lru_cache(maxsize=1024)(lambda role: encode(template.head(role)))
         before, places, lengths, end, row = "", [], [], 0, 0
         for b in batches:
             out = {k: [] for k in ("part", "row", "path", "places", "lengths", "shared", "ids", "losses")}
@@ -118,10 +123,9 @@ def emitted(convs: DataFrame, template: Template, path: str | None = None) -> Da
                     shared += 1
                 places, lengths, ids, losses = places[:shared], lengths[:shared], [], []
                 for t in turns[shared:]:
-                    pieces = [encode(x) for x in template.parts(t["role"], t["text"])]
-                    ids.append([i for x in pieces for i in x])
-                    a = len(pieces[0])
-                    losses.append([a, a + len(pieces[1])] if t["role"] == ASSISTANT else [])
+                    first, text = head(t["role"]), encode(template.escape(t["text"]))
+                    ids.append(first + text + close)
+                    losses.append([len(first), len(first) + len(text)] if t["role"] == ASSISTANT else [])
                     places.append(end)
                     lengths.append(len(ids[-1]))
                     end += len(ids[-1])

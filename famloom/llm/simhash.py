@@ -16,7 +16,9 @@ Each link's distance is counted again before it is used.
 Defined results: a null text is empty; the fingerprint of a text without words is
 zero and links like any other; ties, repeated rows and copies share a
 fingerprint and so a component; a null doc_id is never a component's name unless
-all its documents have none (then null); an empty table gives no rows.
+all its documents have none (then null); very long texts are hashed whole, in
+blocks; an empty table gives no rows; other columns are left out, whatever their
+names.
 """
 
 from __future__ import annotations
