@@ -6,8 +6,8 @@ paragraphs' vectors, lane by lane, modulo 2^32.  So the order of paragraphs does
 not matter, and a paragraph is inserted or deleted by adding or subtracting its
 vector.  Two kinds of lanes make up the vector:
 
-* ``EXACT`` lanes take whole 32-bit hashes of the paragraph: equal multisets have
-  equal sums, and others differ but for chance (2^-256).
+* ``EXACT`` lanes are the eight 32-bit parts of the paragraph's SHA-256: equal
+  multisets have equal sums, and others differ but for chance (2^-256).
 * ``SIGN`` lanes take one bit for each sentence of the paragraph.  A sum and the
   number of sentences give a random-sign sum, whose squared difference between
   two fingerprints estimates how many sentences they do not share.
@@ -15,7 +15,9 @@ vector.  Two kinds of lanes make up the vector:
 Defined results: a null text is empty; the empty text is one empty paragraph;
 repeated rows (same doc_id and text) are one document in the order and get equal
 results; a null doc_id comes last in the descending order; a table of one
-document is its own next; an empty table gives no rows.
+document is its own next; texts of any length are hashed whole; an empty table
+gives no rows; other columns are kept by ``fingerprint`` or left out, and may have
+any names but those that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -48,13 +50,13 @@ def lanes(df: DataFrame, text: str, name: str) -> DataFrame:
     p, s = f"__{name}_p", f"__{name}_s"
     zero = F.lit(0).cast("long")
 
-    def exact(i: Column) -> Column:  # the lane's number comes first: it seeds the hash of the paragraph
-        return F.aggregate(p, zero, lambda acc, x: _low(acc + _low(F.xxhash64(i, x))))
+    def exact(i: Column) -> Column:
+        return F.aggregate(p, zero, lambda acc, x: _low(acc + F.conv(F.substring(x, i * 8 + 1, F.lit(8)), 16, 10).cast("long")))
 
     def packed(j: Column) -> Column:
         return F.aggregate(s, zero, lambda acc, x: acc + F.call_function("shiftrightunsigned", x, j).bitwiseAND(F.lit(PAIR)))
 
-    hashed = df.withColumns({p: paragraphs(F.col(text)), s: F.transform(sentences(F.col(text)), lambda x: F.xxhash64(x))})
+    hashed = df.withColumns({p: F.transform(paragraphs(F.col(text)), lambda x: F.sha2(F.encode(x, "UTF-8"), 256)), s: F.transform(sentences(F.col(text)), lambda x: F.xxhash64(x))})
     over = lambda n, f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
     return hashed.withColumn(name, F.concat(over(EXACT, exact), over(SIGN // 2, packed), F.array(F.size(s).cast("long")))).drop(p, s)
 
