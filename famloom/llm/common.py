@@ -9,7 +9,7 @@ from famloom.operators.graph import forget, partitions, scratch_dir, written as
 __all__ = ["arrow_batches", "ascii_lower", "forget", "fresh", "materialise", "partitions", "ranked", "scratch_dir"]
 
 #: Bounds of one Arrow batch handed to a Python worker: rows and bytes.
-ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def arrow_batches(spark: SparkSession) -> None:
