@@ -29,11 +29,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/famloom/{spark.sparkContext.applicationId}"
 
 
+#: Spark's setting by which an execution's shuffle files are removed when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str = "step") -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written once to the shared folder and read back: cuts lineage, and survives lost executors.
+
+    Shuffle files go as soon as the table is written; left alone they would pile
+    up over the rounds of a loop until the driver collects garbage.
+    """
+    spark, path = df.sparkSession, f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
