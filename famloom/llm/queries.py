@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from famloom.llm import chat, fingerprints, licenses, mixing, packing, pii, rules, shards, simhash, warc
+from famloom.llm import chat, fingerprints, licenses, merkle, mixing, orchard, packing, pii, prefixes, rules, shards, simhash, warc
 from famloom.llm.common import fresh, scratch_dir
 
 
@@ -67,6 +67,18 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn(rate, F.round(rate, 9))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.counted(_table(spark, sf_dir, "documents"))
+
+
+def op13_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_chat_prefix_tree, op2_license_templates, op3_host_rules, op4_pii_semi_markov, op5_best_fit_packing, op6_warc_zip, op7_multiset_hash, op8_simhash_variants, op9_virtual_slots, op10_poisson_mixing, pipeline)
+    own = (op1_chat_prefix_tree, op2_license_templates, op3_host_rules, op4_pii_semi_markov, op5_best_fit_packing, op6_warc_zip, op7_multiset_hash, op8_simhash_variants, op9_virtual_slots, op10_poisson_mixing, op11_merkle_manifest, op12_prefix_token_counts, op13_orchard_clusters, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -132,6 +144,66 @@ e AS (SELECT *, unnest(range(copies)) AS copy FROM n)
 SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, copies, copy, md5('place{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy) AS place FROM e"""
 
 
+
+def _merkle_sql() -> str:
+    """Trees level by level; crc32 by its table."""
+    value = lambda x: f"coalesce(strlen({x}) || ':' || {x}, '-')"
+    row = lambda text: "sha256(" + " || ".join(value(x) for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+    step = "CASE WHEN {0} % 2 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    return f"""WITH RECURSIVE bits(i, k, v) AS (SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i) UNION ALL SELECT i, k + 1, {step.format("v")} FROM bits WHERE k < 8),
+tab AS (SELECT i, v FROM bits WHERE k = 8),
+crc(doc_id, s, c) AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR), CAST(4294967295 AS BIGINT) FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL SELECT doc_id, s[2:], xor(c >> 8, v) FROM crc JOIN tab ON tab.i = xor(c, ascii(s[1])) % 256 WHERE s <> ''),
+odd AS (SELECT doc_id FROM crc WHERE s = '' AND xor(c, 4294967295) % 2 = 0),
+leaves AS (
+  SELECT doc_id, source, {row("text")} AS leaf, CASE WHEN doc_id IN (SELECT doc_id FROM odd) THEN {row("replace(text, chr(10), '')")} ELSE {row("text")} END AS seen FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaves),
+low(lvl, tree, idx, digest, n) AS (
+  SELECT 0, tree, place, leaf, count(*) OVER (PARTITION BY tree) FROM placed
+  UNION ALL SELECT lvl + 1, tree, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM low WHERE n > 1 GROUP BY lvl, tree, idx // 3, n),
+high(lvl, tree, idx, digest, n) AS (
+  SELECT 0, -1, tree, digest, count(*) OVER () FROM low WHERE n = 1
+  UNION ALL SELECT lvl + 1, tree, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM high WHERE n > 1 GROUP BY lvl, tree, idx // 3, n),
+nodes AS (SELECT * FROM low UNION ALL SELECT * FROM high),
+sib AS (
+  SELECT lvl, tree, idx, n, coalesce(string_agg(digest, '' ORDER BY idx) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '' ORDER BY idx) OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WINDOW r AS (PARTITION BY lvl, tree, idx // 3 ORDER BY idx)),
+walk(doc_id, leaf, place, tree, lvl, top, node, path) AS (
+  SELECT doc_id, leaf, place, tree, 0, false, seen, '' FROM placed
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.place, w.tree, CASE WHEN m.n = 1 THEN 0 ELSE w.lvl + 1 END, w.top OR m.n = 1,
+    CASE WHEN m.n = 1 THEN w.node ELSE sha256(m.l || w.node || m.r) END, CASE WHEN m.n = 1 THEN w.path ELSE w.path || m.l || m.r END
+  FROM walk w JOIN sib m ON m.lvl = w.lvl AND m.tree = CASE WHEN w.top THEN -1 ELSE w.tree END AND m.idx = CASE WHEN w.top THEN w.tree ELSE w.place END // CAST(pow(3, w.lvl) AS BIGINT)
+  WHERE NOT (w.top AND m.n = 1)),
+ends AS (SELECT * FROM walk WHERE top QUALIFY row_number() OVER (PARTITION BY doc_id, leaf, place, tree ORDER BY lvl DESC) = 1)
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(path) AS proof_sha256, node AS folded_root, node = t.digest AS verified
+FROM ends e JOIN low s ON s.tree = e.tree AND s.n = 1, (SELECT digest FROM high WHERE n = 1) t"""
+
+
+def _orchard_sql() -> str:
+    """Rounds written out; every distance is worked out."""
+    k, n = orchard.CENTROIDS, orchard.DIMENSION
+    out = f"""WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({orchard.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {n} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {n}),
+p AS (SELECT row_number() OVER () AS r, vec_id, v FROM q),
+x AS (SELECT r, unnest(range(1, {n + 1})) AS i, unnest(v) AS a FROM p),
+f AS (SELECT row_number() OVER (ORDER BY sha256('{orchard.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), vec_id IS NULL, v) - 1 AS c, r FROM p QUALIFY c < {k}),
+c0 AS (SELECT c, i, a FROM f JOIN x USING (r))"""
+    for t in range(orchard.ROUNDS + 1):
+        out += f""",
+d{t} AS (SELECT r, c, CAST(sum((x.a - m.a) * (x.a - m.a)) AS BIGINT) AS d FROM x JOIN c{t} m USING (i) GROUP BY r, c),
+n{t} AS (SELECT r, c, d FROM d{t} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1),
+c{t + 1} AS (SELECT o.c, o.i, coalesce(u.a, o.a) AS a FROM c{t} o LEFT JOIN (
+  SELECT c, i, (sum(a) - ((sum(a) % count(*)) + count(*)) % count(*)) // count(*) AS a FROM n{t} JOIN x USING (r) GROUP BY c, i) u ON u.c = o.c AND u.i = o.i)"""
+    t = orchard.ROUNDS
+    return f"""{out}
+SELECT vec_id, CAST(c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM n{t} JOIN p USING (r) JOIN (SELECT c, sha256(string_agg(CAST(a AS VARCHAR), ',' ORDER BY i)) AS h FROM c{t} GROUP BY c) s USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; the others are held against brute force in tests."""
-    return {"op1_chat_prefix_tree": _chat_sql(), "op3_host_rules": _RULES_SQL, "op6_warc_zip": _WARC_SQL, "op10_poisson_mixing": _MIX_SQL}
+    return {"op1_chat_prefix_tree": _chat_sql(), "op3_host_rules": _RULES_SQL, "op6_warc_zip": _WARC_SQL, "op10_poisson_mixing": _MIX_SQL, "op11_merkle_manifest": _merkle_sql(), "op13_orchard_clusters": _orchard_sql()}
