@@ -1,9 +1,7 @@
-"""Stage 2: boundaries are voted on, elements split and clustered again, and the element graph built.
+"""Stage 2 on the objects of one task: boundaries are voted on, elements split and clustered again, and the element graph built.
 
-The order of evaluation matters inside a connected part of the graph and nowhere
-else, so each part is refined by itself, one in a task.  ``Refiner`` holds one
-part; ``refine`` groups parts, runs it, and numbers new elements as one run over
-everything would.
+``Refiner`` holds some of the elements and what lies between them; ``rounds`` deals
+them out and decides which elements it may come to.
 """
 
 from __future__ import annotations
@@ -12,18 +10,13 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
-from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from famloom.config import Config
 from famloom.functions.segments import Segment, best_chain, cut, facing, partner_ends
 from famloom.operators.boundaries import cluster_points, merge_points
 from famloom.operators.elements import recluster
-from famloom.operators.graph import least_ancestors, numbered, written
 
 
 @dataclass(eq=False)
@@ -96,6 +89,10 @@ class Element:
     fate: str | None = None
     #: Whether the order of ``images`` counts; if not, they are taken by number.
     ordered: bool = False
+    #: Whether it has images that are not at hand here.
+    elsewhere: bool = False
+    #: The given element that it goes back to.
+    origin: int = 0
 
     def length(self) -> int:
         return self.rb - self.lb
@@ -138,6 +135,8 @@ class Refiner:
         self.round = 0
         self.seed: Element | None = None
         self.born = 0
+        #: Elements that were done and are to be looked at again.
+        self.woken: list[Element] = []
         self.full = np.float32(config.full_length)
         self.loose = np.float32(1.0 - float(self.full))
 
@@ -241,8 +240,9 @@ class Refiner:
 
     def split(self, e: Element, cuts: list[int]) -> None:
         """Cut all images of ``e`` (and their partners with them); new alignments go before the others, those too short go."""
-        short, gone = self.config.too_short, set()
-        for a, s in list(e.images):
+        short, gone, fresh = self.config.too_short, set(), {}
+        touched = {e: None}
+        for a, s in e.images:
             if a in gone:
                 continue
             copies, rest = cut(a.seen_from(s), a.score, cuts, short)
@@ -250,20 +250,22 @@ class Refiner:
                 new = Alignment(self.next_alignment, a.iden, a.direction, score, *a.moved(s, segment), list(a.home))
                 self.next_alignment += 1
                 for side in (s, 1 - s):
-                    a.home[side].images.insert(0, (new, side))
+                    fresh.setdefault(a.home[side], []).append((new, side))
             if rest is not None:
                 (a.lb, a.rb), a.score = a.moved(s, rest[0]), rest[1]
             else:
                 gone.add(a)
-                for side in (0, 1):
-                    a.home[side].images = [i for i in a.home[side].images if i != (a, side)]
+                touched |= dict.fromkeys(a.home)
+        for home in touched | fresh:
+            kept = [i for i in home.images if i[0] not in gone] if home in touched else home.images
+            home.images = fresh.get(home, [])[::-1] + kept
 
     def divide(self, e: Element) -> list[Element]:
         """Children of a split element, last made first."""
         e.images.sort(key=_extent)
         rows, out = list(map(_extent, e.images)), []
         for places in recluster(rows, self.config.recluster, self.config.min_overlap):
-            child = Element(self.elements[-1].number + 1, e.seq, rows[places[0]][0], max(rows[k][1] for k in places), birth=(self.round, self.seed, self.born))
+            child = Element(self.elements[-1].number + 1, e.seq, rows[places[0]][0], max(rows[k][1] for k in places), birth=(self.round, self.seed, self.born), origin=e.origin)
             self.born += 1
             child.images, child.ordered = [e.images[k] for k in reversed(places)], True
             for a, s in child.images:
@@ -278,7 +280,9 @@ class Refiner:
         e.stat, e.fate = "X", fate
         for edge in e.edges.values():
             other = edge.across(e)
-            other.stat = "w" if other.stat == "v" else other.stat
+            if other.stat == "v":
+                other.stat = "w"
+                self.woken.append(other)
             other.votes = [v for v in other.votes if v[1] is not e]
             other.edges.pop(edge.number, None)
         e.edges, e.votes = {}, []
@@ -326,9 +330,17 @@ class Refiner:
             pass
         for e in (x for h in hops for x in h.everyone()):
             e.ordered = False
-            if e.stat != "X" and not e.images:
+            if e.stat != "X" and not e.images and not e.elsewhere:
                 e.stat, e.fate = "X", "combo" if e.children else "obsolete"
 
+    def turn(self, e: Element) -> None:
+        """What happens when an element that is not done is come to in a round."""
+        self.seed, self.born = e, 0
+        if e.images or e.elsewhere:
+            self.visit(e)
+        else:
+            self.dismiss(e, "obsolete")
+
     def run(self) -> None:
         """Rounds over all elements by number, new ones too, until one finds nothing to do."""
         busy = True
@@ -338,11 +350,8 @@ class Refiner:
             for e in self.elements:  # grows on the way
                 if e.stat not in "zwt":
                     continue
-                busy, self.seed, self.born = True, e, 0
-                if e.images:
-                    self.visit(e)
-                else:
-                    self.dismiss(e, "obsolete")
+                busy = True
+                self.turn(e)
 
 
 def birth_keys(elements: list[Element]) -> dict[Element, str]:
@@ -355,106 +364,3 @@ def birth_keys(elements: list[Element]) -> dict[Element, str]:
             turn, seed, order = e.birth
             keys[e] = f"1{turn:06d}({keys[seed]}){order:09d}"
     return keys
-
-
-#: Columns of what the kernel returns; rows of three kinds share them.
-_COLUMNS = {
-    "kind": "string", "ele": "long", "birth": "string", "birth2": "string", "stat": "string", "seq": None, "lb": "int", "rb": "int", "img_no": "long", "fate": "string",
-    "edge_no": "long", "type": "string", "score": "int", "direction": "int", "msp_id": "long", "side": "int", "iden": "float", "part": "string",
-}
-_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "float": pa.float32()}
-
-
-def _kernel(config: Config, seq_type: pa.DataType):
-    def run(group: pa.Table) -> pa.Table:
-        # A row per image: msp_id, side, iden, direction, score, lb, rb, ele_id, seq, e_lb, e_rb.
-        col = {c: group.column(c).to_pylist() for c in group.column_names}
-        r, homes = Refiner(config), {}
-        for ele, seq, lb, rb in sorted(dict(zip(col["ele_id"], zip(col["ele_id"], col["seq"], col["e_lb"], col["e_rb"], strict=True), strict=True)).values(), key=lambda x: x[0]):
-            homes[ele] = Element(ele, seq, lb, rb)
-            r.elements.append(homes[ele])
-        known: dict[int, Alignment] = {}
-        for k in sorted(range(len(group)), key=lambda k: (col["msp_id"][k], col["side"][k])):
-            msp, side = col["msp_id"][k], col["side"][k]
-            a = known.get(msp)
-            if a is None:
-                a = known[msp] = Alignment(msp, col["iden"][k], col["direction"][k], col["score"][k], [0, 0], [0, 0], [None, None])
-            a.lb[side], a.rb[side], a.home[side] = col["lb"][k], col["rb"][k], homes[col["ele_id"][k]]
-            a.home[side].images.append((a, side))
-        r.next_alignment = max(known, default=-1) + 1
-        r.run()
-        keys = birth_keys(r.elements)
-        names, rows = tuple(_COLUMNS), []
-
-        def add(**values: object) -> None:
-            rows.append(tuple(map(values.get, names)))
-
-        for e in r.elements:
-            add(kind="element", ele=e.number if e.birth is None else None, birth=keys[e], stat=e.stat, seq=e.seq, lb=e.lb, rb=e.rb, img_no=len(e.images), fate=e.fate)
-            for a, s in e.images:
-                add(kind="image", birth=keys[e], msp_id=a.number, side=s, lb=a.lb[s], rb=a.rb[s], direction=a.direction, score=a.score, iden=a.iden, type="p" if a.primary else "s")
-            for c in e.children:
-                add(kind="child", birth=keys[e], birth2=keys[c])
-            for bd, support in e.cuts:
-                add(kind="cut", birth=keys[e], lb=bd, score=support)
-            for x in e.edges.values():
-                if x.one is e:
-                    add(kind="edge", edge_no=x.number, birth=keys[e], birth2=keys[x.two], type=x.kind, score=x.score, direction=x.direction)
-        columns = dict(zip(names, zip(*rows, strict=True), strict=True)) | {"part": [f"{min(homes):019d}"] * len(rows)}
-        return pa.table({n: pa.array(columns[n], _ARROW.get(t, seq_type)) for n, t in _COLUMNS.items()})
-
-    return run
-
-
-class Refined(NamedTuple):
-    #: ele_id, stat, seq, lb, rb, img_no, fate.
-    elements: DataFrame
-    #: edge_id, ele1, ele2, type, score, direction.
-    edges: DataFrame
-    #: ele_id, part, msp_id, side, lb, rb, direction, score, iden, stat.
-    images: DataFrame
-    #: parent, child: what a split element became.
-    children: DataFrame
-    #: ele_id, bd, support: the boundaries at which elements were split.
-    cuts: DataFrame
-
-
-def refine(bells: DataFrame, extents: DataFrame, config: Config = Config()) -> Refined:  # noqa: B008
-    """Stage 2.
-
-    ``bells``: images with partner element (see dumbbells) with iden, direction
-    and score, tandem elements' alignments left out; ``extents``: all elements
-    but tandem ones.  A connected part of the graph is one group: its size is the
-    limit of this step.
-    """
-    links = bells.where("ele_id < p_ele").select(F.col("ele_id").alias("u"), F.col("p_ele").alias("v")).distinct()
-    parts = least_ancestors(extents.select(F.col("ele_id").alias("node")), links, directed=False)
-    rows = bells.join(extents.select("ele_id", F.col("lb").alias("e_lb"), F.col("rb").alias("e_rb")), "ele_id").join(parts.select(F.col("node").alias("ele_id"), F.col("root").alias("grp")), "ele_id")
-    rows = rows.select("grp", "msp_id", "side", "iden", "direction", "score", "lb", "rb", "ele_id", "seq", "e_lb", "e_rb")
-    seq = dict(rows.dtypes)["seq"]
-    schema = ", ".join(f"{n} {t or seq}" for n, t in _COLUMNS.items())
-    done = written(rows.groupBy("grp").applyInArrow(_kernel(config, to_arrow_type(rows.schema["seq"].dataType)), schema))
-    # Elements that lost all images to the tandem filter are gone.
-    empty = extents.join(bells.select("ele_id").distinct(), "ele_id", "left_anti")
-    found = done.where("kind = 'element'")
-    last = extents.agg(F.coalesce(F.max("ele_id"), F.lit(0)).alias("last")).first()["last"]
-    given = found.where("ele is not null").withColumn("ele_id", F.col("ele"))
-    fresh = numbered(found.where("ele is null"), "birth", "ele_id", last + 1)
-    elements = given.unionByName(fresh).select("ele_id", "birth", "stat", "seq", "lb", "rb", "img_no", "fate")
-    gone = empty.select("ele_id", F.lit(None).cast("string").alias("birth"), F.lit("X").alias("stat"), "seq", "lb", "rb", F.lit(0).cast("long").alias("img_no"), F.lit("obsolete").alias("fate"))
-    # What belongs to an element finds it by birth: a string that is the element's own.
-    names = elements.select("birth", "ele_id")
-    second = names.select(F.col("birth").alias("birth2"), F.col("ele_id").alias("ele2"))
-    edges = done.where("kind = 'edge'").select("birth", "birth2", "edge_no", "type", "score", "direction", "part").join(names.withColumnRenamed("ele_id", "ele1"), "birth").join(second, "birth2")
-    # Edge numbers only order edges of one part.
-    edges = edges.withColumn("key", F.concat("part", F.lpad(F.col("edge_no").cast("string"), 19, "0")))
-    edges = numbered(edges, "key", "edge_id").select("edge_id", "ele1", "ele2", "type", "score", "direction")
-    images = done.where("kind = 'image'").join(names, "birth").select("ele_id", "part", "msp_id", "side", "lb", "rb", "direction", "score", "iden", F.col("type").alias("stat"))
-    children = done.where("kind = 'child'").select("birth", "birth2").join(names.withColumnRenamed("ele_id", "parent"), "birth").join(second, "birth2").select("parent", F.col("ele2").alias("child"))
-    cuts = done.where("kind = 'cut'").select("birth", F.col("lb").alias("bd"), F.col("score").alias("support")).join(names, "birth").select("ele_id", "bd", "support")
-    return Refined(elements.unionByName(gone).drop("birth"), edges, images, children, cuts)
-
-
-def alignments_left(images: DataFrame) -> DataFrame:
-    """Alignments both of whose sides are still in an element."""
-    return images.groupBy("part", "msp_id").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2")

@@ -12,7 +12,7 @@ from famloom.operators.edges import partial_filter, repaired
 from famloom.operators.elements import dumbbells, element_extents, greedy_elements, images, tandems, without
 from famloom.operators.families import family_numbers, family_roots, members
 from famloom.operators.graph import written
-from famloom.operators.refine import Refined, refine
+from famloom.operators.rounds import LARGEST, Refined, refine
 
 
 @dataclass
@@ -65,8 +65,8 @@ class Stages:
         return self.spark.read.parquet(path)
 
 
-def run(msps: DataFrame, config: Config = Config(), folder: str | None = None) -> Result:  # noqa: B008
-    """``folder``: where stages are kept, so that a run that failed goes on where it was."""
+def run(msps: DataFrame, config: Config = Config(), folder: str | None = None, largest: int = LARGEST) -> Result:  # noqa: B008
+    """``folder``: where stages, and the rounds of stage 2, are kept, so that a run that failed goes on where it was; ``largest``: alignments that a task of stage 2 may hold."""
     stage = Stages(msps.sparkSession, folder, config)
 
     def clustered() -> DataFrame:
@@ -82,7 +82,7 @@ def run(msps: DataFrame, config: Config = Config(), folder: str | None = None) -
 
     def refined() -> Refined:  # only if a table of it is missing
         if not lazy:
-            lazy.append(refine(without(bells, big), extents.join(big, "ele_id", "left_anti"), config))
+            lazy.append(refine(without(bells, big), extents.join(big, "ele_id", "left_anti"), config, stage, largest))
         return lazy[0]
 
     def settled() -> DataFrame:
