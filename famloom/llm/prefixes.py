@@ -28,6 +28,9 @@ library takes them.
 from __future__ import annotations
 
 import json
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -41,11 +44,14 @@ from famloom.llm.common import arrow_batches, fresh
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
 #: Pieces whose counts a worker remembers, the characters of one that may be remembered, and pairs of tokens of which it remembers whether they go together.
-MEMORY, LONGEST, PAIRS = 300_000, 64, 300_000
+MEMORY, LONGEST, PAIRS = 800_000, 64, 300_000
 
 #: Fixed value: how the tokenizer cuts texts (the public pattern of byte-level encodings).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECES, _BLANKS = regex.compile(PATTERN), regex.compile(r"\s{2,}")
+#: Texts of Latin letters and plain signs, and the same pattern for them in terms that the quicker library has.
+_LATIN = re.compile("[\t-\r -~\u00a1-\u00b1\u00b4-\u00b8\u00bb\u00bf-\u024f]*")
+_LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+(?:_+[^\s\w]*)*| ?_+(?:[^\s\w]+_*)*|\s+(?!\S)|\s+")
 _AT_END = regex.compile(r"(?<!\s)\s+\Z")
 _HALVES = {"'re", "'ve", "'ll"}
 
@@ -151,6 +157,14 @@ class Vocabulary:
         return count[1:]
 
 
+def pieces_of(text: str) -> list[str]:
+    return (_LATIN_PIECES if _LATIN.fullmatch(text) else _PIECES).findall(text)
+
+
+def _last(counts: bytes) -> int:
+    return int.from_bytes(counts[-4:], sys.byteorder)
+
+
 class _Memory(dict):
     """Counts of a piece's prefixes (a number of 4 bytes for each character)."""
 
@@ -159,15 +173,14 @@ class _Memory(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if piece in _HALVES:
-            sign, letter = (int.from_bytes(self[x][-4:], "little") for x in (piece[0], piece[1]))
-            out = np.array([sign, sign + letter, self.vocabulary.prefix_tokens(piece.encode())[-1]], dtype="<i4").tobytes()
+            sign, letter = (_last(self[x]) for x in (piece[0], piece[1]))
+            out = array("i", [sign, sign + letter, self.vocabulary.prefix_tokens(piece.encode())[-1]]).tobytes()
         else:
             raw = piece.encode()
-            counts = np.array(self.vocabulary.prefix_tokens(raw), dtype="<i4")
+            counts = self.vocabulary.prefix_tokens(raw)
             if len(raw) != len(piece):  # prefixes of whole characters only
-                data = np.frombuffer(raw, dtype=np.uint8)
-                counts = counts[np.append(data[1:] & 0xC0 != 0x80, True)]
-            out = counts.tobytes()
+                counts = [n for n, after in zip(counts, raw[1:] + b" ", strict=True) if after & 0xC0 != 0x80]
+            out = array("i", counts).tobytes()
         if len(piece) <= LONGEST:
             if len(self) >= MEMORY:
                 self.clear()
@@ -184,8 +197,8 @@ class Counter:
 
     def _pieces(self, text: str) -> tuple[list[str], np.ndarray]:
         """Pieces of a text without special strings, and the counts of their prefixes one behind the other."""
-        pieces = _PIECES.findall(text)
-        return pieces, np.frombuffer(b"".join(map(self.memory.__getitem__, pieces)), dtype="<i4")
+        pieces = pieces_of(text)
+        return pieces, np.frombuffer(b"".join(map(self.memory.__getitem__, pieces)), dtype=np.intc)
 
     def _segments(self, text: str) -> Iterator[tuple[int, int, bool]]:
         """Start, end and whether it is a special string."""
@@ -198,17 +211,32 @@ class Counter:
         if at < len(text):
             yield at, len(text), False
 
+    def _sizes(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Pieces of a text without special strings, their ends, and their numbers of tokens."""
+        pieces, inner = self._pieces(text)
+        ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+        return pieces, ends, inner[ends - 1]
+
     def total(self, text: str) -> int:
         """Number of tokens: the count of the last prefix."""
-        n = 0
-        for start, end, special in self._segments(text):
-            if special:
-                n += 1
-                continue
-            pieces, inner = self._pieces(text[start:end])
-            ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
-            n += int(inner[ends - 1].sum())
-        return n
+        return sum(1 if special else int(self._sizes(text[start:end])[2].sum()) for start, end, special in self._segments(text))
+
+    def total_and_fitting(self, text: str, limit: int) -> tuple[int, int]:
+        """Number of tokens, and characters of the longest prefix of at most ``limit`` tokens."""
+        segments = list(self._segments(text))
+        if len(segments) != 1 or segments[0][2]:
+            n = self.total(text)
+            return n, len(text) if n <= limit else int(np.flatnonzero(self.prefixes(text) <= limit)[-1])
+        pieces, ends, totals = self._sizes(text)
+        sums = np.cumsum(totals)
+        if sums[-1] <= limit:
+            return int(sums[-1]), len(text)
+        # Behind a word with ``limit`` tokens before it every prefix has more.
+        k = int(np.searchsorted(sums, limit)) + 1
+        while k < len(pieces) and pieces[k].isspace():
+            k += 1
+        near = self.prefixes(text[: ends[min(k, len(pieces) - 1)]])
+        return int(sums[-1]), int(np.flatnonzero(near <= limit)[-1])
 
     def _ordinary(self, text: str) -> np.ndarray:
         """Counts of all prefixes, from one character on, of a text without special strings."""
@@ -218,7 +246,7 @@ class Counter:
         out = inner + np.repeat(np.cumsum(totals) - totals, sizes)
         for m in _BLANKS.finditer(text):
             start, end = m.span()
-            out[start:end] = np.frombuffer(self.memory[m.group()], dtype="<i4") + (out[start - 1] if start else 0)
+            out[start:end] = np.frombuffer(self.memory[m.group()], dtype=np.intc) + (out[start - 1] if start else 0)
         return out
 
     def prefixes(self, text: str) -> np.ndarray:
@@ -232,7 +260,7 @@ class Counter:
                 continue
             from_, base = self._last_piece(text, *before, start, n)
             for cut in range(start + 1, end):
-                out[cut] = base + sum(int.from_bytes(self.memory[p][-4:], "little") for p in _PIECES.findall(text[from_:cut]))
+                out[cut] = base + sum(_last(self.memory[p]) for p in pieces_of(text[from_:cut]))
             n += 1
             out[end], before = n, (end, n)
         return out
@@ -246,8 +274,8 @@ class Counter:
         if blanks:
             at = blanks.start()
             return start + at, base + (int(self._ordinary(part[:at])[-1]) if at else 0)
-        last = _PIECES.findall(part)[-1]
-        return end - len(last), total - int.from_bytes(self.memory[last][-4:], "little")
+        last = pieces_of(part)[-1]
+        return end - len(last), total - _last(self.memory[last])
 
 
 _counters: dict[str, Counter] = {}
@@ -310,10 +338,9 @@ def counted(docs: DataFrame, text: str = "text", limit: int = LIMIT, tokenizer:
     def make(texts: list[str]) -> list[pa.Array]:
         c, total, fit = counter(path), [], []
         for t in texts:
-            # A text has no more tokens than bytes.
-            n = c.total(t)
+            n, k = c.total_and_fitting(t, limit)
             total.append(n)
-            fit.append(len(t) if n <= limit else int(np.flatnonzero(c.prefixes(t) <= limit)[-1]))
+            fit.append(k)
         return [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(total, pa.int64()), pa.array(fit, pa.int64())]
 
     narrow = docs.select("doc_id", F.col(text).alias(fresh(docs, "text")[0]))
