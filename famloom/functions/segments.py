@@ -168,68 +168,208 @@ class Chain(NamedTuple):
     marked: set[int]
 
 
+class _Rules(NamedTuple):
+    """When a chain spans a side: what it covers is over ``full`` of what it covers and misses, and on one side it misses less than ``shortfall``."""
+
+    box: tuple[int, int, int, int]
+    full: float
+    gap: int
+    shortfall: int
+
+    def missed(self, x: int, y: int, x2: int, y2: int) -> tuple[int, int]:
+        dx, dy = x2 - x, y2 - y
+        return (dx, dy) if dx > self.gap and dy > self.gap else (0, 0)
+
+    def spans(self, a: int, b: int, miss_a: int, miss_b: int) -> bool:
+        share = any(n + m and n / (n + m) > self.full for n, m in ((a, miss_a), (b, miss_b)))
+        return share and min(miss_a, miss_b) < self.shortfall
+
+
 def best_chain(segments: list[Segment], box: tuple[int, int, int, int], loose: np.float32, full: float, gap: int, shortfall: int) -> Chain:
     """The best score of chains that span one side of ``box`` (x0, x1, y0, y1), and the places of all segments in such chains.
 
     ``segments`` are sorted by x0.  A chain is a path from root to leaf of the
     tree.  It covers the lengths of its segments, and misses a stretch before,
-    between or behind them where both sides skip more than ``gap``.  It spans a
-    side if what it covers is over ``full`` of what it covers and misses, and on
-    one side it misses less than ``shortfall``.  What is missed only grows, so a
-    path that misses too much on both sides is left at once; one that comes to a
-    segment with sums met before is not followed again.  The search holds one path.
+    between or behind them where both sides skip more than ``gap``.
     """
-    order, last = Order(segments, loose), len(segments)
-    best, marked, seen = 0, set(), {}
+    order, rules = Order(segments, loose), _Rules(box, full, gap, shortfall)
+    return _Frontier(order, segments, rules).best() if order.transitive else _by_paths(order, segments, rules)
 
-    def step(x: int, y: int, x2: int, y2: int) -> tuple[int, int]:
-        dx, dy = x2 - x, y2 - y
-        return (dx, dy) if dx > gap and dy > gap else (0, 0)
 
-    def spans(sums: tuple[int, int, int, int]) -> bool:
-        a, b, miss_a, miss_b = sums
-        share = any(n + m and n / (n + m) > full for n, m in ((a, miss_a), (b, miss_b)))
-        return share and min(miss_a, miss_b) < shortfall
+class _Frontier:
+    """Chains by the sums that paths can have at each segment, instead of by paths.
+
+    A chain spans if for a side whose share counts and a side whose misses count
+    (four choices) the gain of the first is positive and the second misses less
+    than the shortfall.  The gain is what is covered and missed, weighted so that
+    it is positive where the share is over ``full``: a sum, in whole numbers.  A
+    path needs no more than its misses (few whole numbers below the shortfall) and
+    for each the greatest gain; sums from the roots and sums to the leaves tell
+    which segments lie in a chain that spans.
+
+    For the score, which is a mean, chains of more than a given one are looked
+    for: a path then has a second sum, how far it is above that score, and a
+    segment holds the undominated pairs of both that can still reach a leaf;
+    gains beyond what any rest of a chain can lose count as one.
+    """
+
+    CHOICES = ((0, 0), (0, 1), (1, 0), (1, 1))
+
+    def __init__(self, order: Order, segments: list[Segment], rules: _Rules):
+        self.n, self.rules = len(segments), rules
+        self.below = [order.nearest(k) for k in range(self.n)]
+        self.roots = order.nearest(None)
+        p, q = float(rules.full).as_integer_ratio()
+        self.keep, self.lose = q - p, p
+        self.size = [(s.x1 - s.x0, s.y1 - s.y0) for s in segments]
+        self.worth = [int(s.iden) * (n + m) // 2 for s, (n, m) in zip(segments, self.size, strict=True)]
+        x0, x1, y0, y1 = rules.box
+        self.first = {k: rules.missed(x0, y0, segments[k].x0, segments[k].y0) for k in self.roots}
+        self.last = {k: rules.missed(s.x1, s.y1, x1, y1) for k, s in enumerate(segments) if not self.below[k]}
+        self.between = [[rules.missed(s.x1, s.y1, segments[j].x0, segments[j].y0) for j in js] for s, js in zip(segments, self.below, strict=True)]
+
+    def _from_roots(self, share: int, miss: int) -> list[dict[int, tuple[int, int, int]]]:
+        """For each segment, by what has been missed: the greatest gain of a path that ends there, with its worth and length."""
+        out: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(self.n)]
+
+        def reach(k: int, gain: int, worth: int, length: int, missed: int, d: tuple[int, int]) -> None:
+            missed += d[miss]
+            if missed < self.rules.shortfall:
+                size = self.size[k]
+                now = (gain + size[share] * self.keep - d[share] * self.lose, worth + self.worth[k], length + sum(size))
+                if missed not in out[k] or out[k][missed] < now:
+                    out[k][missed] = now
+
+        for k in self.roots:
+            reach(k, 0, 0, 0, 0, self.first[k])
+        for k in range(self.n):
+            for missed, (gain, worth, length) in out[k].items():
+                for j, d in zip(self.below[k], self.between[k], strict=True):
+                    reach(j, gain, worth, length, missed, d)
+        return out
+
+    def _to_leaves(self, miss: int, value, cost) -> list[dict[int, int]]:
+        """For each segment, by what is missed behind it: the greatest sum of ``value`` of the segments and less ``cost`` of the gaps behind it."""
+        out: list[dict[int, int]] = [{} for _ in range(self.n)]
+        for k in reversed(range(self.n)):
+            if not self.below[k]:
+                d = self.last[k]
+                if d[miss] < self.rules.shortfall:
+                    out[k][d[miss]] = -cost(d)
+            for j, d in zip(self.below[k], self.between[k], strict=True):
+                more = value(j) - cost(d)
+                for missed, v in out[j].items():
+                    m = missed + d[miss]
+                    if m < self.rules.shortfall and out[k].get(m, v + more - 1) < v + more:
+                        out[k][m] = v + more
+        return out
 
-    # A frame: place (``last`` for the root), its branches yet to come, their mask, sums so far, score, whether a chain through it spans, key.
+    def _most(self, behind: dict[int, int], missed: int) -> int | None:
+        """The greatest sum behind a segment before which ``missed`` was missed."""
+        return max((v for m, v in behind.items() if m + missed < self.rules.shortfall), default=None)
+
+    def best(self) -> Chain:
+        marked, score, gains = set(), 0, {}
+        for share, miss in self.CHOICES:
+            before = self._from_roots(share, miss)
+            behind = self._to_leaves(miss, lambda k, s=share: self.size[k][s] * self.keep, lambda d, s=share: d[s] * self.lose)
+            least = self._to_leaves(miss, lambda k, s=share: -self.size[k][s] * self.keep, lambda d, s=share: -d[s] * self.lose)
+            gains[share, miss] = behind, least
+            for k in range(self.n):
+                good = [(m, x) for m, x in before[k].items() if (v := self._most(behind[k], m)) is not None and x[0] + v > 0]
+                if good:
+                    marked.add(k)
+                for m, (gain, worth, length) in good if k in self.last else ():
+                    if gain + self._most(behind[k], m) > 0:
+                        score = max(score, 2 * worth // max(length, 1))
+        while marked and (more := self._above(score + 1, gains)) is not None:
+            score = more
+        return Chain(bool(marked), score, marked)
+
+    def _above(self, score: int, gains: dict) -> int | None:
+        """The score of a chain that spans and has at least ``score``, if there is one."""
+        height = [2 * w - score * sum(size) for w, size in zip(self.worth, self.size, strict=True)]
+        for miss in (0, 1):
+            behind = self._to_leaves(miss, height.__getitem__, lambda d: 0)
+            if all((v := self._most(behind[k], self.first[k][miss])) is None or v + height[k] < 0 for k in self.roots):
+                continue
+            for share in (0, 1):
+                got = self._highest(share, miss, height, behind, gains[share, miss])
+                if got is not None:
+                    return got
+        return None
+
+    def _highest(self, share: int, miss: int, height: list[int], heights: list[dict[int, int]], gains: tuple) -> int | None:
+        gains, losses = gains
+        held: list[dict[int, list[tuple[int, int, int, int]]]] = [{} for _ in range(self.n)]
+        best = None
+
+        def reach(k: int, gain: int, high: int, worth: int, length: int, missed: int, d: tuple[int, int]) -> None:
+            missed += d[miss]
+            size = self.size[k]
+            gain, high = gain + size[share] * self.keep - d[share] * self.lose, high + height[k]
+            g, h = self._most(gains[k], missed), self._most(heights[k], missed)
+            if g is None or gain + g <= 0 or high + h < 0:
+                return
+            # A path whose gain stays positive whatever follows needs no more of it.
+            enough = self._most(losses[k], missed) + 1
+            held[k].setdefault(missed, []).append((min(gain, enough), high, worth + self.worth[k], length + sum(size)))
+
+        for k in self.roots:
+            reach(k, 0, 0, 0, 0, 0, self.first[k])
+        for k in range(self.n):
+            for missed, sums in held[k].items():
+                # By gain, the highest first: what is not above all before it is dominated.
+                sums.sort(reverse=True)
+                top = None
+                for gain, high, worth, length in sums:
+                    if top is not None and high <= top:
+                        continue
+                    top = high
+                    if k in self.last:
+                        if gain - self.last[k][share] * self.lose > 0 and high >= 0:
+                            best = max(best or 0, 2 * worth // max(length, 1))
+                    for j, d in zip(self.below[k], self.between[k], strict=True):
+                        reach(j, gain, high, worth, length, missed, d)
+            held[k] = {}
+        return best
+
+
+def _by_paths(order: Order, segments: list[Segment], rules: _Rules) -> Chain:
+    """The same where some segments have no length, so that what can follow depends on the path: a search that holds one path.
+
+    What is missed only grows, so a path that misses too much on both sides is
+    left at once.
+    """
+    best, marked, last = 0, set(), len(segments)
     roots, mask = order.branches(None, None)
-    path: list[list] = [[last, list(roots), mask, (0, 0, 0, 0), 0, False, None]]
-    while path:
+    # A frame: place (``last`` for the root), its branches yet to come, their mask, sums so far, score, whether a chain through it spans.
+    path: list[list] = [[last, list(roots), mask, (0, 0, 0, 0), 0, False]]
+    while True:
         frame = path[-1]
-        place, branches, mask, sums, score, _, _ = frame
+        place, branches, mask, sums, score, _ = frame
         if branches:
             k = branches.pop()
             s = segments[k]
-            x, y = (box[0], box[2]) if place == last else (segments[place].x1, segments[place].y1)
-            dx, dy = step(x, y, s.x0, s.y0)
+            x, y = (rules.box[0], rules.box[2]) if place == last else (segments[place].x1, segments[place].y1)
+            dx, dy = rules.missed(x, y, s.x0, s.y0)
             n, m = s.x1 - s.x0, s.y1 - s.y0
             now = (sums[0] + n, sums[1] + m, sums[2] + dx, sums[3] + dy)
-            if min(now[2:]) >= shortfall:
+            if min(now[2:]) >= rules.shortfall:
                 continue
             total = score + int(s.iden) * (n + m) // 2
-            key = (k, *now)
-            if order.transitive and key in seen and seen[key][0] >= total:
-                frame[5] |= seen[key][1]
-                continue
             below, inner = order.branches(k, mask)
             found = False
             if not below:
-                dx, dy = step(s.x1, s.y1, box[1], box[3])
-                ends = (now[0], now[1], now[2] + dx, now[3] + dy)
-                if found := spans(ends):
-                    best = max(best, total * 2 // max(ends[0] + ends[1], 1))
-            path.append([k, list(below), inner, now, total, found, key])
+                dx, dy = rules.missed(s.x1, s.y1, rules.box[1], rules.box[3])
+                if found := rules.spans(now[0], now[1], now[2] + dx, now[3] + dy):
+                    best = max(best, total * 2 // max(now[0] + now[1], 1))
+            path.append([k, list(below), inner, now, total, found])
             continue
         path.pop()
         found = frame[5]
-        if place != last:
-            if found:
-                marked.add(place)
-            if len(seen) >= REMEMBERED:
-                seen.clear()
-            seen[frame[6]] = (score, found)
-        if path:
-            path[-1][5] |= found
-        else:
+        if found and place != last:
+            marked.add(place)
+        if not path:
             return Chain(found, best, marked)
-    raise AssertionError("unreachable")
+        path[-1][5] |= found

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from famloom.config import Config
 from famloom.functions.intervals import collinear, covers, too_short
-from famloom.operators import boundaries, chains, edges, elements, families
+from famloom.operators import boundaries, chains, edges, elements, families, meets
 from famloom.operators.graph import numbered, written
 from famloom.plans import pipeline
 from famloom.sources import alignments, reports, store
@@ -97,10 +97,8 @@ def dictionary_anti_join(spark, sf_dir):
 
 
 def _coverage(spark, sf_dir, cutoff, double):
-    one = elements.islands(imgs(spark, sf_dir)).select("seq", "island", "img_id", "lb", "rb")
-    two = one.select("seq", "island", F.col("img_id").alias("img2"), F.col("lb").alias("lb2"), F.col("rb").alias("rb2"))
-    both = one.join(two, ["seq", "island"]).where("img_id < img2 and lb < rb2 and lb2 < rb")
-    return longs(both.where(covers(F.col("lb"), F.col("rb"), F.col("lb2"), F.col("rb2"), cutoff, double)).select("img_id", "img2"))
+    both = meets.overlapping(imgs(spark, sf_dir).select("seq", "img_id", "lb", "rb"), ["seq"])
+    return longs(both.where(covers(F.col("lb"), F.col("rb"), F.col("lb2"), F.col("rb2"), cutoff, double)).select("img_id", F.col("img_id2").alias("img2")))
 
 
 def coverage_single(spark, sf_dir):
@@ -158,8 +156,7 @@ def short_image_filter(spark, sf_dir):
 
 def collinear_pairs(spark, sf_dir):
     b = written(bells(spark, sf_dir).where("ele_id < p_ele").select("img_id", "ele_id", "p_ele", "direction", "lb", "rb", "p_lb", "p_rb"))
-    two = b.select("ele_id", "p_ele", "direction", *(F.col(c).alias(f"{c}2") for c in ("img_id", "lb", "rb", "p_lb", "p_rb")))
-    both = b.join(two, ["ele_id", "p_ele", "direction"]).where("img_id < img_id2")
+    both = meets.dealt_pairs(b, ["ele_id", "p_ele", "direction"], "img_id")
     c = F.col
     apart = ~covers(c("lb"), c("rb"), c("lb2"), c("rb2"), 0.1) & ~covers(c("p_lb"), c("p_rb"), c("p_lb2"), c("p_rb2"), 0.1)
     return longs(both.where(collinear(c("lb"), c("p_lb"), c("p_rb"), c("lb2"), c("p_lb2"), c("p_rb2"), c("direction")) & apart).select("img_id", "img_id2"))

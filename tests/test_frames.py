@@ -322,3 +322,21 @@ def test_components_in_rounds(spark):
     links = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(200, 200 + k) for k in range(1, 60)] + [(300 + k, 301 + k) for k in range(40)]
     got = {x.node: x.root for x in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == _solve([x for x in links if x[0] != x[1]], False)
+
+
+def test_overlaps_are_found_in_bins_however_heavy(spark):
+    import random
+
+    from famloom.operators import meets
+
+    r = random.Random(6)
+    rows = []
+    for k in range(150):
+        lb = r.choice((r.randrange(-50, 400), 100))
+        rows.append((f"s{k % 2}", k, lb, lb + r.choice((0, 1, 20, 30, 700))))
+    df = spark.createDataFrame(rows, "seq string, img_id long, lb int, rb int")
+    want = sorted((a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] == b[0] and min(a[3], b[3]) > max(a[2], b[2]))
+    for heavy in (5, 1000):
+        got = meets.overlapping(df, ["seq"], heavy=heavy).select("img_id", "img_id2").collect()
+        assert sorted(map(tuple, got)) == want
+    assert meets.overlapping(df.limit(0), ["seq"]).count() == 0

@@ -1,6 +1,7 @@
 """Kernels on hand-made cases, without Spark."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -215,6 +216,19 @@ def test_long_and_dense_chains(monkeypatch, remembered):
     assert got.found and len(got.marked) == 80
 
 
+def test_a_thousand_dense_images_are_quick():
+    r = random.Random(2)
+    steps = []
+    for k in range(250):  # four alternatives in each step, of unlike lengths and identities
+        for _ in range(4):
+            a, b = r.randrange(6), r.randrange(6)
+            steps.append(Segment(100 * k + a, 100 * k + 99 - b, 100 * k + b, 100 * k + 99 - a, r.choice((70.2, 80.1, 90.9, 95.5))))
+    steps.sort(key=lambda s: s[:2])
+    began = time.time()
+    got = best_chain(steps, (0, 25_000, 0, 25_000), LOOSE, FULL, 10, 30)
+    assert got.found and got.score >= 90 and time.time() - began < 60
+
+
 def test_tree_picture():
     assert tree_text([Segment(0, 50, 0, 50), Segment(0, 60, 200, 260), Segment(60, 90, 60, 90)]) == "0 0-50\n  2 60-90\n1 0-60"
 
