@@ -163,7 +163,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
 #: A superstep moves documents from a 1/SHARE of the largest; part of the sequences needed at least that is open from the start.
 SHARE, STOCK = 4, 0.95
 #: Rows of a range partition, partitions at least, and rows that one task finishes.
-RANGE, RANGES, TAIL = 100_000, 4, 20_000
+RANGE, RANGES, TAIL = 100_000, 4, 500
 
 
 def swept(is_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -202,6 +202,21 @@ def test_packing(make, monkeypatch, tail):
     assert sum(len(s.ids) for s in seqs.values()) == sum(lengths) and all(len(s.ids) == len(s.position_ids) == len(s.segment_ids) for s in seqs.values())
 
 
+def test_the_registered_packing_runs_supersteps(make, monkeypatch):
+    """As many rows as the smallest tables have, and no smaller tail: most documents are placed by supersteps."""
+    r, ran, real = random.Random(12), [], packing.superstep
+    monkeypatch.setattr(packing, "superstep", lambda *a: ran.append(1) or real(*a))
+    rows = [(k, "word " * r.choice((5, 40, 300, 900, 1500))) for k in range(900)]
+    got = packing.pack(make(rows)).collect()
+    assert len(ran) > 2 and len(got) == 900 and packing.TAIL <= 500
+    by = defaultdict(list)
+    for x in got:
+        by[x.sequence_id].append((x.offset, x.length))
+    for parts in by.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= packing.CAPACITY
+
+
 # --- 6 ---------------------------------------------------------------------------
 
 
