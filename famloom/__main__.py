@@ -11,14 +11,15 @@ from famloom import __version__
 from famloom.config import MODES, Config
 from famloom.operators.graph import clean
 from famloom.plans.pipeline import run, stage_counts
-from famloom.sources.alignments import read_dictionary, read_msps
+from famloom.sources.alignments import read_blast, read_dictionary, read_msps
 from famloom.sources.reports import snapshot, write_reports
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="famloom", description="Cluster pairwise interval alignments into families.")
     parser.add_argument("seqnames", help="sequence list: a count, then names")
-    parser.add_argument("alignments", help="text alignments")
+    parser.add_argument("alignments", help="text alignments: a file, a folder or a pattern")
+    parser.add_argument("--format", choices=("msp", "blast"), default="msp", help="alignment lines, or text reports")
     parser.add_argument("out", help="folder for reports and tables")
     parser.add_argument("--mode", choices=MODES, default="original")
     parser.add_argument("--method", choices=("single", "double"), default="single")
@@ -29,7 +30,8 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     logging.basicConfig(level=args.log_level)
     spark = SparkSession.builder.appName("famloom").getOrCreate()
-    msps = read_msps(spark, args.alignments, read_dictionary(spark, args.seqnames))
+    read = read_blast if args.format == "blast" else read_msps
+    msps = read(spark, args.alignments, read_dictionary(spark, args.seqnames))
     result = run(msps, Config(mode=args.mode, method=args.method, cutoff=args.cutoff), args.stages)
     write_reports(result, f"{args.out}/reports")
     snapshot(result, f"{args.out}/tables")

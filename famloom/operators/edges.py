@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from famloom.functions.intervals import f32, full_length, ratio
 
@@ -52,23 +51,22 @@ def by_owner(edges: DataFrame) -> DataFrame:
     return edges.where("ele1 != ele2 and type != 'c'").withColumn("e", F.explode(ends)).select("e.owner", "e.other", "edge_id", "type", "score", "direction")
 
 
-def _tree_places(place: int, n: int) -> tuple[int, int]:
-    """Rank before (root, left, right) and after (left, right, root) its subtrees of the item at ``place`` of n in a balanced tree of midpoints."""
-    lo, hi, pre, post = 0, n - 1, 0, 0
-    while True:
-        mid = (lo + hi) // 2
-        left, right = mid - lo, hi - mid
-        if place == mid:
-            return pre, post + left + right
-        if place < mid:
-            pre, hi = pre + 1, mid - 1
-        else:
-            pre, post, lo = pre + 1 + left, post + left, mid + 1
+def tree_places(place: Column, n: Column) -> Column:
+    """(pre, post): rank before (root, left, right) and after (left, right, root) its subtrees of the item at ``place`` of n in a balanced tree of midpoints."""
+    number = lambda x: F.lit(x).cast("long") if isinstance(x, int) else x.cast("long")
+    state = lambda lo, hi, pre, post: F.struct(number(lo).alias("lo"), number(hi).alias("hi"), number(pre).alias("pre"), number(post).alias("post"))
+    mid = lambda s: F.floor((s["lo"] + s["hi"]) / 2)
 
+    def down(s: Column, _: Column) -> Column:
+        left = mid(s) - s["lo"]
+        lower = state(s["lo"], mid(s) - 1, s["pre"] + 1, s["post"])
+        upper = state(mid(s) + 1, s["hi"], s["pre"] + 1 + left, s["post"] + left)
+        return F.when(place == mid(s), s).when(place < mid(s), lower).otherwise(upper)
 
-@F.pandas_udf(T.StructType([T.StructField("pre", T.LongType()), T.StructField("post", T.LongType())]))
-def tree_places(place: pd.Series, n: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_tree_places(int(p), int(m)) for p, m in zip(place, n, strict=True)], columns=["pre", "post"])
+    # As many steps as the tree has levels.
+    levels = F.sequence(F.lit(1), F.ceil(F.log2(n.cast("double") + 1)).cast("int") + 1)
+    found = F.aggregate(levels, state(0, n - 1, 0, 0), down)
+    return F.transform(F.array(found), lambda s: F.struct(s["pre"].alias("pre"), (s["post"] + s["hi"] - s["lo"]).alias("post")))[0]
 
 
 def partial_filter(edges: DataFrame, extents: DataFrame, limit: float = 0.7) -> DataFrame:
@@ -89,7 +87,7 @@ def partial_filter(edges: DataFrame, extents: DataFrame, limit: float = 0.7) ->
     top = q.withColumn("most", F.max("score").over(Window.partitionBy("owner")))
     top = top.withColumns({"ties": F.sum((F.col("score") == F.col("most")).cast("int")).over(Window.partitionBy("owner"))})
     sure = top.where("ties = 1 and score = most").select("owner", "edge_id")
-    tied = top.where("ties > 1").withColumn("t", tree_places("r", "n"))
+    tied = top.where("ties > 1").withColumn("t", tree_places(F.col("r"), F.col("n")))
     head = Window.partitionBy("owner").orderBy("t.pre")
     tied = tied.withColumn("is_first", F.row_number().over(head) == 1).where("score = most")
     chosen = tied.groupBy("owner").agg(F.coalesce(F.max(F.when(F.col("is_first"), F.col("edge_id"))), F.min_by("edge_id", "t.post")).alias("edge_id"))

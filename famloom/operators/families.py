@@ -42,7 +42,7 @@ def _walk(rows: list[dict]) -> list[tuple]:
     return [(root, e, k, d) for k, (e, d) in enumerate(seen.items())]
 
 
-def members(roots: DataFrame, owned: DataFrame, largest: int = 50_000) -> DataFrame:
+def members(roots: DataFrame, owned: DataFrame, largest: int = 5_000) -> DataFrame:
     """(root, ele_id, pos, dir): place in the family's breadth-first queue and orientation relative to its root.
 
     Families of up to ``largest`` edges are walked one in a task; larger ones level by level as joins.

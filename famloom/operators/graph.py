@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 
@@ -98,67 +97,52 @@ def numbered(df: DataFrame, order: str | list[str], name: str, first: int = 0) -
     return running(df, [order] if isinstance(order, str) else order, F.lit(1), name, first)
 
 
-#: Graphs of up to so many distinct edges are solved in one task; larger ones in rounds of joins.
-SMALL_GRAPH = 500_000
-
-
-def _solve(edges: list[tuple[int, int]], directed: bool) -> dict[int, int]:
-    """The smallest node that reaches each node with an edge: seeds in ascending order take all they reach."""
-    out: dict[int, list[int]] = {}
-    for u, v in edges:
-        out.setdefault(u, []).append(v)
-        out.setdefault(v, [])
-        if not directed:
-            out[v].append(u)
-    root: dict[int, int] = {}
-    for s in sorted(out):
-        todo = [s] if s not in root else []
-        while todo:
-            x = todo.pop()
-            if x not in root:
-                root[x] = s
-                todo += out[x]
-    return root
-
-
-def least_ancestors(nodes: DataFrame, edges: DataFrame, directed: bool = True, small: int = SMALL_GRAPH) -> DataFrame:
+def least_ancestors(nodes: DataFrame, edges: DataFrame, directed: bool = True) -> DataFrame:
     """(node, root): the smallest node from which each node can be reached along edges (u, v); itself included.
 
-    The distinct edges are written and counted.  Up to ``small`` of them go to one
-    task.  Beyond that, every round takes the smallest label of a node's
-    predecessors and then the label of its label, so long paths take few rounds.
+    Edges that run both ways join nodes that reach each other: these are contracted first, in few rounds whatever their
+    paths' lengths (see components).  Only what is left of one-way edges is walked,
+    in rounds that take the smallest label of a node's predecessors and then the
+    label of its label.
     """
     edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u != v")
-    count, nodes = Observation(), nodes.select(F.col("node").cast("long").alias("node")).distinct()
-    if not directed:
-        edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    edges = written(edges.distinct().observe(count, F.count(F.lit(1)).alias("n")))
-    if count.get["n"] <= small:
-
-        def run(batches):
-            rows = [x for b in batches for x in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
-            root = _solve(rows, directed)
-            yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array(list(root.values()), pa.int64())], ["node", "root"])
-
-        found = edges.coalesce(1).mapInArrow(run, "node long, root long")
-        return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    nodes = nodes.select(F.col("node").cast("long").alias("node")).distinct()
     if not directed:
-        found = components(edges)
-        return nodes.join(found.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    labels = written(nodes.withColumn("root", F.col("node")))
+        return _labelled(nodes, components(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
+    ways = F.struct(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).alias("pair")
+    pairs = edges.distinct().groupBy(ways).agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u"), F.min("v").alias("v"))
+    pairs = written(pairs, "ways")
+    one_way = pairs.where("n = 1").select("u", "v")
+    found = _labelled(nodes, components(pairs.where("n = 2").select("pair.a", "pair.b").toDF("u", "v")))
+    if not one_way.limit(1).count():
+        return found
+    found = written(found, "contracted")
+    ends = [found.select(F.col("node").alias(c), F.col("root").alias(f"{c}2")).hint("merge") for c in ("u", "v")]
+    between = written(one_way.join(ends[0], "u").join(ends[1], "v").select(F.col("u2").alias("u"), F.col("v2").alias("v")).where("u != v").distinct(), "between")
+    above = _walked(between)
+    out = found.join(above.select(F.col("node").alias("root"), F.col("root").alias("least")).hint("merge"), "root", "left")
+    return out.select("node", F.coalesce("least", "root").alias("root"))
+
+
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    return nodes.join(labels.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def _walked(edges: DataFrame) -> DataFrame:
+    """(node, root) of the nodes with edges (u, v), by rounds along one-way edges; only nodes whose label fell tell their followers."""
+    labels = written(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("root", F.col("node")).withColumn("moved", F.lit(True)))
     while True:
-        came = edges.join(labels.select(F.col("node").alias("u"), F.col("root").alias("r")).hint("merge"), "u").groupBy(F.col("v").alias("node")).agg(F.min("r").alias("r"))
+        told = labels.where("moved").select(F.col("node").alias("u"), F.col("root").alias("r"))
+        came = edges.join(told.hint("merge"), "u").groupBy(F.col("v").alias("node")).agg(F.min("r").alias("r"))
         hooked = labels.join(came.hint("merge"), "node", "left").select("node", "root", F.least("root", "r").alias("now"))
         up = hooked.select(F.col("node").alias("now"), F.col("now").alias("above"))
-        after = hooked.join(up.hint("merge"), "now", "left").select("node", F.least("now", "above").alias("now"), (F.least("now", "above") != F.col("root")).alias("moved"))
+        after = hooked.join(up.hint("merge"), "now", "left").select("node", F.least("now", "above").alias("to"), (F.least("now", "above") != F.col("root")).alias("moved"))
         moved, old = Observation(), labels
-        done = written(after.observe(moved, F.max("moved").alias("any")))
-        labels = done.select("node", F.col("now").alias("root"))
-        labels.written_at = done.written_at
+        labels = written(after.select("node", F.col("to").alias("root"), "moved").observe(moved, F.max("moved").alias("any")))
         more = moved.get["any"]
         forget(old)
         if not more:
-            return labels
+            return labels.select("node", "root")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -177,8 +161,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         hooks = written(both.groupBy("u").agg(F.min("v").alias("to")).select(F.col("u").alias("node"), F.least("u", "to").alias("to")), "hooks")
         while True:
+            # Twice before it is written: to the hook of a hook's hook.
             jump = hooks.select(F.col("node").alias("to"), F.col("to").alias("further")).hint("merge")
-            after = hooks.join(jump, "to", "left").select("node", F.coalesce("further", "to").alias("to"), (F.coalesce("further", "to") != F.col("to")).alias("moved"))
+            again = jump.select(F.col("to").alias("further"), F.col("further").alias("last"))
+            after = hooks.join(jump, "to", "left").join(again, "further", "left").select("node", F.coalesce("last", "further", "to").alias("to"), (F.coalesce("last", "further", "to") != F.col("to")).alias("moved"))
             moved, old = Observation(), hooks
             hooks = written(after.observe(moved, F.max("moved").alias("any")), "hooks")
             more = moved.get["any"]

@@ -7,6 +7,7 @@ elements.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from famloom.config import Config
 from famloom.functions.intervals import collinear, covers, too_short
 from famloom.operators import boundaries, chains, edges, elements, families, meets
-from famloom.operators.graph import numbered, written
+from famloom.operators.graph import numbered, scratch_dir, written
 from famloom.plans import pipeline
 from famloom.sources import alignments, reports, store
 
@@ -78,6 +79,20 @@ def msp_text(spark, sf_dir):
     return longs(out.withColumns({"iden10": F.round(F.col("iden").cast("double") * 10).cast("long"), "q_seq": F.col("q_seq").cast("long"), "s_seq": F.col("s_seq").cast("long")}).drop("iden"))
 
 
+def _text_files(spark, lines, order):
+    """``lines`` (order, value) written as text files, which stand by path in their order."""
+    path = f"{scratch_dir(spark)}/text-{uuid.uuid4().hex}"
+    lines.repartitionByRange(7, order[0]).sortWithinPartitions(*order).select("value").write.text(path)
+    return path
+
+
+def msp_files(spark, sf_dir):
+    """Text files read back: the number of an alignment is its place in all of them."""
+    path = _text_files(spark, alignments.format_msps(aln(spark, sf_dir), "msp_id"), ["msp_id"])
+    out = alignments.read_msps(spark, path)
+    return longs(out.withColumns({"iden10": F.round(F.col("iden").cast("double") * 10).cast("long"), "q_seq": F.col("q_seq").cast("long"), "s_seq": F.col("s_seq").cast("long")}).drop("iden"))
+
+
 def image_explode(spark, sf_dir):
     return longs(imgs(spark, sf_dir))
 
@@ -238,6 +253,12 @@ def pps_filter(spark, sf_dir):
     return longs(filtered_edges(spark, sf_dir)[0])
 
 
+def pps_filter_tied(spark, sf_dir):
+    """The filter where many edges of an element have one score, so that places in its edge tree decide."""
+    e = edge_table(spark, sf_dir).withColumn("score", F.col("score") % 10)
+    return longs(edges.partial_filter(written(e), written(elements.element_extents(isles(spark, sf_dir)))))
+
+
 def _repair(mode):
     def run(spark, sf_dir):
         return longs(edges.repaired(filtered_edges(spark, sf_dir)[0], mode).select("owner", "other", "edge_id", "type"))
@@ -306,9 +327,8 @@ def run_diff(spark, sf_dir):
     return longs(reports.run_diff(one.select("seq", "lb", "rb", "img_no"), two.select("seq", "lb", "rb", "img_no")))
 
 
-def blast_to_msp(spark, sf_dir):
-    """Text reports made from alignments, read back."""
-    a = aln(spark, sf_dir)
+def _reports(a):
+    """The lines of a text report for each alignment, in order."""
     # The subject of a reversed alignment runs down.
     back = F.col("direction") == -1
     s_at = lambda by: F.when(back, F.col("s_rb") - by).otherwise(F.col("s_lb") + by).cast("string")
@@ -320,11 +340,27 @@ def blast_to_msp(spark, sf_dir):
         F.concat(F.lit("Query: "), (F.col("q_lb") + 60).cast("string"), F.lit(" acgt "), F.col("q_rb").cast("string")), F.concat(F.lit("Sbjct: "), s_at(60), F.lit(" acgt "), s_end),
         F.lit("Parameters:"),
     )
+    return text
+
+
+def blast_to_msp(spark, sf_dir):
+    """Text reports made from alignments, read back."""
+    a = aln(spark, sf_dir)
+    text = _reports(a)
     lines = a.select((F.col("msp_id") % 64).alias("file"), "msp_id", F.posexplode(text).alias("k", "value")).select("file", (F.col("msp_id") * 16 + F.col("k")).alias("n"), "value")
     out = alignments.blast_to_msps(lines)
     return longs(out.select("file", F.col("score"), F.col("iden").cast("int").alias("iden"), *(F.col(c).cast("long").alias(c) for c in ("q_start", "q_end", "q_seq", "s_start", "s_end", "s_seq"))))
 
 
+def blast_files(spark, sf_dir):
+    """Text reports written as files and read back, numbered in the order of all files."""
+    a = aln(spark, sf_dir)
+    lines = a.select("msp_id", F.posexplode(_reports(a)).alias("k", "value"))
+    out = alignments.read_blast(spark, _text_files(spark, lines, ["msp_id", "k"]))
+    return longs(out.select("msp_id", "score", F.col("iden").cast("int").alias("iden"), "direction", *(F.col(c).cast("long").alias(c) for c in ("q_seq", "q_lb", "q_rb", "s_seq", "s_lb", "s_rb"))))
+
+
+
 def _result(spark, sf_dir, mode="original"):
     a = aln(spark, sf_dir)
     return pipeline.run(a, Config(mode=mode, tandem_images=60, tandem_ratio=2))
@@ -344,11 +380,11 @@ def stage_counts(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        msp_normalise, msp_text, image_explode, dictionary_semi_join, dictionary_anti_join, coverage_single, coverage_double, image_islands, island_extents, element_extents,
+        msp_normalise, msp_text, msp_files, image_explode, dictionary_semi_join, dictionary_anti_join, coverage_single, coverage_double, image_islands, island_extents, element_extents,
         greedy_elements, greedy_elements_double, dumbbell_partner, tandem_filter, tandem_anti_join, full_length_flag, full_length_count, short_image_filter, collinear_pairs,
         best_primary_per_pair, edge_classification, cut_point_votes, votes_without_contributor, cp_clusters, boundary_span, boundary_promotion, tbd_merge, interior_boundaries,
-        boundary_snap, split_intervals, chain_primary, pps_filter, families_undirected, families_directed, family_members_oriented, family_sizes, element_status_summary,
-        latest_version_store, gml_edges, gml_nodes, family_report, eles_report, run_diff, blast_to_msp, full_pipeline, full_pipeline_guarded, stage_counts,
+        boundary_snap, split_intervals, chain_primary, pps_filter, pps_filter_tied, families_undirected, families_directed, family_members_oriented, family_sizes, element_status_summary,
+        latest_version_store, gml_edges, gml_nodes, family_report, eles_report, run_diff, blast_to_msp, blast_files, full_pipeline, full_pipeline_guarded, stage_counts,
     )
     return {f.__name__: f for f in own} | {f"edge_repair_{m}": _repair(m) for m in ("original", "promote", "guarded")}
 
@@ -413,6 +449,20 @@ pps AS (
 own AS (SELECT ele1 AS owner, ele2 AS other, edge_id, type FROM pps UNION ALL SELECT ele2, ele1, edge_id, type FROM pps)"""
 
 
+_TIED = _PPS.split("best AS (")[0].replace("% 1000003", "% 1000003 % 10") + """
+spot0 AS (SELECT owner, edge_id, count(*) OVER (PARTITION BY owner) AS n, row_number() OVER (PARTITION BY owner ORDER BY edge_id) - 1 AS r FROM own0),
+walk(n, r, lo, hi, pre, post) AS (
+  SELECT DISTINCT n, r, CAST(0 AS BIGINT), n - 1, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM spot0
+  UNION ALL
+  SELECT n, r, CASE WHEN r < m THEN lo ELSE m + 1 END, CASE WHEN r < m THEN m - 1 ELSE hi END, pre + 1 + CASE WHEN r < m THEN 0 ELSE m - lo END, post + CASE WHEN r < m THEN 0 ELSE m - lo END
+  FROM (SELECT *, (lo + hi) // 2 AS m FROM walk) WHERE r <> m),
+spot AS (SELECT owner, edge_id, pre, post + hi - lo AS post FROM spot0 JOIN walk USING (n, r) WHERE r = (lo + hi) // 2),
+top AS (SELECT q.*, pre, post, max(score) OVER (PARTITION BY owner) AS most, row_number() OVER (PARTITION BY owner ORDER BY pre) AS k FROM q JOIN spot USING (owner, edge_id)),
+best AS (SELECT owner, coalesce(max(CASE WHEN k = 1 THEN edge_id END), arg_min(edge_id, post)) AS edge_id FROM top WHERE score = most GROUP BY owner),
+pps AS (""" + _PPS.split("pps AS (")[1].split(""",
+own AS""")[0]
+
+
 def _repair_sql(kinds: str | None) -> str:
     if kinds is None:
         return _PPS + ", rep AS (SELECT * FROM own)"
@@ -554,6 +604,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "msp_normalise": _with(_ALN, _NORMAL),
         "msp_text": _with(_ALN, _NORMAL),
+        "msp_files": _with(_ALN, _NORMAL),
+        "blast_files": _with(_ALN, "SELECT msp_id, score, iden10 // 10 AS iden, direction, q_seq, q_lb, q_rb, s_seq, s_lb, s_rb FROM aln"),
         "image_explode": _with(_IMG, "SELECT * FROM img"),
         "dictionary_semi_join": _with(_ALN, f"SELECT msp_id, q_seq, s_seq FROM aln WHERE q_seq IN ({known}) AND s_seq IN ({known})"),
         "dictionary_anti_join": _with(_ALN, f"SELECT msp_id, q_seq, s_seq FROM aln WHERE s_seq NOT IN ({known})"),
@@ -584,6 +636,7 @@ def oracle_sql() -> dict[str, str]:
         "boundary_snap": _with(_SNAP, "SELECT s.ele_id, e.seq, s.lb, s.rb FROM snap s JOIN ext e ON e.ele_id = s.ele_id QUALIFY row_number() OVER (PARTITION BY s.ele_id ORDER BY s.n DESC) = 1", True),
         "split_intervals": _with(_SPLIT, "SELECT img_id, ele_id, row_number() OVER (PARTITION BY img_id ORDER BY z, k) - 1 AS part, lb, rb, p_lb, p_rb, score FROM out", True),
         "pps_filter": _with(_PPS, "SELECT * FROM pps"),
+        "pps_filter_tied": _with(_TIED, "SELECT * FROM pps", True),
         "families_undirected": reach("original", "SELECT * FROM fam"),
         "families_directed": reach("promote", "SELECT * FROM fam"),
         "family_sizes": reach("original", "SELECT root, count(*) AS copies, dense_rank() OVER (ORDER BY root) AS fam FROM fam GROUP BY root"),

@@ -14,6 +14,18 @@ from famloom.operators.graph import numbered
 FIELDS = ("score", "iden", "q_start", "q_end", "q_seq", "s_start", "s_end", "s_seq")
 
 
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, n, value: the lines of text files, n ascending inside a file, whatever splits it is read in.
+
+    A line is placed by the byte at which its split begins and by its order in the
+    split; as a line has at least one byte, the sum of both ascends over splits.
+    Windows run inside a split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"))
+    place = F.row_number().over(Window.partitionBy("file", "begin").orderBy("at"))
+    return lines.select("file", (F.col("begin") + place - 1).alias("n"), "value")
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """seq_id (byte order of names, from 0), seq of a sequence list: its first line is the count.
 
@@ -21,11 +33,11 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     name are left out, and so is what follows its first blank.  Names are kept
     whole.  A list longer than its count is an error.
     """
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    first = lines.orderBy("n").first()
+    lines = read_lines(spark, path)
+    first = lines.orderBy("file", "n").first()
     if first is None:
         raise ValueError("an empty sequence list")
-    names = lines.where(F.col("n") != first["n"]).select(F.regexp_extract("value", r"^[\s>]*(\S+)", 1).alias("seq")).where("seq != ''")
+    names = lines.where((F.col("file") != first["file"]) | (F.col("n") != first["n"])).select(F.regexp_extract("value", r"^[\s>]*(\S+)", 1).alias("seq")).where("seq != ''")
     if names.count() > int(first["value"].strip()):
         raise ValueError("more names than the sequence list declares")
     # Equal names are told apart by their place.
@@ -60,11 +72,19 @@ def known(msps: DataFrame, names: DataFrame) -> DataFrame:
     return msps.join(one, F.col("q_seq") == F.col("__seq"), "left_semi").join(one, F.col("s_seq") == F.col("__seq"), "left_semi")
 
 
-def read_msps(spark: SparkSession, path: str, names: DataFrame | None = None) -> DataFrame:
-    """Alignments of text files, numbered in input order; malformed lines and unknown names take no number."""
-    raw = parse_lines(spark.read.text(path).withColumn("__line", F.monotonically_increasing_id()))
+def _in_order(raw: DataFrame, names: DataFrame | None) -> DataFrame:
     raw = known(raw, names) if names is not None else raw
-    return normalise(numbered(raw, "__line", "msp_id").drop("__line"))
+    return normalise(numbered(raw, ["file", "n"], "msp_id").drop("file", "n"))
+
+
+def read_msps(spark: SparkSession, path: str | list[str], names: DataFrame | None = None) -> DataFrame:
+    """Alignments of text files, numbered from 0 as if the files stood one behind the other by path; malformed lines and unknown names take no number."""
+    return _in_order(parse_lines(read_lines(spark, path)), names)
+
+
+def read_blast(spark: SparkSession, path: str | list[str], names: DataFrame | None = None, score_cutoff: float = 0, iden_cutoff: float = 0) -> DataFrame:
+    """Alignments of text reports, numbered like those of read_msps (see blast_to_msps for what counts)."""
+    return _in_order(blast_to_msps(read_lines(spark, path), score_cutoff, iden_cutoff), names)
 
 
 def format_msps(msps: DataFrame, *keep: str) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from places import tree_place
 from famloom.operators import edges, families
 from famloom.operators.boundaries import interior, merged, merge_points, snapped
 from famloom.sources import alignments, reports, store
@@ -49,7 +50,7 @@ def _filtered(edge_rows, size, limit=0.7):
         if not q:
             continue
         n = len(mine)
-        place = {e: edges._tree_places(i, n) for i, (e, _, _) in enumerate(mine)}
+        place = {e: tree_place(i, n) for i, (e, _, _) in enumerate(mine)}
         most = max(s for _, s in q)
         head = min(q, key=lambda i: place[i[0]][0])
         won = head[0] if head[1] == most else min((e for e, s in q if s == most), key=lambda e: place[e][1])
@@ -141,16 +142,28 @@ def test_stop_at_empty_input(spark):
 
 
 @pytest.mark.parametrize("directed", [True, False])
-def test_reachability_in_one_task_and_in_rounds(spark, directed):
-    from famloom.operators.graph import _solve, least_ancestors
+def test_reachability_by_brute_force(spark, directed):
+    from famloom.operators.graph import least_ancestors
 
     r = random.Random(3)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
-    nodes = spark.createDataFrame([(i,) for i in range(130)], "node long")
-    frame = spark.createDataFrame(links, "u long, v long")
-    want = {i: i for i in range(130)} | _solve([x for x in links if x[0] != x[1]], directed)
-    for small in (0, 1000):
-        assert {x.node: x.root for x in least_ancestors(nodes, frame, directed, small).collect()} == want
+    links += [(v, u) for u, v in links[:25]] + links[:5] + [(129, 128), (128, 127), (126, 127), (125, 129), (120, 125)]
+    after = {i: set() for i in range(130)}
+    for u, v in links:
+        after[u].add(v)
+        if not directed:
+            after[v].add(u)
+    want = {}
+    for s in sorted(after):
+        todo = [s]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = s
+                todo += after[x]
+    nodes, frame = spark.createDataFrame([(i,) for i in range(130)], "node long"), spark.createDataFrame(links, "u long, v long")
+    assert {x.node: x.root for x in least_ancestors(nodes, frame, directed).collect()} == want
+    assert {x.node: x.root for x in least_ancestors(nodes, frame.limit(0), directed).collect()} == {i: i for i in range(130)}
 
 
 def test_streamed_alignments(spark, tmp_path):
@@ -340,3 +353,34 @@ def test_overlaps_are_found_in_bins_however_heavy(spark):
         got = meets.overlapping(df, ["seq"], heavy=heavy).select("img_id", "img_id2").collect()
         assert sorted(map(tuple, got)) == want
     assert meets.overlapping(df.limit(0), ["seq"]).count() == 0
+
+
+def test_tree_places_as_columns(spark):
+    rows = [(k, n) for n in (*range(1, 40), 1000, 1023) for k in range(n)]
+    df = spark.createDataFrame(rows, "k long, n long").withColumn("t", edges.tree_places(F.col("k"), F.col("n")))
+    assert {(r.k, r.n): (r.t.pre, r.t.post) for r in df.collect()} == {x: tree_place(*x) for x in rows}
+
+
+def test_files_and_splits_are_read_in_order(spark, tmp_path):
+    """Splits are packed by size, which must not show in the numbers."""
+    from famloom.sources.alignments import read_blast, read_lines, read_msps
+
+    files = {"a": ["1 80 10 20 x 5 9 y"], "b": [f"{k + 2} 80 10 20 x {k + 1} {k + 9} y" for k in range(300)] + ["", "bad line"], "c": ["999 80 20 10 x 5 9 y"]}
+    for name, lines in files.items():
+        (tmp_path / f"{name}.msps").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("100", "1000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = read_msps(spark, str(tmp_path)).sort("msp_id").collect()
+            assert [(r.msp_id, r.score) for r in got] == [(0, 1), *((k + 1, k + 2) for k in range(300)), (301, 999)]
+            lines = read_lines(spark, str(tmp_path)).sort("file", "n").collect()
+            assert [r.value for r in lines] == [x for v in files.values() for x in v]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    report = "Query= q\n>s x\n  Score = 7 (9 bits)\n Identities = 8/10\nQuery: 1 ac 9\nSbjct: 3 ac 11\nParameters:\n"
+    (tmp_path / "r").mkdir()
+    for name in ("1", "2"):
+        (tmp_path / "r" / name).write_text(report * 2)
+    got = read_blast(spark, str(tmp_path / "r")).sort("msp_id").collect()
+    assert [(r.msp_id, r.score, r.iden, r.q_seq, r.q_lb, r.s_rb) for r in got] == [(k, 7, 80.0, "q", 1, 11) for k in range(4)]

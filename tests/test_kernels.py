@@ -6,11 +6,11 @@ import time
 import numpy as np
 import pytest
 
+from places import tree_place
 from famloom.config import Config
 from famloom.functions.segments import Segment, best_chain, cut, facing, partner_ends, tree
 from famloom.operators.boundaries import cluster_points, merge_points
 from famloom.operators.chains import tree_text
-from famloom.operators.edges import _tree_places
 from famloom.operators.elements import greedy, recluster
 from famloom.operators.refine import Alignment, Element, Refiner, birth_keys
 
@@ -97,7 +97,7 @@ def test_tree_places():
 
     for n in range(1, 40):
         pre, post = walk(0, n - 1)
-        assert [_tree_places(i, n) for i in range(n)] == [(pre.index(i), post.index(i)) for i in range(n)]
+        assert [tree_place(i, n) for i in range(n)] == [(pre.index(i), post.index(i)) for i in range(n)]
 
 
 def _pair(images, direction=1):
