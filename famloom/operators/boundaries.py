@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from famloom.functions.segments import cut, facing, partner_ends
@@ -23,35 +25,51 @@ def without_contributor(all_votes: DataFrame, dismissed: DataFrame) -> DataFrame
     return all_votes.join(dismissed.select(F.col("ele_id").alias("contributor")), "contributor", "left_anti").select("ele_id", "cp", "contributor")
 
 
-def cluster_points(points: list[int], width: int = 20, step: int = 10) -> list[tuple[int, int]]:
+def cluster_points(points: list[int], width: int = 20, step: int = 10, ends: bool = True) -> list[tuple[int, int]]:
     """(boundary, support) of sorted points, in the order clusters are found.
 
     A cluster grows while a point is within ``width`` of its first and ``step`` of
     its last.  Where width ends it, the next starts at the point that did; where a
-    gap does, its tail without the first point is clustered once more, and so on.
+    gap does, its tail without the first point is clustered once more, and so on;
+    the last cluster of all is not.  ``ends``: whether no point follows these.
     """
     out, begin, n = [], 0, len(points)
+    before = [0, *accumulate(points)]
     while begin < n:
-        first, k = points[begin], begin
-        last = first
+        first = last = points[begin]
+        k = begin + 1
         while k < n and points[k] - first <= width and points[k] - last <= step:
             last = points[k]
             k += 1
-        out.append((first + sum(p - first for p in points[begin:k]) // (k - begin), k - begin))
-        if k == n:
-            break
-        begin = k if points[k] - last <= step else begin + 1
+        whole = k == n and ends
+        by_width = k < n and points[k] - last <= step
+        # Its tails end where it does.
+        for j in range(begin, begin + 1 if whole or by_width else k):
+            many = k - j
+            out.append((points[j] + (before[k] - before[j] - many * points[j]) // many, many))
+        begin = k
     return out
 
 
+def _runs(rows: DataFrame, at: str, step: int, value: Column) -> DataFrame:
+    """ele_id, run, points (sorted array of ``value``), ends (whether it is the element's last run): an element's rows cut wherever ``at`` goes on by more than ``step``.
+
+    Windows run inside an element, over narrow rows that spill; only a run is an array.
+    """
+    by = Window.partitionBy("ele_id").orderBy(at)
+    marked = rows.withColumns({"__cut": F.coalesce((F.col(at) - F.lag(at).over(by) > step).cast("int"), F.lit(0)), "__end": F.lead(at).over(by).isNull()})
+    marked = marked.withColumn("run", F.sum("__cut").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("ele_id", "run").agg(F.sort_array(F.collect_list(value)).alias("points"), F.max("__end").alias("ends"))
+
+
 def point_clusters(all_votes: DataFrame, width: int = 20, step: int = 10) -> DataFrame:
-    """(ele_id, bd, support) from votes; an element's votes are one sorted array."""
-    rows = all_votes.groupBy("ele_id").agg(F.sort_array(F.collect_list("cp")).alias("cps"))
+    """(ele_id, bd, support) from votes; no cluster reaches over a gap of more than ``step``."""
+    rows = _runs(all_votes.select("ele_id", "cp"), "cp", step, F.col("cp")).select("ele_id", "points", "ends")
 
     def run(row: tuple) -> list[tuple]:
-        return [(row[0], bd, support) for bd, support in cluster_points(row[1], width, step)]
+        return [(row[0], bd, support) for bd, support in cluster_points(row[1], width, step, row[2])]
 
-    return map_rows(rows.select("ele_id", "cps"), run, f"ele_id {dict(rows.dtypes)['ele_id']}, bd int, support int")
+    return map_rows(rows, run, f"ele_id {dict(rows.dtypes)['ele_id']}, bd int, support int")
 
 
 def spans(bounds: DataFrame, imgs: DataFrame, factor: int = 2, margin: int = 10) -> DataFrame:
@@ -78,25 +96,16 @@ def promoted(spanned: DataFrame) -> DataFrame:
     return spanned.where("support >= span").drop("span")
 
 
-def _merge(distance: int):
-    """One step of the sweep: keep the stronger of two near boundaries; of equals, the earlier."""
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        near = (F.size(acc) > 0) & (x["bd"] - F.try_element_at(acc, F.lit(-1))["bd"] <= distance)
-        stronger = F.try_element_at(acc, F.lit(-1))["support"] < x["support"]
-        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        del last
-        return F.when(~near, F.concat(acc, F.array(x))).when(stronger, F.concat(head, F.array(x))).otherwise(acc)
-
-    return step
-
-
 def merged(bounds: DataFrame, distance: int = 10) -> DataFrame:
-    """Boundaries of each element, those within ``distance`` made one."""
-    rows = bounds.groupBy("ele_id").agg(F.sort_array(F.collect_list(F.struct(F.col("bd").cast("int").alias("bd"), F.col("support").cast("int").alias("support")))).alias("b"))
-    empty = F.array().cast("array<struct<bd:int,support:int>>")
+    """Boundaries of each element, those within ``distance`` made one; nothing is compared over a wider gap."""
+    one = F.struct(F.col("bd").cast("int").alias("bd"), F.col("support").cast("int").alias("support"))
     # Ties on bd: the stronger is found last and wins, as it does in any order.
-    return rows.select("ele_id", F.explode(F.aggregate("b", empty, _merge(distance))).alias("c")).select("ele_id", "c.bd", "c.support")
+    rows = _runs(bounds.select("ele_id", "bd", "support"), "bd", distance, one).select("ele_id", "points.bd", "points.support")
+
+    def run(row: tuple) -> list[tuple]:
+        return [(row[0], bd, support) for bd, support in merge_points(list(zip(row[1], row[2], strict=True)), distance)]
+
+    return map_rows(rows, run, f"ele_id {dict(rows.dtypes)['ele_id']}, bd int, support int")
 
 
 def merge_points(bounds: list[tuple[int, int]], distance: int = 10) -> list[tuple[int, int]]:

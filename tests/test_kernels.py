@@ -87,6 +87,38 @@ def test_split_leaves_out_a_short_rest():
     assert cut(Segment(0, 30, 0, 30), 5, [], 30) == ([], None)
 
 
+def _plain_clusters(points, width=20, step=10):
+    """As stated: after a gap a cluster's tail without its first point is clustered once more; the last points once."""
+    out, begin = [], 0
+    while begin < len(points):
+        k = begin
+        while k < len(points) and points[k] - points[begin] <= width and (k == begin or points[k] - points[k - 1] <= step):
+            k += 1
+        out.append((points[begin] + sum(p - points[begin] for p in points[begin:k]) // (k - begin), k - begin))
+        if k == len(points):
+            return out
+        begin = k if points[k] - points[k - 1] <= step else begin + 1
+    return out
+
+
+def test_point_clusters_as_stated_and_in_runs():
+    r = random.Random(9)
+    for _ in range(400):
+        points = sorted(r.choice((r.randrange(60), r.randrange(300), 40)) for _ in range(r.randrange(1, 25)))
+        want = _plain_clusters(points)
+        assert cluster_points(points) == want
+        runs = [[points[0]]]
+        for p in points[1:]:
+            runs.append([p]) if p - runs[-1][-1] > 10 else runs[-1].append(p)
+        assert [c for k, run in enumerate(runs) for c in cluster_points(run, ends=k == len(runs) - 1)] == want
+
+
+def test_a_million_votes_are_clustered_in_seconds():
+    votes = [5] * 500_000 + [7] * 500_000
+    began = time.time()
+    assert len(cluster_points(votes, ends=False)) == 1_000_000 and cluster_points(votes) == [(6, 1_000_000)] and time.time() - began < 60
+
+
 def test_tree_places():
     def walk(lo, hi):
         if lo > hi:
