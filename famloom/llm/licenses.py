@@ -11,6 +11,11 @@ Templates compile into one automaton over words, made deterministic as it is
 used, and a scan reads it from every word that can begin a template; the longest
 match of each label counts.  Mandatory wording has no tolerance.
 
+Bounds: a contributor's or holder's name of up to 12 words and an address of up to 9
+(those of the BSD text and of the Apache and MPL headers), and expressions of up to
+five SPDX identifiers.  Titles of whole texts count wherever they stand, a sentence
+that only mentions one included.
+
 Defined results: a null or empty text has no words; a text of any length is
 scanned whole; overlapping matches of a label count from their first words;
 repeated rows are rows of their own; an empty table gives no rows; other columns
@@ -41,12 +46,27 @@ _ANY_LATER = "<<optional>> or at your option any later version <</optional>>"
 
 
 def _gnu(name: str, version: str) -> str:
-    """The header that a program's files carry; the program's name is replaceable."""
-    return f"<<one;this program is|this file is|this library is|this software is|it is>> {_FREE} the gnu {name} as published by the free software foundation <<optional>> either <</optional>> version {version} of the license {_ANY_LATER}"
+    """The header that a program's files carry, from the words behind the program's name, which is any."""
+    return f"{_FREE} the gnu {name} as published by the free software foundation <<optional>> either <</optional>> version {version} of the license {_ANY_LATER}"
+
+
+#: SPDX identifiers as words, by label (fixed values); those without a label here stand in expressions all the same.
+IDENTIFIERS = {
+    "mit": "mit", "mit-0": "mit 0", "apache-2.0": "apache 2 0", "gpl-2.0": "gpl 2 0|gpl 2 0 only|gpl 2 0 or later", "gpl-3.0": "gpl 3 0|gpl 3 0 only|gpl 3 0 or later",
+    "lgpl": "lgpl 2 1 only|lgpl 2 1 or later|lgpl 3 0 only|lgpl 3 0 or later|lgpl 2 0 only|lgpl 2 0 or later|lgpl 2 1|lgpl 3 0", "agpl-3.0": "agpl 3 0 only|agpl 3 0 or later|agpl 3 0",
+    "mpl-2.0": "mpl 2 0", "epl-2.0": "epl 2 0", "bsd": "bsd 2 clause|bsd 3 clause", "isc": "isc", "zlib": "zlib", "unlicense": "unlicense", "cc0": "cc0 1 0", "cc-by-4.0": "cc by 4 0", "cc-by-sa": "cc by sa 4 0",
+    "cc-by-nc": "cc by nc 4 0|cc by nc sa 4 0|cc by nc nd 4 0", "boost": "bsl 1 0", "0bsd": "0bsd", "artistic-2.0": "artistic 2 0", "eupl": "eupl 1 1|eupl 1 2", "ms-pl": "ms pl", "wtfpl": "wtfpl", "odbl": "odbl 1 0", "psf": "psf 2 0|python 2 0",
+}
+#: Exceptions that stand behind ``with`` (fixed values).
+EXCEPTIONS = "classpath exception 2 0|llvm exception|gcc exception 3 1|gcc exception 2 0|linux syscall note|autoconf exception 3 0|bison exception 2 2|font exception 2 0"
+#: Identifiers before the one that a label is given for.
+_BEFORE = 4
 
 
-def _spdx(ids: str) -> str:
-    return f"spdx license identifier <<one;{ids}>>"
+def _spdx(label: str) -> str:
+    """A line whose expression has one of the label's identifiers, alone or behind up to _BEFORE others joined by ``and`` or ``or``; brackets are no words."""
+    other = f"<<optional>> <<one;{'|'.join(IDENTIFIERS.values())}>> <<optional>> with <<one;{EXCEPTIONS}>> <</optional>> <<one;and|or>> <</optional>> "
+    return f"spdx license identifier {other * _BEFORE}<<one;{IDENTIFIERS[label]}>>"
 
 
 #: License notices and texts as publicly known (fixed values): (label, markup).
@@ -68,22 +88,7 @@ TEMPLATES = (
     ("cc-by-4.0", f"{_GRANT} {_CC} <<one;by|attribution>> <<one;4 0|3 0>>"),
     ("cc0", f"{_GRANT} <<one;cc0|creative commons zero>> <<optional>> 1 0 <</optional>>"),
     # SPDX lines
-    ("mit", _spdx("mit|mit 0")),
-    ("apache-2.0", _spdx("apache 2 0")),
-    ("gpl-2.0", _spdx("gpl 2 0|gpl 2 0 only|gpl 2 0 or later")),
-    ("gpl-3.0", _spdx("gpl 3 0|gpl 3 0 only|gpl 3 0 or later")),
-    ("lgpl", _spdx("lgpl 2 1 only|lgpl 2 1 or later|lgpl 3 0 only|lgpl 3 0 or later|lgpl 2 0 only|lgpl 2 0 or later")),
-    ("agpl-3.0", _spdx("agpl 3 0 only|agpl 3 0 or later")),
-    ("mpl-2.0", _spdx("mpl 2 0")),
-    ("epl-2.0", _spdx("epl 2 0")),
-    ("bsd", _spdx("bsd 2 clause|bsd 3 clause")),
-    ("isc", _spdx("isc")),
-    ("zlib", _spdx("zlib")),
-    ("unlicense", _spdx("unlicense")),
-    ("cc0", _spdx("cc0 1 0")),
-    ("cc-by-4.0", _spdx("cc by 4 0")),
-    ("cc-by-sa", _spdx("cc by sa 4 0")),
-    ("cc-by-nc", _spdx("cc by nc 4 0|cc by nc sa 4 0|cc by nc nd 4 0")),
+    *((label, _spdx(label)) for label in IDENTIFIERS),
     # Titles of whole texts
     ("mit", "the mit license mit"),
     ("apache-2.0", "apache license version 2 0 january 2004"),
@@ -274,7 +279,11 @@ def scan(text: str | None, templates: tuple[tuple[str, str], ...] = TEMPLATES) -
             if tuple(words[i : i + len(p)]) == p:
                 base.append((i, i + len(p), label))
         if words[i] in auto.first:
-            spans += [(i, end, label) for label, end in auto.matches(words, i).items()]
+            found = auto.matches(words, i)
+            # ``mit`` in ``mit 0`` is no identifier.
+            if found.get("mit-0") == found.get("mit", -1) + 1 and not any(words[k] == b"mit" and words[k + 1] != b"0" for k in range(i, found["mit"])):
+                del found["mit"]
+            spans += [(i, end, label) for label, end in found.items()]
     covered = reach = 0
     for i, end, _ in sorted(base + spans):
         covered, reach = covered + max(0, end - max(i, reach)), max(reach, end)

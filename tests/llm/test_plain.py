@@ -128,6 +128,17 @@ def test_texts_as_they_stand():
     assert found("I like the MIT and its license, version 2.0 of the public domain.") == [""]
 
 
+def test_headers_of_any_program_and_expressions():
+    found = lambda t: licenses.scan(t)[5].split(",")
+    header = "Foo Bar is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    assert found(header) == ["gpl", "gpl-3.0"] and found(header.replace("redistribute", "use")) == ["gpl"]
+    line = "// SPDX-License-Identifier: "
+    assert found(line + "MIT-0") == ["mit-0"]
+    assert found(line + "(MIT OR Apache-2.0)") == ["apache-2.0", "mit"] and found(line + "MIT OR MIT-0") == ["mit", "mit-0"]
+    assert found(line + "GPL-2.0-only WITH Classpath-exception-2.0 AND (BSL-1.0 OR 0BSD)") == ["0bsd", "boost", "gpl-2.0"]
+    assert found(line + "LicenseRef-x OR MIT") == [""]
+
+
 def test_base_columns_by_brute_force():
     r = random.Random(13)
     bits = ["cc", "CC", "by", "By", " ", "-", "\n", "general", "Public", "license", "LICENSE", "all", "rights", "reserved", "é", "x1", ". ", "_", "\u00a0", "\x7f"]
