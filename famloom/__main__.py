@@ -11,6 +11,7 @@ from famloom import __version__
 from famloom.config import MODES, Config
 from famloom.operators.graph import clean
 from famloom.plans.pipeline import run, stage_counts
+from famloom.ship import ship
 from famloom.sources.alignments import read_blast, read_dictionary, read_msps
 from famloom.sources.reports import snapshot, write_reports
 
@@ -30,6 +31,7 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     logging.basicConfig(level=args.log_level)
     spark = SparkSession.builder.appName("famloom").getOrCreate()
+    ship(spark)
     read = read_blast if args.format == "blast" else read_msps
     msps = read(spark, args.alignments, read_dictionary(spark, args.seqnames))
     result = run(msps, Config(mode=args.mode, method=args.method, cutoff=args.cutoff), args.stages)
