@@ -1,4 +1,4 @@
-"""Ranks in a balanced tree, place by place."""
+"""Plain versions of rules on trees and graphs."""
 
 
 def tree_place(place: int, n: int) -> tuple[int, int]:
@@ -13,3 +13,21 @@ def tree_place(place: int, n: int) -> tuple[int, int]:
             pre, hi = pre + 1, mid - 1
         else:
             pre, post, lo = pre + 1 + left, post + left, mid + 1
+
+
+def least_reaching(links: list[tuple[int, int]], directed: bool) -> dict[int, int]:
+    """The smallest node that reaches each node with a link to another: seeds in ascending order take all they reach."""
+    after: dict[int, set[int]] = {}
+    for u, v in links:
+        if u != v:
+            after.setdefault(u, set()).add(v)
+            after.setdefault(v, set()).update(() if directed else (u,))
+    root: dict[int, int] = {}
+    for s in sorted(after):
+        todo = [s]
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = s
+                todo += after[x]
+    return root

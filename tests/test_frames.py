@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from places import tree_place
+from places import least_reaching, tree_place
 from famloom.operators import edges, families
 from famloom.operators.boundaries import interior, merged, merge_points, snapped
 from famloom.sources import alignments, reports, store
@@ -148,19 +148,7 @@ def test_reachability_by_brute_force(spark, directed):
     r = random.Random(3)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
     links += [(v, u) for u, v in links[:25]] + links[:5] + [(129, 128), (128, 127), (126, 127), (125, 129), (120, 125)]
-    after = {i: set() for i in range(130)}
-    for u, v in links:
-        after[u].add(v)
-        if not directed:
-            after[v].add(u)
-    want = {}
-    for s in sorted(after):
-        todo = [s]
-        while todo:
-            x = todo.pop()
-            if x not in want:
-                want[x] = s
-                todo += after[x]
+    want = {i: i for i in range(130)} | least_reaching(links, directed)
     nodes, frame = spark.createDataFrame([(i,) for i in range(130)], "node long"), spark.createDataFrame(links, "u long, v long")
     assert {x.node: x.root for x in least_ancestors(nodes, frame, directed).collect()} == want
     assert {x.node: x.root for x in least_ancestors(nodes, frame.limit(0), directed).collect()} == {i: i for i in range(130)}
@@ -329,12 +317,12 @@ def test_running_sums_and_scratch(spark):
 
 
 def test_components_in_rounds(spark):
-    from famloom.operators.graph import _solve, components
+    from famloom.operators.graph import components
 
     r = random.Random(11)
     links = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(200, 200 + k) for k in range(1, 60)] + [(300 + k, 301 + k) for k in range(40)]
     got = {x.node: x.root for x in components(spark.createDataFrame(links, "u long, v long")).collect()}
-    assert got == _solve([x for x in links if x[0] != x[1]], False)
+    assert got == least_reaching(links, False)
 
 
 def test_overlaps_are_found_in_bins_however_heavy(spark):
