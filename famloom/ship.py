@@ -10,11 +10,18 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+_shipped: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of ``spark``, from wherever the driver was started.
+    """Send this package to the Python workers of ``spark``, once an application, from wherever the driver was started.
 
     Not needed where it is installed on the executors or was given to spark-submit.
     """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
     here = os.path.dirname(os.path.abspath(__file__))
     # Executors fetch it from the driver whenever they start, so it stays as long as the driver runs.
     folder = tempfile.mkdtemp(prefix="famloom-")
