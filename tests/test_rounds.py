@@ -61,9 +61,9 @@ def _told(refined):
     return elements, edges, images
 
 
-@pytest.mark.parametrize(("seed", "chain", "largest"), [(1, False, 100_000), (2, True, 30)])
+@pytest.mark.parametrize(("seed", "chain", "largest"), [(1, False, 100_000), (2, True, 40)])
 def test_rounds_give_what_one_run_gives(spark, seed, chain, largest):
-    bells, extents = _stage_one(spark, _msps(seed, 90, chain))
+    bells, extents = _stage_one(spark, _msps(seed, chain=chain))
     elements, edges, images = _everything_at_once(bells, extents)
     got = _told(rounds.refine(bells, extents, largest=largest))
     assert got[0] == elements and got[1] == edges
@@ -136,7 +136,7 @@ def test_a_part_that_came_too_late_starts_anew(spark, monkeypatch):
 def test_a_run_goes_on_behind_its_last_round(spark, tmp_path, monkeypatch):
     from famloom.plans import pipeline
 
-    msps = spark.createDataFrame(_msps(2, 90, True), MSPS)
+    msps = spark.createDataFrame(_msps(2, chain=True), MSPS)
     real, made = rounds._round, []
 
     def failing(state, config, largest):
@@ -147,10 +147,10 @@ def test_a_run_goes_on_behind_its_last_round(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(rounds, "_round", failing)
     with pytest.raises(RuntimeError):
-        pipeline.run(msps, folder=str(tmp_path / "a"), largest=30)
+        pipeline.run(msps, folder=str(tmp_path / "a"), largest=40)
     assert len(made) == 2 and (tmp_path / "a" / "round-1" / "_SUCCESS").exists()
     members = lambda r: sorted(map(tuple, r.members.collect()))
-    again = members(pipeline.run(msps, folder=str(tmp_path / "a"), largest=30))
+    again = members(pipeline.run(msps, folder=str(tmp_path / "a"), largest=40))
     after = len(made)
     monkeypatch.setattr(rounds, "_round", real)
     assert again == members(pipeline.run(msps)) and after > 2
