@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 
@@ -145,38 +148,105 @@ def _walked(edges: DataFrame) -> DataFrame:
             return labels.select("node", "root")
 
 
+#: Edges of a range partition of a local pass; as many in all are finished by one task.
+RANGE = 250_000
+
+
+def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node that each is connected with) of edges (u, v) held in memory."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return nodes, nodes[root]
+
+
+def _range_roots(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if len(b)]
+    if held:
+        nodes, roots = local_roots(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
+
+
+def _contracted(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
+    """(labels, edges between labels, their number): the components inside ranges of the ``n`` edges, each range in one task.
+
+    A node of several ranges takes the smallest of its roots, and edges between its roots are left.
+    """
+    ranges = -(-n // RANGE)
+    dealt = edges.select("u", "v").coalesce(1) if ranges == 1 else edges.select("u", "v").repartitionByRange(ranges, "u", "v")
+    found = written(dealt.mapInArrow(_range_roots, "node long, root long"), "ranges")
+    if ranges == 1:
+        return found, None, 0
+    labels = written(found.groupBy("node").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")), "labels")
+    forget(found)
+    between = labels.where(F.size("roots") > 1).select(F.col("root").alias("u"), F.explode("roots").alias("v")).where("u != v").distinct()
+    count = Observation()
+    left = written(between.observe(count, F.count(F.lit(1)).alias("n")), "edges")
+    return labels, left, count.get["n"]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component, for nodes with edges (u, v).
 
-    Each round every node hooks to its smallest neighbour if that is smaller,
-    chains are cut short by pointer jumping, and edges are drawn anew between
-    roots; a round at least halves the nodes that are left but for local minima,
-    and finished components have no edges left.  Joins are by sort and merge, so
-    that adaptive execution may split the label of a giant component, and nothing
-    that grows is broadcast.  Tables of past rounds are removed.
+    First every range of the edges is contracted by a task of its own; what is
+    left are edges between the roots of a node that lies in several ranges, and
+    few enough are finished by one task.  Where ranges do not contract, a round
+    of joins follows (see _hooked), so that each round halves the edges or the
+    nodes that are left but for local minima.  Joins are by sort and merge, so that
+    adaptive execution may split the label of a giant component, and nothing that
+    grows is broadcast.  Tables of past rounds are removed.
     """
-    edges = written(edges.where("u != v").select("u", "v"), "edges")
-    labels = written(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("root", F.col("node")), "labels")
-    while edges.limit(1).count():
-        both = edges.union(edges.select("v", "u"))
-        hooks = written(both.groupBy("u").agg(F.min("v").alias("to")).select(F.col("u").alias("node"), F.least("u", "to").alias("to")), "hooks")
-        while True:
-            # Twice before it is written: to the hook of a hook's hook.
-            jump = hooks.select(F.col("node").alias("to"), F.col("to").alias("further")).hint("merge")
-            again = jump.select(F.col("to").alias("further"), F.col("further").alias("last"))
-            after = hooks.join(jump, "to", "left").join(again, "further", "left").select("node", F.coalesce("last", "further", "to").alias("to"), (F.coalesce("last", "further", "to") != F.col("to")).alias("moved"))
-            moved, old = Observation(), hooks
-            hooks = written(after.observe(moved, F.max("moved").alias("any")), "hooks")
-            more = moved.get["any"]
-            forget(old)
-            if not more:
-                break
-        step, old = hooks.select(F.col("node").alias("root"), "to").hint("merge"), labels
-        labels = written(labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+    count = Observation()
+    edges = edges.where("u != v").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    edges = written(edges.observe(count, F.count(F.lit(1)).alias("n")), "edges")
+    n, labels = count.get["n"], None
+    while n or labels is None:
+        found, left, after = _contracted(edges, max(n, 1))
+        labels, old = _relabelled(labels, found), edges
         forget(old)
-        a, b = hooks.select(F.col("node").alias("u"), F.col("to").alias("u2")).hint("merge"), hooks.select(F.col("node").alias("v"), F.col("to").alias("v2")).hint("merge")
-        drawn, old = edges.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("u2", "u").alias("u"), F.coalesce("v2", "v").alias("v")), edges
-        edges = written(drawn.where("u != v").distinct(), "edges")
-        forget(old, hooks)
+        if 2 * after > n:
+            hooks, joined, after = _hooked(left)
+            labels = _relabelled(labels, hooks)
+            forget(left)
+            left = joined
+        edges, n = left, after
     forget(edges)
-    return labels
+    return labels.select("node", "root")
+
+
+def _relabelled(labels: DataFrame | None, step: DataFrame) -> DataFrame:
+    """``labels`` followed by ``step`` (node, root), which is removed."""
+    if labels is None:
+        return step
+    out = written(labels.join(step.select(F.col("node").alias("root"), F.col("root").alias("to")).hint("merge"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+    forget(labels, step)
+    return out
+
+
+def _hooked(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(labels, edges between labels, their number) of a round over all edges: every node hooks to its smallest neighbour if that is smaller, and chains are cut short by pointer jumping."""
+    both = edges.union(edges.select("v", "u"))
+    hooks = written(both.groupBy("u").agg(F.min("v").alias("to")).select(F.col("u").alias("node"), F.least("u", "to").alias("to")), "hooks")
+    while True:
+        # Twice before it is written: to the hook of a hook's hook.
+        jump = hooks.select(F.col("node").alias("to"), F.col("to").alias("further")).hint("merge")
+        again = jump.select(F.col("to").alias("further"), F.col("further").alias("last"))
+        after = hooks.join(jump, "to", "left").join(again, "further", "left").select("node", F.coalesce("last", "further", "to").alias("to"), (F.coalesce("last", "further", "to") != F.col("to")).alias("moved"))
+        moved, old = Observation(), hooks
+        hooks = written(after.observe(moved, F.max("moved").alias("any")), "hooks")
+        more = moved.get["any"]
+        forget(old)
+        if not more:
+            break
+    a, b = hooks.select(F.col("node").alias("u"), F.col("to").alias("u2")).hint("merge"), hooks.select(F.col("node").alias("v"), F.col("to").alias("v2")).hint("merge")
+    drawn = edges.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("u2", "u").alias("u"), F.coalesce("v2", "v").alias("v")).where("u != v").distinct()
+    count = Observation()
+    left = written(drawn.observe(count, F.count(F.lit(1)).alias("n")), "edges")
+    out = hooks.withColumnRenamed("to", "root")
+    out.written_at = hooks.written_at
+    return out, left, count.get["n"]

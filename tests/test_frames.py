@@ -325,6 +325,32 @@ def test_components_in_rounds(spark):
     assert got == least_reaching(links, False)
 
 
+def test_components_contract_ranges_first(spark, monkeypatch):
+    from famloom.operators import graph
+
+    r = random.Random(12)
+    chain = [(k, k + 1) for k in range(400)]
+    links = chain + [(1000 + r.randrange(90), 1000 + r.randrange(90)) for _ in range(80)] + [(2000, 2000 + k) for k in range(1, 50)]
+    monkeypatch.setattr(graph, "RANGE", 40)
+    seen, real = [], graph._hooked
+    monkeypatch.setattr(graph, "_hooked", lambda e: seen.append(1) or real(e))
+    frame = spark.createDataFrame(links, "u long, v long")
+    assert {x.node: x.root for x in graph.components(frame).collect()} == least_reaching(links, False)
+    # A chain lies in its ranges: no round of joins is needed.
+    seen.clear()
+    assert {x.root for x in graph.components(spark.createDataFrame(chain, "u long, v long")).collect()} == {0} and not seen
+
+
+def test_queries_make_islands_once(spark, monkeypatch):
+    from famloom.operators import elements
+    from famloom.plans import queries
+
+    made, real = [], elements.islands
+    monkeypatch.setattr(elements, "islands", lambda *a, **k: made.append(1) or real(*a, **k))
+    queries.filtered_edges(spark, "/root/testdata/sf0.001")
+    assert made == [1]
+
+
 def test_overlaps_are_found_in_bins_however_heavy(spark):
     import random
 
