@@ -5,43 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from famloom.functions.intervals import f32, full_length, ratio
+from famloom.operators.graph import written
 
 
 def paired(bells: DataFrame, extents: DataFrame, cutoff: float = 0.9, slack: int = 10) -> DataFrame:
     """Images of different elements with both elements' extents and whether the image, or its partner, is full length (full, p_full)."""
     own = extents.select("ele_id", F.col("lb").alias("e_lb"), F.col("rb").alias("e_rb"))
     other = extents.select(F.col("ele_id").alias("p_ele"), F.col("lb").alias("pe_lb"), F.col("rb").alias("pe_rb"))
-    both = bells.where("ele_id != p_ele").join(own, "ele_id").join(other, "p_ele")
+    return with_full_length(bells.where("ele_id != p_ele").join(own, "ele_id").join(other, "p_ele"), cutoff, slack)
+
+
+def with_full_length(both: DataFrame, cutoff: float = 0.9, slack: int = 10) -> DataFrame:
+    """Images that hold both elements' extents (e_lb, e_rb, pe_lb, pe_rb) with full and p_full."""
     return both.withColumn("full", full_length(F.col("lb"), F.col("rb"), F.col("e_lb"), F.col("e_rb"), cutoff, slack)).withColumn("p_full", full_length(F.col("p_lb"), F.col("p_rb"), F.col("pe_lb"), F.col("pe_rb"), cutoff, slack))
 
 
-def best_primary(pairs: DataFrame) -> DataFrame:
-    """(ele_id, p_ele, img_id, score, direction): the winner of each pair's full-length images.
+def _won(pairs: DataFrame) -> DataFrame:
+    """(ele_id, p_ele, won) of each pair: its winner's score, direction, lb, rb and img_id, null without a full-length image.
 
     In order of direction, lb and rb an image replaces the winner if its identity
     is over the winner's cut to a whole number.  So with the greatest whole number
     M: the last image whose identity is over M, or else the first of exactly M.
+    One aggregation finds either; no order inside a pair is kept.
     """
-    whole = F.floor("iden").cast("int")
-    full = pairs.where("full or p_full").withColumn("m", whole)
-    place = F.struct("direction", "lb", "rb", "img_id")
-    top = full.withColumn("top", F.max("m").over(Window.partitionBy("ele_id", "p_ele"))).where("m = top")
-    over = F.col("iden") > F.col("m")
-    # Either comes from one aggregation: no order inside a pair is kept.
-    out = top.groupBy("ele_id", "p_ele").agg(F.max(F.when(over, place)).alias("a"), F.min(F.when(~over, place)).alias("b"), F.max("top").alias("score"))
-    won = F.coalesce("a", "b")
-    return out.select("ele_id", "p_ele", won["img_id"].alias("img_id"), "score", won["direction"].alias("direction"))
+    whole, names = F.floor("iden").cast("int"), ("direction", "lb", "rb", "img_id")
+    place = lambda sign: F.struct(whole.alias("score"), *((F.col(c) * sign).alias(c) for c in names))
+    full, over = F.col("full") | F.col("p_full"), F.col("iden") > whole
+    found = pairs.groupBy("ele_id", "p_ele").agg(F.max(F.when(full & over, place(1))).alias("a"), F.max(F.when(full & ~over, place(-1))).alias("b"))
+    first = F.struct(F.col("b.score").alias("score"), *((-F.col(f"b.{c}")).alias(c) for c in names))
+    last = F.col("a").isNotNull() & (F.col("b").isNull() | (F.col("a.score") >= F.col("b.score")))
+    return found.select("ele_id", "p_ele", F.when(last, F.col("a")).when(F.col("b").isNotNull(), first).alias("won"))
+
+
+def best_primary(pairs: DataFrame) -> DataFrame:
+    """(ele_id, p_ele, img_id, score, direction): the winner of each pair's full-length images."""
+    won = _won(pairs.where("full or p_full"))
+    return won.select("ele_id", "p_ele", "won.img_id", "won.score", "won.direction")
 
 
 def first_edges(pairs: DataFrame) -> DataFrame:
     """(ele1, ele2, type, score, direction) of each pair seen from its smaller element: p if an image is full length, else s with score and direction 0."""
-    mine = pairs.where("ele_id < p_ele")
-    every = mine.select("ele_id", "p_ele").distinct()
-    best = best_primary(mine).drop("img_id")
-    out = every.join(best, ["ele_id", "p_ele"], "left")
-    return out.select(
-        F.col("ele_id").alias("ele1"), F.col("p_ele").alias("ele2"), F.when(F.col("score").isNull(), "s").otherwise("p").alias("type"),
-        F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("direction", F.lit(0)).alias("direction"),
+    score, direction = F.col("won.score"), F.col("won.direction")
+    return _won(pairs.where("ele_id < p_ele")).select(
+        F.col("ele_id").alias("ele1"), F.col("p_ele").alias("ele2"), F.when(score.isNull(), "s").otherwise("p").alias("type"),
+        F.coalesce(score, F.lit(0)).alias("score"), F.coalesce(direction, F.lit(0)).alias("direction"),
     )
 
 
@@ -86,13 +93,15 @@ def partial_filter(edges: DataFrame, extents: DataFrame, limit: float = 0.7) ->
     q = ranked.where(F.col("type").isin("p", "S") & short)
     top = q.withColumn("most", F.max("score").over(Window.partitionBy("owner")))
     top = top.withColumns({"ties": F.sum((F.col("score") == F.col("most")).cast("int")).over(Window.partitionBy("owner"))})
+    # Read three times.
+    top = written(top.select("owner", "edge_id", "score", "most", "ties", "r", "n"), "partial")
     sure = top.where("ties = 1 and score = most").select("owner", "edge_id")
     tied = top.where("ties > 1").withColumn("t", tree_places(F.col("r"), F.col("n")))
     head = Window.partitionBy("owner").orderBy("t.pre")
     tied = tied.withColumn("is_first", F.row_number().over(head) == 1).where("score = most")
     chosen = tied.groupBy("owner").agg(F.coalesce(F.max(F.when(F.col("is_first"), F.col("edge_id"))), F.min_by("edge_id", "t.post")).alias("edge_id"))
     kept = sure.unionByName(chosen).select(F.col("edge_id").alias("__kept")).distinct()
-    shorts = q.select(F.col("owner").alias("__o")).distinct()
+    shorts = top.select(F.col("owner").alias("__o")).distinct()
     out = edges.join(kept, F.col("edge_id") == F.col("__kept"), "left")
     for end in ("ele1", "ele2"):
         out = out.join(shorts.withColumn(f"__{end}", F.lit(True)).withColumnRenamed("__o", f"__o_{end}"), F.col(end) == F.col(f"__o_{end}"), "left")
