@@ -117,6 +117,49 @@ def test_blast_reports(spark):
     assert [(r.score, int(r.iden), r.q_start, r.q_end, r.q_seq, r.s_start, r.s_end, r.s_seq) for r in got] == [(150, 90, 1, 100, "a", 5, 104, "b"), (20, 50, 7, 9, "a", 3, 1, "b")]
 
 
+def _report_records(texts):
+    """Records of one report, a line after another: [score, subject, query, pairs of numbers]."""
+    import re
+
+    out, query, subject, now = [], None, None, None
+    for x in texts:
+        if m := re.match(r"Query=\s+(\S+)", x):
+            query = m[1]
+        if m := re.match(r">(\S+)", x):
+            subject = m[1]
+        if now and (x.startswith("Parameters:") or "Score =" in x):
+            out.append(now)
+            now = None
+        if m := re.match(r"\s+Score =\s*(\S+)", x):
+            now = {"score": int(m[1]), "s": subject}
+        if now:
+            now["q"] = query
+            if m := re.match(r"\s+Identities =\s+(\d+)/(\d+)", x):
+                now["iden"] = int(int(m[1]) / int(m[2]) * 100)
+            if m := re.match(r"(Query|Sbjct):\s+(\d+)\s+\S+\s+(\d+)", x):
+                now.setdefault(m[1] + "0", int(m[2]))
+                now[m[1] + "1"] = int(m[3])
+    return [(r["score"], r["iden"], r["Query0"], r["Query1"], r["q"], r["Sbjct0"], r["Sbjct1"], r["s"]) for r in out]
+
+
+def test_blast_reports_in_blocks(spark):
+    """Records, queries and subjects go on over the borders of blocks."""
+    rng, texts = random.Random(5), []
+    for f in range(3):
+        lines = []
+        for k in range(60):
+            lines += [f"Query= q{k}"] * (rng.random() < 0.4 or not k) + [f">s{k} x", ""] * (rng.random() < 0.6 or not k)
+            lines += [f"  Score = {k + 1} (9 bits)", "", f" Identities = {rng.randint(50, 99)}/100"]
+            for j in range(rng.choice((1, 2, 9))):
+                lines += [f"Query: {k + 60 * j} acgt {k + 60 * j + 59}", "", f"Sbjct: {900 - 60 * j} acgt {841 - 60 * j}"]
+            lines += ["Parameters:", "noise"] * (rng.random() < 0.3)
+        texts.append(lines)
+    df = spark.createDataFrame([(f, i, t) for f, x in enumerate(texts) for i, t in enumerate(x)], "file int, n long, value string")
+    for block in (1, 4, 14):
+        got = alignments.blast_to_msps(df, block=block).sort("file", "n").collect()
+        assert [(r.score, int(r.iden), r.q_start, r.q_end, r.q_seq, r.s_start, r.s_end, r.s_seq) for r in got] == [r for x in texts for r in _report_records(x)]
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "s"), "k")
     s.write(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
