@@ -137,8 +137,14 @@ def family_images(members: DataFrame, images: DataFrame, partner_of: DataFrame)
 
 def run_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of either run that the other has not, repeats counted, with ``side``."""
-    one, two = left.exceptAll(right), right.exceptAll(left)
-    return one.withColumn("side", F.lit("left")).unionByName(two.withColumn("side", F.lit("right")))
+    return counted_diff(left.withColumn("__by", F.lit(1)).union(right.withColumn("__by", F.lit(-1))))
+
+
+def counted_diff(rows: DataFrame) -> DataFrame:
+    """``run_diff`` of two runs in one table, whose ``__by`` is 1 for the left and -1 for the right one: one aggregation nets them."""
+    names = [c for c in rows.columns if c != "__by"]
+    net = rows.groupBy(*names).agg(F.sum("__by").cast("int").alias("__by")).where("__by != 0")
+    return net.select(*names, F.explode(F.array_repeat(F.when(F.col("__by") > 0, "left").otherwise("right"), F.abs("__by"))).alias("side"))
 
 
 def compare_runs(spark: SparkSession, left: dict[str, DataFrame], right: dict[str, DataFrame]) -> DataFrame:

@@ -160,6 +160,15 @@ def test_blast_reports_in_blocks(spark):
         assert [(r.score, int(r.iden), r.q_start, r.q_end, r.q_seq, r.s_start, r.s_end, r.s_seq) for r in got] == [r for x in texts for r in _report_records(x)]
 
 
+def test_run_diff_counts_repeats_in_one_aggregation(spark):
+    one = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, None), (3, "c")], "k int, v string")
+    two = spark.createDataFrame([(1, "a"), (2, None), (3, "d"), (3, "d")], "k int, v string")
+    out = reports.run_diff(one, two)
+    assert sorted(map(tuple, out.collect())) == [(1, "a", "left"), (1, "a", "left"), (3, "c", "left"), (3, "d", "right"), (3, "d", "right")]
+    # Either run is read once.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "s"), "k")
     s.write(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
