@@ -192,10 +192,24 @@ def best_chain(segments: list[Segment], box: tuple[int, int, int, int], loose: n
     tree.  It covers the lengths of its segments, and misses a stretch before,
     between or behind them where both sides skip more than ``gap``.
     """
-    order, rules = Order(segments, loose), _Rules(box, full, gap, shortfall)
+    rules = _Rules(box, full, gap, shortfall)
+    if len(segments) == 1 and segments[0].x1 > segments[0].x0 and segments[0].y1 > segments[0].y0:
+        return _alone(segments[0], rules)
+    order = Order(segments, loose)
     return _Frontier(order, segments, rules).best() if order.transitive else _by_paths(order, segments, rules)
 
 
+def _alone(s: Segment, rules: _Rules) -> Chain:
+    """The chain of one segment that has a length, by the sums of _Frontier: most pairs have no more."""
+    x0, x1, y0, y1 = rules.box
+    before, behind = rules.missed(x0, y0, s.x0, s.y0), rules.missed(s.x1, s.y1, x1, y1)
+    size, missed = (s.x1 - s.x0, s.y1 - s.y0), (before[0] + behind[0], before[1] + behind[1])
+    p, q = float(rules.full).as_integer_ratio()
+    if min(missed) >= rules.shortfall or not any(n * (q - p) > m * p for n, m in zip(size, missed, strict=True)):
+        return Chain(False, 0, set())
+    return Chain(True, 2 * (int(s.iden) * sum(size) // 2) // sum(size), {0})
+
+
 class _Frontier:
     """Chains by the sums that paths can have at each segment, instead of by paths.
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
 from famloom.config import Config
 from famloom.functions.segments import Segment, tree
+from famloom.operators.graph import written
 from famloom.operators.groups import map_groups
 from famloom.operators.refine import Alignment, Element, Refiner
 
+#: Images that one task searches, on average.
+SHARE = 50_000
+
 _SCHEMA = T.StructType(
     [T.StructField("ele_id", T.LongType()), T.StructField("p_ele", T.LongType()), T.StructField("is_primary", T.BooleanType()), T.StructField("score", T.IntegerType()), T.StructField("direction", T.IntegerType()), T.StructField("n_marked", T.LongType())]
 )
@@ -32,7 +36,10 @@ def chain_primaries(pairs: DataFrame, config: Config = Config()) -> DataFrame:
     ``pairs``: images of pairs without full-length ones, with both extents (see ``paired``).
     """
     rows = pairs.select("ele_id", "p_ele", "direction", "lb", "rb", "img_id", "p_lb", "p_rb", "iden", "e_lb", "e_rb", "pe_lb", "pe_rb")
-    return map_groups(rows, ["ele_id", "p_ele"], ["direction", "lb", "rb", "img_id"], _pair(config), _SCHEMA)
+    # Written and counted, as the number of tasks follows the rows, whatever the session's partitions are.
+    count = Observation()
+    rows = written(rows.observe(count, F.count(F.lit(1)).alias("n")), "partial")
+    return map_groups(rows, ["ele_id", "p_ele"], ["direction", "lb", "rb", "img_id"], _pair(config), _SCHEMA, -(-count.get["n"] // SHARE))
 
 
 def tree_text(segments: list[Segment], config: Config = Config()) -> str:  # noqa: B008

@@ -11,9 +11,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def map_groups(df: DataFrame, keys: list[str], order: list, fn: Callable[[list[dict]], Iterable[tuple]], schema: StructType) -> DataFrame:
-    """``fn`` of each group's rows, sorted by ``order``; a task holds one group at a time besides its batch."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def map_groups(df: DataFrame, keys: list[str], order: list, fn: Callable[[list[dict]], Iterable[tuple]], schema: StructType, tasks: int = 1) -> DataFrame:
+    """``fn`` of each group's rows, sorted by ``order``, in ``tasks`` tasks at least; a task holds one group at a time besides its batch."""
+    n = max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     arrow, names = to_arrow_schema(schema), df.columns
     at = [names.index(k) for k in keys]
 

@@ -291,3 +291,28 @@ def test_config_is_checked():
     with pytest.raises(ValueError):
         Config(mode="other")
     assert Config(method="double").coverage == 0.9
+
+
+def test_one_segment_needs_no_search():
+    """The sums of one segment alone are those of the search, which a pair of one image no longer goes through."""
+    from famloom.functions import segments as s
+
+    rng, found = random.Random(3), 0
+    for _ in range(3000):
+        x0, y0 = rng.randint(0, 60), rng.randint(0, 60)
+        x1, y1 = x0 + rng.randint(1, 400), y0 + rng.randint(1, 400)
+        box = (0, x1 + rng.randint(-5, 60), 0, y1 + rng.randint(-5, 60))
+        one, rules = [Segment(x0, x1, y0, y1, rng.uniform(0, 100))], s._Rules(box, FULL, 10, 30)
+        want = s._Frontier(s.Order(one, LOOSE), one, rules).best()
+        assert s._alone(one[0], rules) == want
+        found += want.found
+    assert 100 < found < 2900
+
+
+def test_tasks_of_chains_follow_the_rows(spark, monkeypatch):
+    from famloom.operators import chains
+
+    monkeypatch.setattr(chains, "SHARE", 2)
+    names = "ele_id long, p_ele long, direction int, lb int, rb int, img_id long, p_lb int, p_rb int, iden float, e_lb int, e_rb int, pe_lb int, pe_rb int"
+    out = chains.chain_primaries(spark.createDataFrame([(k, k + 1, 1, 1, 90, k, 1, 90, 80.0, 1, 100, 1, 100) for k in range(20)], names))
+    assert out.rdd.getNumPartitions() == 10 and {(r.is_primary, r.score, r.n_marked) for r in out.collect()} == {(True, 80, 1)}
