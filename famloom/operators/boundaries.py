@@ -147,7 +147,10 @@ def split_images(bells: DataFrame, bounds: DataFrame, short: int = 30) -> DataFr
     ``bells``: img_id, ele_id, lb, rb, p_lb, p_rb, direction, score.
     """
     cuts = bounds.groupBy("ele_id").agg(F.sort_array(F.collect_list(F.col("bd").cast("int"))).alias("cuts"))
-    rows = bells.join(cuts, "ele_id").select("img_id", "ele_id", "lb", "rb", "p_lb", "p_rb", "direction", "score", "cuts")
+    # A cut elsewhere does nothing to an image, as it only shrinks: an image that no cut meets is one part, or too short.
+    rows = bells.join(cuts, "ele_id").withColumn("cuts", F.filter("cuts", lambda x: (x > F.col("lb")) & (x < F.col("rb"))))
+    rows = rows.select("img_id", "ele_id", "lb", "rb", "p_lb", "p_rb", "direction", "score", "cuts", (F.size("cuts") > 0).alias("met"))
+    rows = rows.where(F.col("met") | ((F.col("rb") - F.col("lb") > short) & (F.col("p_rb") - F.col("p_lb") > short))).drop("met")
 
     def run(row: tuple) -> list[tuple]:
         img, ele, lb, rb, p_lb, p_rb, direction, score, at = row

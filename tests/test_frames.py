@@ -180,6 +180,20 @@ def test_partners_meet_in_one_shuffle(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_images_without_cuts_bring_no_cuts_along(spark, monkeypatch):
+    """Only cuts inside an image reach its rule, and an image that is short as it is does not."""
+    from famloom.operators import boundaries
+
+    seen = boundaries.map_rows
+    monkeypatch.setattr(boundaries, "map_rows", lambda rows, run, types: rows)
+    rows = [(0, 1, 10, 200, 10, 200, 1, 9), (1, 1, 210, 300, 5, 95, -1, 9), (2, 1, 290, 310, 5, 95, 1, 9), (3, 1, 301, 400, 5, 20, 1, 9), (4, 2, 1, 9, 1, 9, 1, 9)]
+    bells = spark.createDataFrame(rows, "img_id long, ele_id long, lb int, rb int, p_lb int, p_rb int, direction int, score int")
+    bounds = spark.createDataFrame([(1, b, 1) for b in (100, 205, 300)], "ele_id long, bd int, support int")
+    assert sorted((r.img_id, r.cuts) for r in boundaries.split_images(bells, bounds).collect()) == [(0, [100]), (1, []), (2, [300])]
+    monkeypatch.setattr(boundaries, "map_rows", seen)
+    assert sorted((r.img_id, r.part, r.lb, r.rb) for r in boundaries.split_images(bells, bounds).collect()) == [(0, 0, 10, 100), (0, 1, 101, 200), (1, 0, 210, 300)]
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "s"), "k")
     s.write(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
