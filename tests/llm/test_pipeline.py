@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from famloom.llm import jaccard, mixing, pii
 
@@ -65,6 +66,27 @@ def test_a_large_group_of_near_copies(make, monkeypatch):
     assert jaccard.groups(make([])).count() == 0
 
 
+def test_a_pair_is_made_in_few_of_its_buckets(spark, make):
+    # Near copies on both sides of 0.8 (two draws of changed words): each pair shares a hundred prefix shingles or so.
+    r, base = random.Random(6), [f"b{i}" for i in range(1500)]
+    texts = []
+    for j in range(30):
+        t = list(base)
+        for k in r.sample(range(1500), 15 + j % 3 * 5):
+            t[k] = f"x{k}y{j}"
+        texts.append(" ".join(t))
+    rows = jaccard.indexed(make(list(enumerate(texts))))
+    infos = rows.select("id", "n", *(f"p{i}" for i in range(jaccard.WORDS)))
+    full = jaccard.bucketed(rows).join(infos, "id").withColumn("root", F.col("id"))
+    every = jaccard.dealt_pairs(full, ["token"], "id").where(jaccard._possible("{}", "{}2"))
+    made = jaccard.across(full)
+    assert 10 * made.count() < every.count()
+    ids = [jaccard._id(jaccard.shingles(t)) for t in texts]
+    sets = [_shingles(t) for t in texts]
+    links = {tuple(sorted((ids[i], ids[j]))) for i in range(30) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert links and links <= {(x.u, x.v) for x in made.distinct().collect()}
+
+
 def test_near_dedup_finds_near_copies(spark, make):
     import corpus_pipeline
 
