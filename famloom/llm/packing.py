@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -45,12 +46,14 @@ CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers.
 MEMORY = 600_000
-#: Signs after a (Latin) letter at the end of a word: the tokenizer cuts between them in any case.
-_CLOSED = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])[!-&(-/:;=-@\\[-`{-~]+\\Z")
+#: Letters that normalising does nothing to but lower-case, as they stand alone (no marks) and their small letter does not depend on what follows.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: Such letters, and signs after them: the tokenizer cuts between the two in any case.
+_WORD = re.compile(f"([{_LETTERS}]+)([!-&(-/:;=-@\\[-`{{-~]*)")
 #: Python's split() takes these for white space, the tokenizer does not.
 _NO_SPACE = re.compile("[\x1c-\x1f]")
 
-_memory: dict[str, tuple] = {}
+_memory: dict[str, "Words"] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -59,76 +62,69 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokenizer:
-    """Ids of whole texts under a tokenizer that drops white space and never joins what it separates.
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Words(dict):
+    """Ids (little-endian unsigned 32-bit) of words without white space, worked out when a word is first asked for.
 
-    Each run between white space is looked up in a bounded memory (as the bytes of
-    its ids), and what is not there is encoded: runs of letters together in one
-    call, told apart by their word numbers; plain ASCII letters by the model alone,
-    as normalising does nothing to them; all else by itself.
+    Words of plain letters go to the tokenizer's model alone, in lower case and in its alphabet of bytes; signs after them
+    are looked up apart; all else is encoded as a text.  What is put together from parts stays here only if its letters
+    were known before: most words come once.  Beyond ``MEMORY`` words it starts anew.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        small = {c for c in map(chr, range(0x80, 0x250)) if _WORD.fullmatch(c) for c in c.lower()}
+        self.alphabet = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in small}
+
+    def encode(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def __missing__(self, word: str) -> bytes:
+        parts = _WORD.fullmatch(word)
+        if not parts:
+            ids = self.encode(word)
+        else:
+            x, end = parts[1].lower(), parts[2]
+            if end or x != word:
+                known = x in self
+                ids = self[x] + self[end] if end else self[x]
+                if not known:
+                    return ids
+            else:
+                ids = _packed([t.id for t in self.model.tokenize(x if x.isascii() else x.translate(self.alphabet))])
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+class WordTokenizer:
+    """Ids of whole texts under a tokenizer that drops white space and never joins what it separates: each run between white space is looked up in ``Words``, which a worker keeps."""
+
+    def __init__(self, path: str):
         if path not in _memory:
-            whole = Tokenizer.from_file(path)
-            letters = Tokenizer(whole.model)
-            letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            _memory[path] = ({}, whole, letters)
-        self.words, self.model, self.letters = _memory[path]
+            _memory[path] = Words(path)
+        self.words = _memory[path]
 
     def _one(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _together(self, words: list[str], model) -> None:
-        """Learn words of letters from one call."""
-        got = model.encode(" ".join(words), add_special_tokens=False)
-        raw, numbers = np.array(got.ids, dtype="<u4").tobytes(), np.array(got.word_ids, dtype=np.int64)
-        at = (4 * np.flatnonzero(np.diff(numbers, prepend=-1))).tolist()
-        if len(at) == len(words):
-            self.words.update(zip(words, (raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
-        else:  # a letter that normalising turns into something else
-            self.words.update((w, self._one(w)) for w in words)
-
-    def _learn(self, new: set[str]) -> None:
-        cut = {}
-        for w in new:
-            if "<|" in w:  # it may hold a special token
-                cut[w] = (w, "")
-                continue
-            x = w.lower() if w.isascii() else w
-            end = _CLOSED.search(x)
-            cut[w] = (x[: end.start()], end[0]) if end else (x, "")
-        need = {x for pair in cut.values() for x in pair if x}.difference(self.words)
-        plain, other = [], []
-        for x in need:
-            if not x.isalpha():
-                self.words[x] = self._one(x)
-            elif x.isascii() and x.islower():
-                plain.append(x)
-            else:
-                other.append(x)
-        if plain:
-            self._together(plain, self.letters)
-        if other:
-            self._together(other, self.model)
-        for w, (x, end) in cut.items():
-            if end or x != w:
-                self.words[w] = self.words[x] + self.words[end] if end else self.words[x]
+        return self.words.encode(text)
 
     def raw(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if _NO_SPACE.search(text):
             return self._one(text)
-        words = text.split()
-        if new := set(words).difference(self.words):
-            if len(self.words) + 2 * len(new) > MEMORY:
-                self.words.clear()
-                new = set(words)
-            self._learn(new)
-        return b"".join(map(self.words.__getitem__, words))
+        if text.isascii() and "<|" not in text:  # else it may hold a special token, or what lower-casing would join
+            text = text.lower()
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -400,6 +400,27 @@ def test_tokens_are_those_of_the_tokenizer():
         assert np.frombuffer(mine.raw(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+def test_plain_words_go_to_the_model_alone_and_rare_ones_are_kept_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    whole, mine, asked = Tokenizer.from_file(path), packing.WordTokenizer(path), []
+    mine.words.clear()
+    real = packing.Words.encode
+    monkeypatch.setattr(packing.Words, "encode", lambda self, text: asked.append(text) or real(self, text))
+    latin = [c for c in map(chr, range(0xC0, 0x250)) if c not in "×÷İ" and c.lower() < "\u0250"]
+    words = [f"{a}{c}{b}" for c in latin for a in ("", "x", "E", "é") for b in ("", "n", "N", "Ö")]
+    texts = [" ".join(words), " ".join(f"{w}," for w in words), *(f"Rare{chr(97 + k % 26)}{chr(97 + k // 26)}. " for k in range(600))]
+    for text in texts:
+        assert np.frombuffer(mine.raw(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text[:80])
+    assert set(asked) == {",", "."}
+    assert sum(k.startswith("rare") for k in mine.words) == 600 and not any(k.lower().startswith("rare") and k[-1] == "." for k in mine.words)
+    mine.words.clear()
+    # The letters alone are special: neither a mark that joins the small letter, nor what would be a special token in small letters.
+    for text in ("H\u0331 h\u0331, H\u0331.", "<|ENDOFTEXT|> <|endoftext|> A<|endoftext|>B.", "İx Ix. ΑΣ ΑΣ, ẞ ﬁ K Å"):
+        assert np.frombuffer(mine.raw(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "MEMORY", 50)
     mine = packing.WordTokenizer(packing.tokenizer_path())
