@@ -13,6 +13,11 @@ of which none can see another that is due before it:
   stops at the first whose surroundings reach beyond its region; what is left is
   due in the next round.
 
+Where a large part is long and thin, as its elements are like others near them by
+number only, strips of it are tried first, a task each (see ``stripped``): strips
+overlap, and what two neighbours say of all turns at the border between them must
+be equal, which proves both.
+
 Turns that a region wakes may be due before turns that another region has run by
 then.  Each given element knows the last turn that reached it, so a turn that comes
 too late is noticed; its part then starts anew with one region a round, where no
@@ -29,9 +34,11 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterable
 from functools import reduce
+from hashlib import blake2b
 from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,6 +51,11 @@ from famloom.operators.refine import Alignment, Edge, Element, Refiner
 #: Alignments that a task may hold, but for what one turn alone reaches; it needs some 250 MB for each 100,000.
 LARGEST = 700_000
 
+#: Alignments of a strip, about; given elements whose numbers differ in the last SHIFT bits alone are a range, the unit of strips.
+STRIP, SHIFT = 60_000, 7
+#: Hops from the beginning of a strip to its first border, and from a border to the end of the strip before: how far what is cut off there may be felt.
+AHEAD, BEHIND = 72, 12
+
 #: One row a thing; o1 and o2 are the given elements that its one or two elements go back to.
 _COLUMNS = {
     "kind": "string", "part": "long", "o1": "long", "o2": "long", "key": "string", "ele": "string", "ele2": "string", "stat": "string", "turn": "string", "touched": "string", "fate": "string",
@@ -90,6 +102,8 @@ class _Region:
         self.turns: dict[Element, str] = {}
         self.touched: dict[int, str] = {}
         self.alignment_keys, self.edge_keys, self.late = [], [], None
+        self.own = next(((x["o1"], x["o2"]) for x in kinds["own"]), None)
+        self.borders = {x["lb"]: (x["o1"], x["o2"]) for x in kinds["border"]}
         by: dict[str, Element] = {}
         for k, x in enumerate(sorted(kinds["element"], key=lambda x: x["ele"])):
             e = by[x["ele"]] = Element(k, x["seq"], x["lb"], x["rb"], x["stat"], origin=x["o1"])
@@ -118,6 +132,16 @@ class _Region:
         for x in kinds["vote"]:
             by[x["ele"]].votes.append((x["lb"], by[x["ele2"]]))
         self.refiner.next_alignment, self.refiner.next_edge = len(self.alignment_keys), len(self.edge_keys)
+        #: What came of the given elements of borders, and what turns did to them; given elements whose turns may reach them.
+        self.lines: dict[int, list[Element]] = defaultdict(list)
+        self.traces: dict[int, bytes] = {}
+        if self.borders:
+            for e in self.refiner.elements:
+                self.lines[e.origin].append(e)
+            self.traces = {o: b"" for o in self.lines if any(low <= o < high for low, high in self.borders.values())}
+        self.watched = set(self.traces)
+        for _ in range(self.depth if self.traces else 0):
+            self.watched |= {y for x in self.watched for y in self.next_to[x]}
 
     def around(self, origin: int) -> dict[int, int] | None:
         """Given elements within reach of a turn, with their hops; None if some of them are not at hand."""
@@ -162,27 +186,53 @@ class _Region:
                 if u.stat in "zwt":
                     self.turns[u] = f"{r.round + (self.keys[u] <= self.keys[e]):06d}|{self.keys[u]}"
                     heappush(due, (self.turns[u], self.keys[u], u.number))
+            if e.origin in self.watched:
+                for c in r.elements[first:]:
+                    self.lines[c.origin].append(c)
+                for o in self.around(e.origin) or ():
+                    if o in self.traces:
+                        self.traces[o] = blake2b(self.traces[o] + repr((turn, self._told(o))).encode(), digest_size=16).digest()
+
+    def _told(self, origin: int) -> list[tuple]:
+        """All that is known of what came of a given element."""
+        out, name = [], self.keys
+        for e in self.lines[origin]:
+            images = [(self.alignment_keys[a.number], s, a.lb, a.rb, a.direction, a.score, a.iden, a.primary, name[a.home[0]], name[a.home[1]]) for a, s in e.images]
+            edges = sorted((self.edge_keys[x.number], x.kind, x.score, x.direction, name[x.one], name[x.two]) for x in e.edges.values())
+            votes = sorted((at, name[by]) for at, by in e.votes)
+            due = self.turns.get(e) if e.stat in "zwt" else None
+            out.append((name[e], e.stat, due, e.lb, e.rb, e.fate, e.ordered, images if e.ordered else sorted(images), edges, votes, [name[c] for c in e.children], e.cuts))
+        return out
+
+    def mine(self, *origins: int) -> bool:
+        """Whether a strip answers for what goes back to these given elements: the least counts."""
+        return self.own is None or self.own[0] <= min(origins) < self.own[1]
 
     def rows(self) -> Iterable[dict]:
         """The state afterwards, and what is known for good."""
         whole = self.until is None
         if self.late:
             yield {"kind": "late", "turn": self.late}
+        for number, (low, high) in self.borders.items():
+            told = repr(sorted(x for x in self.traces.items() if low <= x[0] < high))
+            yield {"kind": "border", "lb": number, "key": blake2b(told.encode(), digest_size=16).hexdigest()}
         seen: set[int] = set()
         for e in self.refiner.elements:
             gone, key = e.stat == "X", self.keys[e]
-            yield {"kind": "element", "o1": e.origin, "o2": e.origin, "ele": key, "stat": e.stat, "turn": self.turns.get(e) if e.stat in "zwt" else None, "touched": self.touched.get(e.origin), "fate": e.fate, "seq": e.seq, "lb": e.lb, "rb": e.rb, "done": whole or gone}
+            if self.mine(e.origin):
+                yield {"kind": "element", "o1": e.origin, "o2": e.origin, "ele": key, "stat": e.stat, "turn": self.turns.get(e) if e.stat in "zwt" else None, "touched": self.touched.get(e.origin), "fate": e.fate, "seq": e.seq, "lb": e.lb, "rb": e.rb, "done": whole or gone}
+                for c in e.children:
+                    yield {"kind": "child", "ele": key, "ele2": self.keys[c], "done": True}
+                for bd, support in e.cuts:
+                    yield {"kind": "cut", "ele": key, "lb": bd, "score": support, "done": True}
             for a, s in e.images:
                 if a.number not in seen:
                     seen.add(a.number)
                     one, two = a.home
-                    yield {"kind": "align", "o1": one.origin, "o2": two.origin, "key": self.alignment_keys[a.number], "ele": self.keys[one], "ele2": self.keys[two], "stat": "p" if a.primary else "s", "lb": a.lb[0], "rb": a.rb[0], "lb2": a.lb[1], "rb2": a.rb[1], "direction": a.direction, "score": a.score, "iden": a.iden, "done": whole}
-            for c in e.children:
-                yield {"kind": "child", "ele": key, "ele2": self.keys[c], "done": True}
-            for bd, support in e.cuts:
-                yield {"kind": "cut", "ele": key, "lb": bd, "score": support, "done": True}
+                    if self.mine(one.origin, two.origin):
+                        yield {"kind": "align", "o1": one.origin, "o2": two.origin, "key": self.alignment_keys[a.number], "ele": self.keys[one], "ele2": self.keys[two], "stat": "p" if a.primary else "s", "lb": a.lb[0], "rb": a.rb[0], "lb2": a.lb[1], "rb2": a.rb[1], "direction": a.direction, "score": a.score, "iden": a.iden, "done": whole}
             for x in e.edges.values():
-                if x.one is e:
+                if x.one is e and self.mine(e.origin, x.two.origin):
                     yield {"kind": "edge", "o1": e.origin, "o2": x.two.origin, "key": self.edge_keys[x.number], "ele": key, "ele2": self.keys[x.two], "stat": x.kind, "score": x.score, "direction": x.direction, "done": whole}
             for at, by in () if whole else e.votes:
                 yield {"kind": "vote", "o1": e.origin, "o2": by.origin, "ele": key, "ele2": self.keys[by], "lb": at, "done": False}
@@ -202,6 +252,174 @@ def _kernel(config: Config, arrow: pa.Schema):
     return run
 
 
+# --- strips --------------------------------------------------------------------------
+
+
+class _Border(NamedTuple):
+    """Between two strips, in ranges: it is [low, high), from ``own`` on the second strip answers, which begins at ``begin``; the first one ends before ``end``."""
+
+    low: int
+    own: int
+    high: int
+    begin: int
+    end: int
+    #: Alignments before ``begin`` and before ``end``.
+    to_begin: int
+    to_end: int
+    #: Alignments of the part.
+    whole: int
+
+
+def _borders(ranges: np.ndarray, reach: np.ndarray, weight: np.ndarray, config: Config, strip: int, ahead: int, behind: int) -> list[_Border]:
+    """Borders of a part.
+
+    Of each range (ascending) are given the last range that one of its alignments reaches and how many alignments it
+    has.  What lies before and behind a border is more hops apart than any turn reaches across, so no turn sees both.
+    """
+    last, before = np.maximum.accumulate(np.maximum(reach, ranges)), np.concatenate([[0], np.cumsum(weight)])
+    number = max(1, round(before[-1] / strip))
+    step = before[-1] / number
+
+    def hops(x: int, n: int) -> int:
+        """The first range that lies more than ``n`` hops from all before ``x``."""
+        for _ in range(n):
+            k = int(np.searchsorted(ranges, x)) - 1
+            x = max(x, int(last[k]) + 1) if k >= 0 else x
+        return x
+
+    def to(x: int) -> int:
+        return int(before[np.searchsorted(ranges, x)])
+
+    def back(x: int) -> int:
+        """The last range from whose beginning ``x`` is ``ahead`` hops on; 0 if there is none."""
+        low, high = 0, len(ranges)
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if hops(int(ranges[middle]), ahead) <= x else (low, middle)
+        return int(ranges[low - 1]) if low else 0
+
+    out, at = [], step
+    while at < before[-1] - step / 2:
+        low = int(ranges[np.searchsorted(before, at, side="right") - 1])
+        low, at = max(low, out[-1].end if out else 0), at + step
+        own, high = hops(low, config.clan_depth), hops(low, 2 * config.clan_depth)
+        begin, end = back(low), hops(high, behind)
+        # Where strips would mostly overlap there is none.
+        if begin and end <= ranges[-1] and to(end) - to(begin) <= strip:
+            out.append(_Border(low, own, high, begin, end, to(begin), to(end), int(before[-1])))
+            at = max(at, to(end) + step / 2)
+    return out
+
+
+def _bordered(state: DataFrame, config: Config, strip: int, ahead: int, behind: int) -> DataFrame:
+    """part, number and a border, of parts that can be cut into strips of about ``strip`` alignments; smaller ones would not gain."""
+    ends = [F.shiftright(f("o1", "o2"), SHIFT) for f in (F.least, F.greatest)]
+    ranges = state.where("kind = 'align'").select("part", ends[0].alias("range"), ends[1].alias("reach")).groupBy("part", "range").agg(F.max("reach").alias("reach"), F.count(F.lit(1)).alias("n"))
+    ranges = written(ranges, "ranges")
+    long = ranges.groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") >= 3 * strip).select("part")
+    names = ("part", "number", *_Border._fields)
+    arrow = pa.schema([(n, pa.int64()) for n in names])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("range")
+        found = _borders(*(group.column(n).to_numpy() for n in ("range", "reach", "n")), config, strip, ahead, behind)
+        part = group.column("part")[0].as_py()
+        return pa.Table.from_pylist([{"part": part, "number": k, **b._asdict()} for k, b in enumerate(found)], schema=arrow)
+
+    return ranges.join(long, "part", "left_semi").groupBy("part").applyInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+class _Task(NamedTuple):
+    """Strips ``first`` to ``last`` of a part; border k lies between strips k and k + 1."""
+
+    part: int
+    first: int
+    last: int
+
+
+def _run_strips(state: DataFrame, tasks: list[_Task], borders: dict[int, list[_Border]], config: Config) -> DataFrame:
+    """What ``tasks`` come to, with the place of each in the list, and what they say of their borders."""
+    seq, spark, most = dict(state.dtypes)["seq"], state.sparkSession, 1 << 40
+    held, marks = [], []
+    for k, t in enumerate(tasks):
+        of = borders[t.part]
+        left, right = of[t.first - 1] if t.first else None, of[t.last] if t.last < len(of) else None
+        held.append((t.part, k, left.begin if left else 0, right.end if right else most))
+        marks.append((t.part, k, "own", left.own << SHIFT if left else 0, right.own << SHIFT if right else most << SHIFT, None))
+        marks += [(t.part, k, "border", b.low << SHIFT, b.high << SHIFT, n) for b, n in ((left, t.first - 1), (right, t.last)) if b]
+    bounds = spark.createDataFrame(held, "part long, task long, begin long, end long")
+    mine = state.join(F.broadcast(bounds.select("part").distinct()), "part", "left_semi").withColumn("range", F.shiftright("o1", SHIFT))
+    # Which tasks a range belongs to; ranges are those that elements have.
+    ranges = mine.where("kind = 'element'").select("part", "range").distinct().join(F.broadcast(bounds), "part").where("range >= begin and range < end")
+    across = F.shiftright("o2", SHIFT).between(F.col("begin"), F.col("end") - 1)
+    work = mine.join(ranges, ["part", "range"]).where(across).select(*_COLUMNS, "task")
+    marked = spark.createDataFrame(marks, "part long, task long, kind string, o1 long, o2 long, lb int")
+    work = work.unionByName(marked.select(*[F.col(n) if n in marked.columns else F.lit(None).cast(t or seq).alias(n) for n, t in _COLUMNS.items()], "task"))
+    schema = StructType.fromDDL(", ".join([f"{n} {t or seq}" for n, t in _COLUMNS.items()] + ["task long"]))
+    kernel = _kernel(config, to_arrow_schema(StructType(schema.fields[:-1])))
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        out = kernel(group)
+        return out.append_column("task", pa.array(np.full(len(out), key[0].as_py()), pa.int64()))
+
+    # Tasks are long and few: in more partitions fewer of them come to lie in one.
+    return work.repartition(4 * len(tasks), "task").groupBy("task").applyInArrow(run, schema)
+
+
+def _joined(tasks: list[_Task], told: dict[_Task, dict[int, str]]) -> list[_Task]:
+    """The tasks of a part, in order, those joined that do not say the same of the border between them."""
+    out = tasks[:1]
+    for before, t in zip(tasks, tasks[1:], strict=False):
+        if told[before][before.last] == told[t][t.first - 1]:
+            out.append(t)
+        else:
+            out[-1] = _Task(t.part, out[-1].first, t.last)
+    return out
+
+
+def stripped(state: DataFrame, config: Config, stage: Callable, largest: int) -> tuple[list[DataFrame], list[int]]:
+    """What strips settle of the state, as tables, and the parts that they settle.
+
+    A part may be cut where what lies before and behind a border is more hops apart
+    than a turn reaches across.  A strip begins AHEAD hops before its first border
+    and ends BEHIND hops after its last one; all turns of it are run as if nothing
+    else were there, so what it comes to near its ends may be wrong.  Both strips
+    at a border tell, of each given element in it, the turns that reached it and what it was
+    after each.  If they tell the same of every border of a part, then what each strip
+    says of its stretch from border to border is what one run over everything
+    does: take the first turn by which that run differs; it sees one border at most and what lies
+    on one side of it, which until then was the same in the strip of that side, so
+    it was run there, and what it did to the border the other strip has as well.
+    Strips that tell different things are joined and run anew; where a joined one
+    would have more than ``largest`` alignments the part is left to the rounds.
+    """
+    borders: dict[int, list[_Border]] = {}
+    for r in stage("borders", lambda: _bordered(state, config, STRIP, AHEAD, BEHIND)).orderBy("part", "number").collect():
+        borders.setdefault(r["part"], []).append(_Border(*(r[n] for n in _Border._fields)))
+
+    def weight(t: _Task) -> int:
+        of = borders[t.part]
+        return (of[t.last].to_end if t.last < len(of) else of[0].whole) - (of[t.first - 1].to_begin if t.first else 0)
+
+    told: dict[_Task, dict[int, str]] = {}
+    made: list[tuple[DataFrame, list[_Task]]] = []
+    now = {part: [_Task(part, k, k) for k in range(len(of) + 1)] for part, of in borders.items()}
+    while True:
+        now = {part: tasks for part, tasks in now.items() if max(map(weight, tasks)) <= largest}
+        todo = [t for tasks in now.values() for t in tasks if t not in told]
+        if not todo:
+            break
+        out = stage(f"strips-{len(made) + 1}", lambda todo=todo: _run_strips(state, todo, borders, config))
+        made.append((out, todo))
+        told |= {t: {} for t in todo}
+        for r in out.where("kind = 'border'").select("task", "lb", "key").collect():
+            told[todo[r["task"]]][r["lb"]] = r["key"]
+        now = {part: _joined(tasks, told) for part, tasks in now.items()}
+    good = {t for tasks in now.values() for t in tasks}
+    tables = [out.where(F.col("task").isin([k for k, t in enumerate(todo) if t in good])).where("kind != 'border'").select(*_COLUMNS) for out, todo in made]
+    return tables, list(now)
+
+
 # --- a round -------------------------------------------------------------------------
 
 
@@ -276,7 +494,10 @@ def settled(bells: DataFrame, extents: DataFrame, config: Config, stage: Callabl
         return _start(bells, extents, least_ancestors(extents.select(F.col("ele_id").alias("node")), links, directed=False))
 
     first = state = stage("round-0", start)
-    known, spoiled, n = [], None, 0
+    known, parts = stripped(first, config, stage, largest)
+    if parts:
+        state = first.where(~F.col("part").isin(parts))
+    spoiled, n = None, 0
     while state.where(_PENDING).limit(1).count():
         n += 1
         out = stage(f"round-{n}", lambda state=state: _round(state, config, largest))

@@ -154,3 +154,61 @@ def test_a_run_goes_on_behind_its_last_round(spark, tmp_path, monkeypatch):
     after = len(made)
     monkeypatch.setattr(rounds, "_round", real)
     assert again == members(pipeline.run(msps)) and after > 2
+
+
+def _ribbon(seqs, n, spots):
+    """A long thin part: each sequence is like the next two."""
+    r = random.Random(4)
+    jitter = lambda: r.randrange(-8, 9)
+    out = []
+    for k in range(n):
+        q, size = k * seqs // n, r.choice((100, 160, 300))
+        one, two = r.randrange(spots) * 500 + 100 + jitter(), r.randrange(spots) * 500 + 100 + jitter()
+        out.append((k, 500 + k % 400, float(r.randrange(700, 999)) / 10, r.choice((1, 1, -1)), f"s{q:04d}", one, one + size + jitter(), f"s{q + r.randrange(1, 3):04d}", two, two + size + jitter()))
+    return out
+
+
+@pytest.mark.parametrize(("ribbon", "joins"), [((240, 1900, 5), False), ((300, 2400, 4), True)])
+def test_strips_give_what_one_run_gives(spark, monkeypatch, ribbon, joins):
+    bells, extents = _stage_one(spark, _ribbon(*ribbon))
+    elements, edges, images = _everything_at_once(bells, extents)
+    made, real = [], rounds._run_strips
+
+    def noted(state, tasks, borders, config):
+        made.append(tasks)
+        return real(state, tasks, borders, config)
+
+    monkeypatch.setattr(rounds, "_run_strips", noted)
+    for name, value in {"STRIP": 400, "SHIFT": 1, "AHEAD": 10, "BEHIND": 4}.items():
+        monkeypatch.setattr(rounds, name, value)
+    got = _told(rounds.refine(bells, extents))
+    # Strips of one part side by side; those that say different things are run as one.
+    assert len(made[0]) > 3 and len({t.part for t in made[0]}) == 1 and (len(made) > 1) == joins
+    assert all(t.last > t.first for tasks in made[1:] for t in tasks)
+    assert got[0] == elements and got[1] == edges
+    shape = lambda rows: sorted((x[0], *x[2:]) for x in rows)
+    assert shape(got[2]) == shape(images) and any(x[1] == "X" for x in elements)
+
+
+def test_no_turn_sees_what_lies_on_both_sides_of_a_border():
+    import numpy as np
+
+    r = random.Random(1)
+    ranges = np.array(sorted(r.sample(range(4000), 3000)))
+    reach = np.maximum(ranges + np.array([r.randrange(9) for _ in ranges]), [*ranges[1:], 0])  # connected
+    weight = np.array([r.randrange(1, 9) for _ in ranges])
+    found = rounds._borders(ranges, reach, weight, Config(), 2000, 10, 5)
+    assert len(found) > 3
+    for b, after in zip(found, [*found[1:], None], strict=True):
+        seen = set(ranges[ranges < b.low])
+        for _ in range(2 * Config().clan_depth):
+            seen |= {y for x, z in zip(ranges, reach, strict=True) if x in seen for y in range(x, z + 1)}
+        assert max(seen) < b.high and b.begin < b.low < b.own < b.high < b.end and (after is None or b.end <= after.low)
+    # All within few hops of all: no border.
+    assert not rounds._borders(ranges, np.full(3000, 3999), weight, Config(), 2000, 10, 5)
+
+
+def test_strips_that_say_different_things_are_joined():
+    t = [rounds._Task(1, k, k) for k in range(4)]
+    told = {t[0]: {0: "a"}, t[1]: {0: "a", 1: "b"}, t[2]: {1: "c", 2: "d"}, t[3]: {2: "d"}}
+    assert rounds._joined(t, told) == [t[0], rounds._Task(1, 1, 2), t[3]]
